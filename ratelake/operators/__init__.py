@@ -2,7 +2,7 @@
 
 from ratelake.operators.anomalies import flag_anomalies
 from ratelake.operators.changes import delete_gate, detect_changes, has_deletes
-from ratelake.operators.clean import clean_rates, drop_report, in_range
+from ratelake.operators.clean import clean_rates, drop_report, in_range, valid_days
 from ratelake.operators.coverage import coverage_report, coverage_summary
 from ratelake.operators.events import to_events
 from ratelake.operators.merge import live_rows, merge_changes
@@ -29,4 +29,5 @@ __all__ = [
     "monthly_summary",
     "rolling_metrics",
     "to_events",
+    "valid_days",
 ]

@@ -85,6 +85,11 @@ def drop_report(
     )
 
 
+def valid_days(df: DataFrame) -> DataFrame:
+    """Rows whose date is the ISO text of a day of the calendar."""
+    return df.filter(F.try_to_date(F.col("date")).cast("string") == F.col("date"))
+
+
 def in_range(df: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
     """Rows with lo <= date <= hi, both ISO text; either bound may be None.
 
@@ -92,13 +97,16 @@ def in_range(df: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
     partitioned by (year, month) the bounds also select the partitions to read.
     """
     partitioned = {"year", "month"} <= set(df.columns)
-    for bound, keep in ((lo, "__ge__"), (hi, "__le__")):
-        if bound is None:
-            continue
-        day = date.fromisoformat(bound)
-        df = df.filter(getattr(F.col("date"), keep)(bound))
-        if partitioned:
-            limit = day.year * 12 + day.month - 1
-            df = df.filter(getattr(F.col("year"), keep)(day.year))
-            df = df.filter(getattr(month_number("year", "month"), keep)(limit))
+    first = date.fromisoformat(lo) if lo is not None else date.min
+    last = date.fromisoformat(hi) if hi is not None else date.max
+    if lo is not None:
+        df = df.filter(F.col("date") >= first.isoformat())
+    if hi is not None:
+        df = df.filter(F.col("date") <= last.isoformat())
+    if partitioned and (lo is not None or hi is not None):
+        months = [month_number(F.lit(day.year), F.lit(day.month)) for day in (first, last)]
+        df = df.filter(
+            F.col("year").between(first.year, last.year)
+            & month_number("year", "month").between(*months)
+        )
     return df

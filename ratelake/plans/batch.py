@@ -22,6 +22,7 @@ from ratelake.operators import (
     monthly_summary,
     rolling_metrics,
     to_events,
+    valid_days,
 )
 from ratelake.operators.metrics import LONG_FRAME
 from ratelake.schemas import CHANGES, DELETE, PAIR
@@ -65,10 +66,14 @@ class Tables:
 
 @dataclass(frozen=True)
 class Batch:
-    """What a run did. ``status``: "no_changes", "base_only" or "complete"."""
+    """What a run did.
+
+    ``status``: "no_documents" (nothing readable came in), "no_changes", "base_only"
+    (stopped at a DELETE) or "complete".
+    """
 
     status: str
-    changes: DataFrame
+    changes: DataFrame | None = None
     has_deletes: bool = False
     rates: DataFrame | None = None
     report: DataFrame | None = None
@@ -108,7 +113,10 @@ def run_batch(
     spark = documents.sparkSession
     run_ts = datetime.now().astimezone() if run_ts is None else run_ts
 
-    incoming = in_range(clean_rates(flatten_rates(documents, run_ts)), lo, hi)
+    if documents.filter(F.col("rates").isNotNull()).isEmpty():
+        # Nothing came in at all. That is no reason to delete what is stored.
+        return Batch("no_documents")
+    incoming = in_range(valid_days(clean_rates(flatten_rates(documents, run_ts))), lo, hi)
     stored = spark.table(tables.base) if spark.catalog.tableExists(tables.base) else None
     # The plan of the changes reads the table that the merge rewrites.
     changes = staged(
@@ -147,7 +155,7 @@ def run_batch(
             rebuild(spark, tables, run_ts)
         current = spark.table(tables.base)
 
-    load(coverage_report(incoming, run_ts=run_ts), tables.quality, "append", date_col="dq_date")
+    load(coverage_report(incoming, run_ts=run_ts), tables.quality, "append", partition_by=())
     rates = fact_rates(current)
     report = None
     if transactions is not None and customers is not None:

@@ -133,8 +133,20 @@ def _merge(spark, table, changes, partition_by, date_col, revive) -> None:
 
 
 def _replace_partitions(df: DataFrame, table: str, partition_by: Sequence[str]) -> None:
-    writer = _in_table_order(_spread(df, partition_by), table).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    """Replace the partitions that ``df`` has rows of, and no others.
+
+    insertInto takes the overwrite mode from the session alone, not from a writer
+    option. New partitions are written beside the old ones and swapped in at the
+    end of the job, so ``df`` may read the same table.
+    """
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    conf = df.sparkSession.conf
+    before = conf.get(setting)
+    conf.set(setting, "dynamic")
+    try:
+        _in_table_order(_spread(df, partition_by), table).write.insertInto(table, overwrite=True)
+    finally:
+        conf.set(setting, before)
 
 
 def _in_table_order(df: DataFrame, table: str) -> DataFrame:

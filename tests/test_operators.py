@@ -1,0 +1,517 @@
+"""Hand-computed frames and properties of the operators."""
+
+import hashlib
+import math
+import random
+import statistics
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from ratelake.functions.columns import row_text
+from ratelake.operators import (
+    clean_rates,
+    convert_transactions,
+    coverage_report,
+    coverage_summary,
+    currency_dimension,
+    detect_changes,
+    drop_report,
+    fact_rates,
+    flag_anomalies,
+    has_deletes,
+    in_range,
+    live_rows,
+    merge_changes,
+    monthly_summary,
+    rolling_metrics,
+    to_events,
+    valid_days,
+)
+from ratelake.operators.coverage import PRESENT, WEEKDAY_GAP, WEEKEND_GAP
+from ratelake.operators.star import SPANISH_REPORT_NAMES
+from ratelake.schemas import CHANGES, CUSTOMERS, RATES, TRANSACTIONS
+
+RUN_1 = "2026-05-06 00:00:00"
+RUN_2 = "2026-05-07 00:00:00"
+
+
+def rates_frame(spark, rows, ingested_at=RUN_1):
+    """Rows of (date, target, rate) or (date, target, rate, base_amount)."""
+    full = [
+        (row[0], float(row[3]) if len(row) > 3 else 1.0, "USD", row[1], row[2]) for row in rows
+    ]
+    schema = "date string, base_amount double, base string, target string, rate double"
+    frame = spark.createDataFrame(full, schema)
+    return frame.withColumn("ingested_at", F.lit(ingested_at).cast("timestamp"))
+
+
+def stored_frame(spark, rows):
+    """Rows of (date, target, rate, operation) as the base table holds them."""
+    frame = rates_frame(spark, [row[:3] for row in rows])
+    operations = {(row[0], row[1]): row[3] for row in rows}
+    choose = F.lit("INSERT")
+    for (day, target), operation in operations.items():
+        choose = F.when((F.col("date") == day) & (F.col("target") == target), operation).otherwise(
+            choose
+        )
+    stamp = F.lit(RUN_1).cast("timestamp")
+    return frame.select(
+        "*",
+        F.sha2(F.col("rate").cast("string"), 256).alias("row_hash"),
+        choose.alias("operation_type"),
+        stamp.alias("ingestion_timestamp"),
+        stamp.alias("updated_at"),
+    )
+
+
+# --- cleaning
+
+
+def test_clean_keeps_bounds_and_drops_bad_rows(spark):
+    df = rates_frame(
+        spark,
+        [
+            ("2026-05-06", "A", 0.00001),
+            ("2026-05-06", "B", 0.0),
+            ("2026-05-06", "C", 500000.0),
+            ("2026-05-06", "D", 500001.0),
+            ("2026-05-06", "E", None),
+            ("2026-05-06", None, 1.0),
+            (None, "F", 1.0),
+            ("2026-05-06", "G", float("nan")),
+        ],
+    )
+    assert sorted(row.target for row in clean_rates(df).collect()) == ["A", "C"]
+    report = {row.rule: row.row_count for row in drop_report(df).collect()}
+    assert report == {
+        "missing field": 3,
+        "rate out of range": 3,
+        "duplicate key": 0,
+        "kept": 2,
+    }
+
+
+def test_clean_survivor_follows_the_tie_break(spark):
+    df = rates_frame(spark, [("2026-05-06", "A", 3.0), ("2026-05-06", "A", 2.0)]).withColumn(
+        "src_id", F.when(F.col("rate") == 3.0, 1).otherwise(2)
+    )
+    assert [row.rate for row in clean_rates(df, tie_break=["src_id"]).collect()] == [3.0]
+    assert [row.rate for row in clean_rates(df.drop("src_id")).collect()] == [2.0]
+
+
+def test_drop_report_of_nothing(spark):
+    report = drop_report(rates_frame(spark, [])).collect()
+    assert {row.row_count for row in report} == {0} and len(report) == 4
+
+
+def test_range_is_inclusive_and_rejects_bad_bounds(spark):
+    df = rates_frame(spark, [(f"2026-05-0{day}", "A", 1.0) for day in range(1, 8)])
+    kept = sorted(row.date for row in in_range(df, "2026-05-03", "2026-05-05").collect())
+    assert kept == ["2026-05-03", "2026-05-04", "2026-05-05"]
+    assert in_range(df, None, "2026-05-02").count() == 2
+    assert in_range(df, "2026-05-06", None).count() == 2
+    with pytest.raises(ValueError):
+        in_range(df, "06.05.2026", None)
+
+
+def test_valid_days(spark):
+    days = ["2026-05-06", "2026-02-30", "2026-5-6", "someday", None]
+    df = rates_frame(spark, [(day, "A", 1.0) for day in days])
+    assert [row.date for row in valid_days(df).collect()] == ["2026-05-06"]
+
+
+# --- change detection and merge
+
+DAY = "2026-05-06"
+STORED = [
+    (DAY, "B", 10.0, "INSERT"),
+    (DAY, "C", 10.0, "INSERT"),
+    (DAY, "D", 10.0, "INSERT"),
+    (DAY, "E", 10.0, "DELETE"),
+    (DAY, "F", 10.0, "DELETE"),
+    (DAY, "G", 10.0, "DELETE"),
+    (DAY, "H", 10.0, "INSERT"),
+]
+INCOMING = [
+    (DAY, "A", 10.0),
+    (DAY, "B", 10.0),
+    (DAY, "C", 11.0),
+    (DAY, "F", 10.0),
+    (DAY, "G", 12.0),
+    (DAY, "H", 10.0, 2.0),
+]
+
+
+def both_sides(spark):
+    return rates_frame(spark, INCOMING, RUN_2), stored_frame(spark, STORED)
+
+
+def test_change_matrix(spark):
+    incoming, stored = both_sides(spark)
+    changes = detect_changes(incoming, stored, run_ts=RUN_2)
+    assert changes.columns == CHANGES.fieldNames()
+    assert {row.target: row.operation_type for row in changes.collect()} == {
+        "A": "INSERT",
+        "C": "UPDATE",
+        "D": "DELETE",
+        "E": "DELETE",
+        "G": "UPDATE",
+    }
+    hashes = {row.target: row.row_hash for row in changes.collect()}
+    assert hashes["C"] == hashlib.sha256(b"11.0").hexdigest()
+    assert hashes["D"] == hashlib.sha256(b"10.0").hexdigest()
+    assert has_deletes(changes)
+
+
+def test_change_matrix_strict(spark):
+    incoming, stored = both_sides(spark)
+    changes = detect_changes(incoming, stored, run_ts=RUN_2, tombstones="strict")
+    assert {row.target: row.operation_type for row in changes.collect()} == {
+        "A": "INSERT",
+        "C": "UPDATE",
+        "D": "DELETE",
+        "F": "INSERT",
+        "G": "INSERT",
+    }
+    merged = {
+        row.target: (row.rate, row.operation_type)
+        for row in merge_changes(stored, changes, revive=True).collect()
+    }
+    assert merged["F"] == (10.0, "INSERT") and merged["G"] == (12.0, "INSERT")
+    assert merged["E"] == (10.0, "DELETE")
+    with pytest.raises(ValueError):
+        detect_changes(incoming, stored, tombstones="no such thing")
+
+
+def test_merge(spark):
+    incoming, stored = both_sides(spark)
+    changes = detect_changes(incoming, stored, run_ts=RUN_2)
+    merged = {row.target: row for row in merge_changes(stored, changes).collect()}
+    assert {target: (row.rate, row.operation_type) for target, row in merged.items()} == {
+        "A": (10.0, "INSERT"),
+        "B": (10.0, "INSERT"),
+        "C": (11.0, "UPDATE"),
+        "D": (10.0, "DELETE"),
+        "E": (10.0, "DELETE"),
+        "F": (10.0, "DELETE"),
+        "G": (12.0, "UPDATE"),
+        "H": (10.0, "INSERT"),
+    }
+    assert merged["H"].base_amount == 1.0
+    day = lambda stamp: stamp.day
+    assert (day(merged["C"].ingested_at), day(merged["C"].ingestion_timestamp)) == (6, 6)
+    assert day(merged["C"].updated_at) == 7 and day(merged["D"].updated_at) == 7
+    assert day(merged["B"].updated_at) == 6 and day(merged["A"].ingested_at) == 7
+
+
+def test_matched_insert_changes_nothing(spark):
+    stored = stored_frame(spark, [(DAY, "A", 10.0, "INSERT")])
+    insert = detect_changes(rates_frame(spark, [(DAY, "A", 99.0)]), None, run_ts=RUN_2)
+    assert [row.rate for row in merge_changes(stored, insert).collect()] == [10.0]
+
+
+def test_merge_refuses_two_changes_for_one_key(spark):
+    stored = stored_frame(spark, [(DAY, "A", 10.0, "INSERT")])
+    change = detect_changes(rates_frame(spark, [(DAY, "A", 9.0)]), stored, run_ts=RUN_2)
+    with pytest.raises(PySparkException, match="more than one change for one key"):
+        merge_changes(stored, change.unionAll(change)).select("date").collect()
+
+
+def test_first_load_and_empty_batch(spark):
+    incoming, stored = both_sides(spark)
+    first = detect_changes(incoming, None, run_ts=RUN_1)
+    assert {row.operation_type for row in first.collect()} == {"INSERT"}
+    assert first.count() == len(INCOMING)
+    gone = detect_changes(incoming.limit(0), stored, lo=DAY, hi=DAY, run_ts=RUN_2)
+    assert {row.operation_type for row in gone.collect()} == {"DELETE"}
+    assert gone.count() == len(STORED)
+    assert detect_changes(incoming.limit(0), stored, lo="2027-01-01", hi="2027-12-31").isEmpty()
+
+
+def test_range_cuts_both_sides(spark):
+    incoming = rates_frame(spark, [("2026-05-01", "A", 1.0), ("2026-05-09", "A", 2.0)])
+    stored = stored_frame(spark, [("2026-05-02", "A", 1.0, "INSERT"), (DAY, "A", 1.0, "INSERT")])
+    changes = detect_changes(incoming, stored, lo="2026-05-05", hi="2026-05-31", run_ts=RUN_2)
+    assert {row.date: row.operation_type for row in changes.collect()} == {
+        DAY: "DELETE",
+        "2026-05-09": "INSERT",
+    }
+
+
+def test_null_rate_is_compared_and_not_an_error(spark):
+    stored = stored_frame(spark, [(DAY, "A", 1.0, "INSERT")])
+    changes = detect_changes(rates_frame(spark, [(DAY, "A", None)]), stored, run_ts=RUN_2)
+    row = changes.collect()[0]
+    assert row.operation_type == "UPDATE"
+    assert row.row_hash == hashlib.sha256(b"").hexdigest()
+
+
+def test_row_text_of_several_columns_keeps_rows_apart(spark):
+    rows = [("a", None, "b"), ("a", "b", None), ("a||b", None, ""), ("a", "b||", ""), ("", "", "")]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
+    texts = [row[0] for row in df.select(row_text(["x", "y", "z"])).collect()]
+    assert len(set(texts)) == len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merge_properties(spark, seed):
+    draw = random.Random(seed)
+    days = [f"2026-05-{day:02d}" for day in range(1, 29)]
+    keys = [(day, target) for day in days for target in "ABC"]
+    old = [(*key, float(draw.randint(1, 3)), "INSERT") for key in keys if draw.random() < 0.7]
+    new = [(*key, float(draw.randint(1, 3))) for key in keys if draw.random() < 0.7]
+    lo, hi = days[4], days[20]
+    stored, incoming = stored_frame(spark, old), rates_frame(spark, new, RUN_2)
+    changes = detect_changes(incoming, stored, lo=lo, hi=hi, run_ts=RUN_2)
+    assert changes.filter("operation_type not in ('INSERT', 'UPDATE', 'DELETE')").isEmpty()
+    merged = merge_changes(stored, changes)
+    values = ["date", "target", "rate"]
+    live = in_range(live_rows(merged), lo, hi).select(values)
+    want = in_range(incoming, lo, hi).select(values)
+    assert sorted(live.collect()) == sorted(want.collect())
+    outside = merged.filter((F.col("date") < lo) | (F.col("date") > hi)).select(values)
+    before = stored.filter((F.col("date") < lo) | (F.col("date") > hi)).select(values)
+    assert sorted(outside.collect()) == sorted(before.collect())
+    # Merging again, or detecting again, adds nothing but the latched deletes.
+    assert sorted(merge_changes(merged, changes).collect()) == sorted(merged.collect())
+    again = detect_changes(incoming, merged, lo=lo, hi=hi, run_ts=RUN_2)
+    assert {row.operation_type for row in again.collect()} <= {"DELETE"}
+
+
+# --- metrics
+
+
+def series_frame(spark, rates, target="MXN", start="2026-01-01", gap=1):
+    df = spark.createDataFrame(list(enumerate(rates)), "i int, rate double")
+    return df.select(
+        F.date_add(F.lit(start).cast("date"), F.col("i") * gap).cast("string").alias("date"),
+        F.lit(1.0).alias("base_amount"),
+        F.lit("USD").alias("base"),
+        F.lit(target).alias("target"),
+        "rate",
+    )
+
+
+def test_rolling_metrics_golden(spark):
+    df = series_frame(spark, [10.0, 12.0, 11.0])
+    rows = rolling_metrics(df, run_ts=RUN_1).orderBy("date").collect()
+    got = [
+        (r.daily_variation_pct, r.sma_7d, r.sma_30d, r.volatility_30d) for r in rows
+    ]
+    want = [(0.0, 10.0, 10.0, 0.0), (20.0, 11.0, 11.0, math.sqrt(2)), (-100 / 12, 11.0, 11.0, 1.0)]
+    for one, other in zip(got, want, strict=True):
+        assert one == pytest.approx(other)
+
+
+def test_rolling_metrics_drops_bookkeeping_columns(spark):
+    stored = stored_frame(spark, [(DAY, "A", 10.0, "INSERT")])
+    assert rolling_metrics(stored).columns == [
+        "date",
+        "base_amount",
+        "base",
+        "target",
+        "rate",
+        "updated_at",
+        "daily_variation_pct",
+        "sma_7d",
+        "sma_30d",
+        "volatility_30d",
+        "ingestion_timestamp",
+    ]
+
+
+def brute_force(rows):
+    """(target, date) -> metrics, from the whole series in a plain loop."""
+    out = {}
+    for target in {row[0] for row in rows}:
+        series = sorted((day, rate) for name, day, rate in rows if name == target)
+        rates = [rate for _, rate in series]
+        for i, (day, rate) in enumerate(series):
+            frame = rates[max(0, i - 29) : i + 1]
+            previous = rates[i - 1] if i else None
+            out[target, day] = (
+                (rate - previous) / previous * 100 if previous else 0.0,
+                statistics.fmean(rates[max(0, i - 6) : i + 1]),
+                statistics.fmean(frame),
+                statistics.stdev(frame) if len(frame) > 1 else 0.0,
+            )
+    return out
+
+
+@pytest.mark.parametrize("chunk_length", [4, 7, 8, 9, 10])
+def test_chunks_do_not_change_the_metrics(spark, chunk_length):
+    """A hot pair, sparse pairs, gaps of years: as over whole series, for any chunk.
+
+    A prefix of the ISO date is a chunk of a year (4), of a month (7), down to a day
+    (10), where every frame is made of lead rows.
+    """
+    draw = random.Random(chunk_length)
+    rows = []
+    for target, share in (("HOT", 0.9), ("THIN", 0.05), ("RARE", 0.01)):
+        for day in range(900):
+            if draw.random() < share and not (target == "HOT" and 300 < day < 520):
+                rows.append((target, day, draw.uniform(1, 2)))
+    df = spark.createDataFrame(rows, "target string, day int, rate double").select(
+        F.date_add(F.lit("2023-11-15").cast("date"), "day").cast("string").alias("date"),
+        F.lit("USD").alias("base"),
+        "target",
+        "rate",
+    )
+    known = brute_force([(r.target, r.date, r.rate) for r in df.collect()])
+    result = rolling_metrics(df, chunk=F.substring("date", 1, chunk_length)).collect()
+    assert len(result) == len(rows)
+    for row in result:
+        got = (row.daily_variation_pct, row.sma_7d, row.sma_30d, row.volatility_30d)
+        assert got == pytest.approx(known[row.target, row.date], abs=1e-9)
+
+
+def test_frames_count_rows_and_not_days(spark):
+    close = rolling_metrics(series_frame(spark, [10.0, 12.0, 11.0])).select("sma_7d")
+    apart = rolling_metrics(series_frame(spark, [10.0, 12.0, 11.0], gap=400)).select("sma_7d")
+    assert sorted(close.collect()) == sorted(apart.collect())
+
+
+@pytest.mark.parametrize(
+    "rates, flagged, score",
+    [([1, 1, 1, 1, 1, 2], True, 2.04), ([1, 1, 1, 1, 2], False, 1.79), ([3, 3, 3], False, 0.0)],
+)
+def test_anomaly_flags(spark, rates, flagged, score):
+    df = series_frame(spark, [float(rate) for rate in rates])
+    rows = flag_anomalies(rolling_metrics(df)).orderBy("date").collect()
+    assert (rows[-1].is_anomaly, rows[-1].z_score) == (flagged, score)
+    assert len(rows) == len(rates)
+
+
+def test_score_is_bounded_by_the_frame(spark):
+    draw = random.Random(5)
+    df = series_frame(spark, [draw.lognormvariate(0, 1) for _ in range(80)])
+    rows = flag_anomalies(rolling_metrics(df)).orderBy("date").collect()
+    for i, row in enumerate(rows):
+        n = min(i + 1, 30)
+        assert abs(row.z_score) <= (n - 1) / math.sqrt(n) + 0.005
+
+
+# --- summaries and coverage
+
+
+def test_monthly_summary(spark):
+    df = series_frame(spark, [10.0, 12.0, 11.0]).unionAll(
+        series_frame(spark, [10.0], start="2026-02-01")
+    )
+    rows = {row.month: row for row in monthly_summary(df, run_ts=RUN_1).collect()}
+    jan, feb = rows[1], rows[2]
+    assert (jan.avg_rate, jan.min_rate, jan.max_rate) == (11.0, 10.0, 12.0)
+    assert (jan.monthly_volatility, jan.observations_count) == (1.0, 3)
+    assert (feb.monthly_volatility, feb.observations_count) == (0.0, 1)
+    assert list(jan.asDict())[:4] == ["base", "target", "year", "month"]
+
+
+def test_coverage(spark):
+    df = rates_frame(
+        spark,
+        [("2026-05-06", "A", 1.0), ("2026-05-08", "B", 1.0), ("2026-05-11", "A", 1.0)]
+        + [("2026-05-06", "B", 1.0), ("no date", "A", 1.0)],
+    )
+    report = coverage_report(df, run_ts=RUN_1)
+    assert [row.status_detail for row in report.orderBy("dq_date").collect()] == [
+        PRESENT,
+        WEEKDAY_GAP,
+        PRESENT,
+        WEEKEND_GAP,
+        WEEKEND_GAP,
+        PRESENT,
+    ]
+    total = coverage_summary(report).collect()[0]
+    assert (total.total_days, total.missing_days) == (6, 3)
+    assert (total.missing_weekdays, total.missing_weekends, total.coverage_pct) == (1, 2, 50.0)
+    by_pair = {
+        row.target: (row.total_days, row.missing_days)
+        for row in coverage_summary(coverage_report(df, by=["target"]), by=["target"]).collect()
+    }
+    assert by_pair == {"A": (6, 4), "B": (3, 1)}
+
+
+def test_coverage_of_nothing(spark):
+    report = coverage_report(rates_frame(spark, []))
+    assert report.isEmpty()
+    assert coverage_summary(report).collect()[0].coverage_pct is None
+
+
+# --- star schema and events
+
+
+def test_conversion(spark):
+    transactions = spark.createDataFrame(
+        [
+            ("T1", DAY, "C1", "BRL", 250.0),
+            ("T2", DAY, "C2", "EUR", 15.5),
+            ("T3", "2026-05-07", "C1", "BRL", 1.0),
+            ("T4", DAY, "C9", "BRL", 1.0),
+        ],
+        TRANSACTIONS,
+    )
+    customers = spark.createDataFrame(
+        [("C1", "One", "Premium"), ("C2", "Two", "Standard")], CUSTOMERS
+    )
+    stored = stored_frame(
+        spark,
+        [(DAY, "BRL", 5.0, "INSERT"), (DAY, "EUR", 0.88, "UPDATE")]
+        + [("2026-05-07", "BRL", 5.0, "DELETE")],
+    )
+    report = convert_transactions(transactions, customers, fact_rates(stored))
+    assert {row.transaction_id: row.amount_in_usd for row in report.collect()} == {
+        "T1": 50.0,
+        "T2": 17.61,
+    }
+    renamed = convert_transactions(
+        transactions, customers, fact_rates(stored), names=SPANISH_REPORT_NAMES
+    )
+    assert renamed.columns == ["transaction_id", "date", *SPANISH_REPORT_NAMES.values()]
+
+
+def test_fact_rates_takes_the_ingest_stamp_where_it_is_the_only_one(spark):
+    df = stored_frame(spark, [(DAY, "A", 1.0, "INSERT")]).drop("ingestion_timestamp")
+    assert fact_rates(df).columns == ["date", "base", "target", "rate", "ingestion_timestamp"]
+
+
+def test_currency_dimension(spark):
+    rows = currency_dimension(spark).collect()
+    assert {row.currency_code for row in rows} == {"USD", "EUR", "BRL", "MXN"}
+
+
+def test_event(spark):
+    incoming = rates_frame(spark, [(DAY, "MXN", 17.25)])
+    changes = detect_changes(incoming, None, run_ts="2026-05-06 01:02:03.456789")
+    event = to_events(changes).collect()[0]
+    assert (event.event_type, event.event_timestamp) == ("INSERT", "2026-05-06T01:02:03.456Z")
+    assert event.entity_id == "USD-MXN-2026-05-06"
+    assert event.payload.asDict() == {
+        "date": DAY,
+        "base": "USD",
+        "target": "MXN",
+        "base_amount": 1.0,
+        "rate": 17.25,
+        "row_hash": hashlib.sha256(b"17.25").hexdigest(),
+    }
+
+
+def test_event_time_is_utc_in_any_session_zone(spark):
+    from datetime import datetime, timezone
+
+    stamp = datetime(2026, 5, 6, 1, 2, 3, 456789, tzinfo=timezone.utc)
+    spark.conf.set("spark.sql.session.timeZone", "America/Mexico_City")
+    try:
+        changes = detect_changes(rates_frame(spark, [(DAY, "MXN", 1.0)]), None, run_ts=stamp)
+        assert to_events(changes).collect()[0].event_timestamp == "2026-05-06T01:02:03.456Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rates_schema_is_what_flatten_gives(spark):
+    from ratelake.sources.documents import empty_rates, flatten_rates, parse_documents
+
+    texts = spark.createDataFrame([('{"rates": {}}',)], "value string")
+    flat = flatten_rates(parse_documents(texts))
+    assert flat.columns == RATES.fieldNames() == empty_rates(spark).columns
