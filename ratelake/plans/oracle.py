@@ -164,7 +164,7 @@ def _monthly(relation: str) -> str:
 
 
 def _calendar(by: str = "") -> str:
-    same = f"and c.base = s.base and c.target = s.target" if by else ""
+    same = "and c.base = s.base and c.target = s.target" if by else ""
     return f"""
 seen as (select distinct {by} "date"::date as dq_date from rates),
 bounds as (select {by} min(dq_date) as lo, max(dq_date) as hi from seen group by all),
@@ -323,7 +323,7 @@ def statements() -> dict[str, str]:
         "coverage_totals": with_rates + "," + _calendar() + _coverage_totals(),
         "coverage_by_pair": with_rates
         + ","
-        + _calendar("base, target,").replace("select c.*", "select c.*")
+        + _calendar("base, target,")
         + " select base, target,"
         + _REPORT_VIEW,
         "coverage_totals_by_pair": with_rates

@@ -23,6 +23,11 @@ def duck():
     return con
 
 
+TYPES = {"string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "bigint": "BIGINT"} | {
+    "boolean": "BOOLEAN"
+}
+
+
 def rows_by_name(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
 
@@ -48,6 +53,8 @@ def test_query_equals_sql(name, spark, duck):
     expected = duck.execute(contract.oracle_sql()[name])
     names = [column[0] for column in expected.description]
     assert sorted(result.columns) == sorted(names)
+    kinds = {column[0]: str(column[1]) for column in expected.description}
+    assert {column: TYPES[kind] for column, kind in result.dtypes} == kinds
     got = rows_by_name(result.columns, [tuple(row) for row in result.collect()])
     want = rows_by_name(names, expected.fetchall())
     assert len(got) == len(want)
