@@ -113,10 +113,12 @@ def run_batch(
     spark = documents.sparkSession
     run_ts = datetime.now().astimezone() if run_ts is None else run_ts
 
-    if documents.filter(F.col("rates").isNotNull()).isEmpty():
+    # Parsed and cleaned once, for the changes and for the coverage report.
+    cleaned = valid_days(clean_rates(flatten_rates(documents, run_ts)))
+    incoming = staged(in_range(cleaned, lo, hi), "incoming")
+    if incoming.isEmpty() and documents.filter(F.col("rates").isNotNull()).isEmpty():
         # Nothing came in at all. That is no reason to delete what is stored.
         return Batch("no_documents")
-    incoming = in_range(valid_days(clean_rates(flatten_rates(documents, run_ts))), lo, hi)
     stored = spark.table(tables.base) if spark.catalog.tableExists(tables.base) else None
     # The plan of the changes reads the table that the merge rewrites.
     changes = staged(
