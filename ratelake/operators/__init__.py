@@ -3,7 +3,7 @@
 from ratelake.operators.anomalies import flag_anomalies
 from ratelake.operators.changes import delete_gate, detect_changes, has_deletes
 from ratelake.operators.clean import clean_rates, drop_report, in_range, valid_days
-from ratelake.operators.coverage import coverage_report, coverage_summary
+from ratelake.operators.coverage import coverage_gaps, coverage_report, coverage_summary
 from ratelake.operators.events import to_events
 from ratelake.operators.merge import live_rows, merge_changes
 from ratelake.operators.metrics import rolling_metrics
@@ -13,6 +13,7 @@ from ratelake.operators.star import convert_transactions, currency_dimension, di
 __all__ = [
     "clean_rates",
     "convert_transactions",
+    "coverage_gaps",
     "coverage_report",
     "coverage_summary",
     "currency_dimension",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelake.functions.columns import run_stamp
@@ -29,18 +29,36 @@ def coverage_report(
     row per group and day. The bounds stay in the plan; no row goes to the driver.
     Text that is no date is ignored. Unsorted; sort where the result is read.
     """
-    by = list(by)
+    seen, calendar = _days(df, by)
+    joined = calendar.join(seen.withColumn("_seen", F.lit(True)), [*by, "dq_date"], "left")
+    return _described(joined, by, F.col("_seen").isNull(), run_ts)
+
+
+def coverage_gaps(
+    df: DataFrame, by: Sequence[str] = (), run_ts: datetime | str | None = None
+) -> DataFrame:
+    """The missing days of :func:`coverage_report` alone, by an anti join."""
+    seen, calendar = _days(df, by)
+    missing = calendar.join(seen, [*by, "dq_date"], "left_anti")
+    return _described(missing, by, F.lit(True), run_ts)
+
+
+def _days(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The distinct days seen, and every day between the first and the last."""
     seen = (
         df.select(*by, F.try_to_date(F.col("date")).alias("dq_date"))
         .filter(F.col("dq_date").isNotNull())
         .distinct()
     )
     bounds = seen.groupBy(*by).agg(F.min("dq_date").alias("first"), F.max("dq_date").alias("last"))
-    calendar = bounds.select(*by, F.explode(F.sequence("first", "last")).alias("dq_date"))
+    return seen, bounds.select(*by, F.explode(F.sequence("first", "last")).alias("dq_date"))
 
+
+def _described(
+    days: DataFrame, by: Sequence[str], missing: Column, run_ts: datetime | str | None
+) -> DataFrame:
     weekend = F.dayofweek("dq_date").isin(1, 7)
-    missing = F.col("_seen").isNull()
-    return calendar.join(seen.withColumn("_seen", F.lit(True)), [*by, "dq_date"], "left").select(
+    return days.select(
         *by,
         "dq_date",
         F.when(weekend, WEEKEND).otherwise(WEEKDAY).alias("day_type"),

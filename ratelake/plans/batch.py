@@ -25,7 +25,7 @@ from ratelake.operators import (
     valid_days,
 )
 from ratelake.operators.metrics import LONG_FRAME
-from ratelake.schemas import CHANGES, DELETE, PAIR
+from ratelake.schemas import CHANGES, PAIR
 from ratelake.sources.documents import flatten_rates
 from ratelake.sources.event_files import write_events
 from ratelake.sources.shared import staged
@@ -36,6 +36,7 @@ from ratelake.sources.tables import (
     is_month,
     load,
     months_of,
+    touched_months,
     with_month,
 )
 
@@ -129,15 +130,9 @@ def run_batch(
         ),
         "changes",
     )
-    touched = (
-        changes.groupBy("year", "month")
-        .agg(F.max(F.col("operation_type") == DELETE).alias("deletes"))
-        .collect()
-    )
-    if not touched:
+    months, deletes = touched_months(changes)
+    if not months:
         return Batch("no_changes", changes)
-    months = sorted((row.year, row.month) for row in touched)
-    deletes = any(row.deletes for row in touched)
 
     load(changes, tables.base, "merge_cdc", revive=tombstones == "strict")
     if deletes and on_delete == "stop":

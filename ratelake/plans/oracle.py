@@ -330,6 +330,12 @@ def statements() -> dict[str, str]:
         + ","
         + _calendar("base, target,")
         + _coverage_totals("base, target,"),
+        "coverage_gap_days": with_rates
+        + ","
+        + _calendar("base, target,")
+        + " select base, target,"
+        + _REPORT_VIEW
+        + " where is_missing",
         "newest_dq_rows": with_rates
         + ","
         + _calendar()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ratelake.operators import (
     clean_rates,
     convert_transactions,
+    coverage_gaps,
     coverage_report,
     coverage_summary,
     delete_gate,
@@ -43,7 +44,7 @@ from ratelake.plans.order_rates import (
 from ratelake.schemas import CHANGES, KEYS, PAIR
 from ratelake.sources.documents import flatten_rates, parse_documents, read_documents
 from ratelake.sources.event_files import write_events
-from ratelake.sources.shared import shared_folder
+from ratelake.sources.shared import shared_folder, staged
 from ratelake.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,9 +272,7 @@ def load_merge_cdc(spark, sf_dir):
     changes = detect_changes(
         new_snapshot(spark, sf_dir), stored, lo=LO, hi=HI, run_ts=SECOND_RUN, as_text=decimal_text
     )
-    # Appended to a table of its own, so that the merge does not read what it writes.
-    staged, _ = load(changes, name + "_changes", "append")
-    loaded, deletes = load(staged, name, "merge_cdc")
+    loaded, deletes = load(staged(changes, "changes"), name, "merge_cdc")
     return _stored_view(loaded).withColumn("has_deletes", F.lit(deletes))
 
 
@@ -371,6 +370,11 @@ def coverage_totals_by_pair(spark, sf_dir):
     return _coverage_totals(coverage_summary(report, by=PAIR), *PAIR)
 
 
+@query
+def coverage_gap_days(spark, sf_dir):
+    return _report_view(coverage_gaps(rates(spark, sf_dir), by=PAIR), *PAIR)
+
+
 @query
 def newest_dq_rows(spark, sf_dir):
     report = coverage_report(rates(spark, sf_dir))

@@ -55,23 +55,25 @@ def load(
     date_col: str = "date",
     revive: bool = False,
 ) -> tuple[DataFrame, bool]:
-    """Load rows into a table; returns a fresh scan and whether a DELETE was loaded.
+    """Load rows into a table; returns a fresh scan and whether a DELETE was merged.
 
     A table that does not exist is created, whatever the mode. ``merge_cdc`` takes
-    change rows and rewrites the months that they touch.
+    change rows and rewrites the months that they touch. It goes over the changes
+    twice, and they must not depend on the table: pass them ``staged``.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     spark = df.sparkSession
-    deletes = "operation_type" in df.columns and has_deletes(df)
+    merges = mode == "merge_cdc"
     if partition_by:
         df = with_month(df, date_col)
+    deletes = False
     if not spark.catalog.tableExists(table):
-        _spread(df, partition_by).write.format("parquet").partitionBy(*partition_by).saveAsTable(
-            table
-        )
-    elif mode == "merge_cdc":
-        _merge(spark, table, df, partition_by, date_col, revive)
+        writer = _spread(df, partition_by).write.format("parquet")
+        writer.partitionBy(*partition_by).saveAsTable(table)
+        deletes = merges and has_deletes(spark.table(table))
+    elif merges:
+        deletes = _merge(df, table, partition_by, date_col, revive)
     elif mode == "overwrite_partitions":
         _replace_partitions(df, table, partition_by)
     else:
@@ -86,6 +88,16 @@ def months_of(df: DataFrame) -> list[Month]:
     return sorted((row.year, row.month) for row in found)
 
 
+def touched_months(changes: DataFrame) -> tuple[list[Month], bool]:
+    """The months of change rows, and whether any row is a DELETE, in one job."""
+    found = (
+        changes.groupBy(*PARTITIONS)
+        .agg(F.max(F.col("operation_type") == DELETE).alias("deletes"))
+        .collect()
+    )
+    return sorted((row.year, row.month) for row in found), any(row.deletes for row in found)
+
+
 def drop_months(spark: SparkSession, table: str, months: Iterable[Month]) -> None:
     """Drop partitions. Replacing partitions can never empty one; this does."""
     for year, month in months:
@@ -119,17 +131,20 @@ def merge_into(changes: DataFrame, table: str, view: str = "change", revive: boo
     merge.whenNotMatched().insert(from_change(CHANGES.fieldNames())).merge()
 
 
-def _merge(spark, table, changes, partition_by, date_col, revive) -> None:
-    stored = spark.table(table)
-    if partition_by:
-        stored = in_months(stored, months_of(changes))
-    merged = merge_changes(stored, changes, revive=revive)
+def _merge(
+    changes: DataFrame, table: str, partition_by: Sequence[str], date_col: str, revive: bool
+) -> bool:
+    stored = changes.sparkSession.table(table)
     if partition_by:
+        months, deletes = touched_months(changes)
+        merged = merge_changes(in_months(stored, months), changes, revive=revive)
         merged = with_month(merged, date_col)
     else:
         # An unpartitioned table is replaced as a whole, so it must be read first.
-        merged = staged(merged, "merged")
+        deletes = has_deletes(changes)
+        merged = staged(merge_changes(stored, changes, revive=revive), "merged")
     _replace_partitions(merged, table, partition_by)
+    return deletes
 
 
 def _replace_partitions(df: DataFrame, table: str, partition_by: Sequence[str]) -> None:

@@ -13,6 +13,7 @@ from ratelake.functions.columns import row_text
 from ratelake.operators import (
     clean_rates,
     convert_transactions,
+    coverage_gaps,
     coverage_report,
     coverage_summary,
     currency_dimension,
@@ -426,6 +427,9 @@ def test_coverage(spark):
     total = coverage_summary(report).collect()[0]
     assert (total.total_days, total.missing_days) == (6, 3)
     assert (total.missing_weekdays, total.missing_weekends, total.coverage_pct) == (1, 2, 50.0)
+    missing = report.filter("is_missing").drop("execution_timestamp")
+    gaps = coverage_gaps(df).drop("execution_timestamp")
+    assert sorted(gaps.collect()) == sorted(missing.collect())
     by_pair = {
         row.target: (row.total_days, row.missing_days)
         for row in coverage_summary(coverage_report(df, by=["target"]), by=["target"]).collect()
