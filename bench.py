@@ -19,14 +19,14 @@ from pyspark.sql import SparkSession
 from ratelake.plans.queries import registered
 
 HEADLINE = (
-    "clean_rates_by_key",
+    "clean_rates",
     "flatten_documents",
     "cdc_changes",
     "merge_snapshot",
-    "rolling_metrics_by_pair",
+    "rolling_metrics",
     "anomaly_flags",
-    "monthly_summary_by_pair",
-    "coverage_by_day",
+    "monthly_summary",
+    "coverage_report",
     "coverage_by_pair",
     "converted_transactions",
     "change_events",

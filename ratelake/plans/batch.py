@@ -36,6 +36,8 @@ from ratelake.sources.tables import (
     is_month,
     load,
     months_of,
+    note_pending,
+    pending_months,
     touched_months,
     with_month,
 )
@@ -70,7 +72,8 @@ class Batch:
     """What a run did.
 
     ``status``: "no_documents" (nothing readable came in), "no_changes", "base_only"
-    (stopped at a DELETE) or "complete".
+    (stopped at a DELETE) or "complete". ``rates`` and ``report`` cover the batch's
+    date range.
     """
 
     status: str
@@ -97,12 +100,13 @@ def run_batch(
     """Bring the tables up to date with the documents of one date range.
 
     ``on_delete="stop"``: a batch with a DELETE updates the base table and nothing
-    else. ``"continue"`` goes on; ``rebuild`` catches up after a stop.
+    else. ``"continue"`` goes on. The months held back, by a stop or a failure, stay
+    noted on the base table, and the next batch that passes brings them up to date.
 
     ``scope="history"``: metrics see the live rows before each date, and only the
     months that the changes reach are computed again. ``scope="changes"``: metrics
     see the change rows alone, the enriched and monthly tables are replaced as a
-    whole, and anomalies are appended.
+    whole, and anomalies are appended. A set of tables keeps to one scope.
 
     The driver handles one small result, the changed months: at most twelve rows for
     each calendar year between ``lo`` and ``hi``.
@@ -131,9 +135,14 @@ def run_batch(
         "changes",
     )
     months, deletes = touched_months(changes)
+    pending = pending_months(spark, tables.base) if stored is not None else []
     if not months:
+        if pending and scope == "history":
+            _refresh(spark, tables, changes, months, pending, run_ts)
         return Batch("no_changes", changes)
 
+    if stored is not None and scope == "history":
+        note_pending(spark, tables.base, {*months, *pending})
     load(changes, tables.base, "merge_cdc", revive=tombstones == "strict")
     if deletes and on_delete == "stop":
         return Batch("base_only", changes, has_deletes=True)
@@ -146,14 +155,11 @@ def run_batch(
         load(flag_anomalies(enriched), tables.anomalies, "append")
         current = changes
     else:
-        if all(spark.catalog.tableExists(name) for name in tables.derived()):
-            _refresh(spark, tables, changes, months, run_ts)
-        else:
-            rebuild(spark, tables, run_ts)
+        _refresh(spark, tables, changes, months, pending, run_ts)
         current = spark.table(tables.base)
 
     load(coverage_report(incoming, run_ts=run_ts), tables.quality, "append", partition_by=())
-    rates = fact_rates(current)
+    rates = fact_rates(in_range(current, lo, hi))
     report = None
     if transactions is not None and customers is not None:
         report = convert_transactions(transactions, customers, rates)
@@ -175,6 +181,7 @@ def rebuild(spark: SparkSession, tables: Tables, run_ts: datetime | str | None =
     write(monthly_summary(live, run_ts=run_ts), tables.monthly)
     enriched = write(metrics, tables.enriched)
     write(flag_anomalies(enriched), tables.anomalies)
+    note_pending(spark, tables.base, [])
 
 
 def _refresh(
@@ -182,26 +189,40 @@ def _refresh(
     tables: Tables,
     changes: DataFrame,
     changed: list[Month],
+    pending: list[Month],
     run_ts: datetime | str | None,
 ) -> None:
-    """Compute again the months of the derived tables that the changes reach."""
-    live = live_rows(spark.table(tables.base))
-    # One row per pair and month with live rows; the scan reads the pair columns only.
-    counts = live.groupBy(*PAIR, "year", "month").agg(F.count("*").alias("n")).persist()
-    touched = changes.select(*PAIR, "year", "month").distinct()
+    """Compute again the months of the derived tables that the changes reach.
+
+    The monthly table comes first: its counts per pair and month then tell which
+    months the other tables need, without going over the base table.
+    """
+    if not all(spark.catalog.tableExists(name) for name in tables.derived()):
+        return rebuild(spark, tables, run_ts)
+    base = spark.table(tables.base)
+    live = live_rows(base)
+    stale = sorted({*changed, *pending})
+    summary = monthly_summary(in_months(live, stale), run_ts=run_ts)
+    monthly = _write_months(summary, tables.monthly, stale, months_of(in_months(live, stale)))
+
+    counts = monthly.select(*PAIR, "year", "month", F.col("observations_count").alias("n"))
+    # Of a month held back, which pairs changed is not known: all that have rows
+    # there count as touched, with those whose rows are all deleted.
+    touched = (
+        changes.select(*PAIR, "year", "month")
+        .unionByName(in_months(base, pending).select(*PAIR, "year", "month"))
+        .distinct()
+    )
     affected = months_of(affected_months(counts, touched, LONG_FRAME - 1))
     needed = months_of(months_before(counts, affected, LONG_FRAME - 1))
     alive = months_of(counts)
-    counts.unpersist()
 
-    summary = monthly_summary(in_months(live, changed), run_ts=run_ts)
-    _write_months(summary, tables.monthly, changed, alive)
     history = in_months(live, needed).select(*CHANGES.fieldNames())
     metrics = in_months(with_month(rolling_metrics(history, run_ts=run_ts)), affected)
     enriched = _write_months(metrics, tables.enriched, affected, alive)
-    _write_months(
-        flag_anomalies(in_months(enriched, affected)), tables.anomalies, affected, alive
-    )
+    flags = flag_anomalies(in_months(enriched, affected))
+    _write_months(flags, tables.anomalies, affected, alive)
+    note_pending(spark, tables.base, [])
 
 
 def affected_months(counts: DataFrame, touched: DataFrame, reach: int) -> DataFrame:

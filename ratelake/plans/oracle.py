@@ -225,7 +225,7 @@ def statements() -> dict[str, str]:
     with_rates = "with" + _RATES
     both_batches = "with" + _merged(within=_IN_LO_HI)
     return {
-        "clean_rates_by_key": with_rates
+        "clean_rates": with_rates
         + ' select "date", base, target, base_amount, round(rate, 6) as rate, src_id from rates',
         "clean_dirty_rates": "with"
         + _DIRTY
@@ -268,7 +268,7 @@ def statements() -> dict[str, str]:
         "cdc_op_counts": "with"
         + _changes()
         + " select operation_type, count(*) as row_count from changes group by operation_type",
-        "delete_gate_status": "with"
+        "delete_gate": "with"
         + _changes()
         + """ select count(*) filter (operation_type = 'DELETE') > 0 as has_deletes,
           count(*) filter (operation_type = 'DELETE') as delete_count from changes""",
@@ -302,7 +302,7 @@ def statements() -> dict[str, str]:
             "updated_at, exists (select 1 from changes where operation_type = 'DELETE')"
             " as has_deletes from",
         ),
-        "rolling_metrics_by_pair": with_rates
+        "rolling_metrics": with_rates
         + ","
         + _metrics("rates")
         + f""" select "date", base, target, base_amount, '{FIRST_RUN}' as updated_at,
@@ -315,22 +315,22 @@ def statements() -> dict[str, str]:
         + ","
         + _metrics("rates")
         + ' select "date", base, target, round(rate, 6) as rate, z_score from flagged where is_anomaly',
-        "monthly_summary_by_pair": with_rates + _monthly("rates"),
+        "monthly_summary": with_rates + _monthly("rates"),
         "monthly_summary_sorted": with_rates
         + _monthly("rates")
         + ' order by "year", "month", target',
-        "coverage_by_day": with_rates + "," + _calendar() + " select" + _REPORT_VIEW,
-        "coverage_totals": with_rates + "," + _calendar() + _coverage_totals(),
+        "coverage_report": with_rates + "," + _calendar() + " select" + _REPORT_VIEW,
+        "coverage_summary": with_rates + "," + _calendar() + _coverage_totals(),
         "coverage_by_pair": with_rates
         + ","
         + _calendar("base, target,")
         + " select base, target,"
         + _REPORT_VIEW,
-        "coverage_totals_by_pair": with_rates
+        "coverage_summary_by_pair": with_rates
         + ","
         + _calendar("base, target,")
         + _coverage_totals("base, target,"),
-        "coverage_gap_days": with_rates
+        "coverage_gaps": with_rates
         + ","
         + _calendar("base, target,")
         + " select base, target,"
@@ -345,7 +345,7 @@ def statements() -> dict[str, str]:
         "dim_customer": "select c_custkey as customer_id, c_name as customer_name,"
         " c_mktsegment as segment from customer",
         "dim_currency": "select n_nationkey as currency_code, n_name as currency_name from nation",
-        "fact_exchange_rates": "with"
+        "fact_rates": "with"
         + _changes()
         + """ select "date", base, target, round(rate, 6) as rate, ingestion_timestamp
           from changes where operation_type <> 'DELETE'""",
@@ -372,7 +372,8 @@ def statements() -> dict[str, str]:
         + _LIVE
         + ","
         + _TRANSACTIONS
-        + _converted("live"),
+        + _converted("live")
+        + f""" where t."date" between '{LO}' and '{HI}'""",
         "table_row_counts": both_batches
         + """,
         months as (

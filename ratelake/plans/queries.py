@@ -55,9 +55,12 @@ LO, HI = "1997-03-15", "1998-10-20"
 FIRST_DAY, LAST_DAY = "1990-01-01", "2010-12-31"
 
 
-def query(function: Query) -> Query:
-    _QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        _QUERIES[name] = function
+        return function
+
+    return register
 
 
 def registered() -> dict[str, Query]:
@@ -100,32 +103,32 @@ def _stored_view(rows: DataFrame) -> DataFrame:
 # --- cleaning and ranges
 
 
-@query
-def clean_rates_by_key(spark, sf_dir):
+@query("clean_rates")
+def query_clean_rates(spark, sf_dir):
     return rates(spark, sf_dir).select(*KEYS, "base_amount", *_six("rate"), "src_id")
 
 
-@query
-def clean_dirty_rates(spark, sf_dir):
+@query("clean_dirty_rates")
+def query_clean_dirty_rates(spark, sf_dir):
     cleaned = clean_rates(dirty_ticks(spark, sf_dir), tie_break=["src_id"])
     return cleaned.select(*KEYS, *_six("rate"), "src_id")
 
 
-@query
-def clean_drop_report(spark, sf_dir):
+@query("clean_drop_report")
+def query_clean_drop_report(spark, sf_dir):
     return drop_report(dirty_ticks(spark, sf_dir))
 
 
-@query
-def date_range_filter(spark, sf_dir):
+@query("date_range_filter")
+def query_date_range_filter(spark, sf_dir):
     return in_range(rates(spark, sf_dir), LO, HI).select(*KEYS, *_six("rate"))
 
 
 # --- documents
 
 
-@query
-def flatten_documents(spark, sf_dir):
+@query("flatten_documents")
+def query_flatten_documents(spark, sf_dir):
     """Every order lands as a JSON document; files are read, flattened and cleaned."""
     path = shared_folder(spark, "documents")
     documents(ticks(spark, sf_dir)).write.text(path)
@@ -133,8 +136,8 @@ def flatten_documents(spark, sf_dir):
     return flat.select(*KEYS, "base_amount", *_six("rate"), _stamp("ingested_at"))
 
 
-@query
-def flatten_text_column(spark, sf_dir):
+@query("flatten_text_column")
+def query_flatten_text_column(spark, sf_dir):
     """The same from a text column, duplicates kept; totals per currency."""
     flat = flatten_rates(parse_documents(documents(ticks(spark, sf_dir))), FIRST_RUN)
     return flat.groupBy("base", "target").agg(
@@ -165,23 +168,23 @@ def _merged(spark, sf_dir, with_tombstones=False, tombstones="latched") -> DataF
     return merge_changes(stored, changes, revive=tombstones == "strict")
 
 
-@query
-def cdc_changes(spark, sf_dir):
+@query("cdc_changes")
+def query_cdc_changes(spark, sf_dir):
     return _change_view(_changes(spark, sf_dir))
 
 
-@query
-def cdc_changes_in_range(spark, sf_dir):
+@query("cdc_changes_in_range")
+def query_cdc_changes_in_range(spark, sf_dir):
     return _change_view(_changes(spark, sf_dir, lo=LO, hi=HI))
 
 
-@query
-def cdc_initial_load(spark, sf_dir):
+@query("cdc_initial_load")
+def query_cdc_initial_load(spark, sf_dir):
     return _change_view(_first_load(spark, sf_dir))
 
 
-@query
-def cdc_empty_batch(spark, sf_dir):
+@query("cdc_empty_batch")
+def query_cdc_empty_batch(spark, sf_dir):
     """Nothing comes in for the range: each stored row of it is a DELETE."""
     stored = stored_rows(old_snapshot(spark, sf_dir))
     nothing = new_snapshot(spark, sf_dir).filter(F.col("rate").isNull())
@@ -191,44 +194,44 @@ def cdc_empty_batch(spark, sf_dir):
     return _change_view(changes)
 
 
-@query
-def cdc_latched_tombstones(spark, sf_dir):
+@query("cdc_latched_tombstones")
+def query_cdc_latched_tombstones(spark, sf_dir):
     return _change_view(_changes(spark, sf_dir, with_tombstones=True))
 
 
-@query
-def cdc_strict_tombstones(spark, sf_dir):
+@query("cdc_strict_tombstones")
+def query_cdc_strict_tombstones(spark, sf_dir):
     return _change_view(_changes(spark, sf_dir, with_tombstones=True, tombstones="strict"))
 
 
-@query
-def cdc_op_counts(spark, sf_dir):
+@query("cdc_op_counts")
+def query_cdc_op_counts(spark, sf_dir):
     changes = _changes(spark, sf_dir)
     return changes.groupBy("operation_type").agg(F.count("*").alias("row_count"))
 
 
-@query
-def delete_gate_status(spark, sf_dir):
+@query("delete_gate")
+def query_delete_gate(spark, sf_dir):
     return delete_gate(_changes(spark, sf_dir))
 
 
-@query
-def merge_snapshot(spark, sf_dir):
+@query("merge_snapshot")
+def query_merge_snapshot(spark, sf_dir):
     return _stored_view(_merged(spark, sf_dir))
 
 
-@query
-def merge_live_rows(spark, sf_dir):
+@query("merge_live_rows")
+def query_merge_live_rows(spark, sf_dir):
     return live_rows(_merged(spark, sf_dir)).select(*KEYS, *_six("rate"), "operation_type")
 
 
-@query
-def merge_tombstones(spark, sf_dir):
+@query("merge_tombstones")
+def query_merge_tombstones(spark, sf_dir):
     return _stored_view(_merged(spark, sf_dir, with_tombstones=True))
 
 
-@query
-def merge_strict_revival(spark, sf_dir):
+@query("merge_strict_revival")
+def query_merge_strict_revival(spark, sf_dir):
     return _stored_view(_merged(spark, sf_dir, with_tombstones=True, tombstones="strict"))
 
 
@@ -243,8 +246,8 @@ def _database(spark: SparkSession, name: str) -> str:
     return database
 
 
-@query
-def load_append(spark, sf_dir):
+@query("load_append")
+def query_load_append(spark, sf_dir):
     """Two loads of one snapshot and the next: the first creates, the second appends."""
     name = f"{_database(spark, 'append')}.rates"
     load(stored_rows(old_snapshot(spark, sf_dir)), name, "append")
@@ -254,8 +257,8 @@ def load_append(spark, sf_dir):
     )
 
 
-@query
-def load_overwrite_partitions(spark, sf_dir):
+@query("load_overwrite_partitions")
+def query_load_overwrite_partitions(spark, sf_dir):
     """The months of the second range are replaced by the new snapshot, others stay."""
     name = f"{_database(spark, 'overwrite')}.rates"
     load(stored_rows(old_snapshot(spark, sf_dir)), name, "overwrite_partitions")
@@ -264,8 +267,8 @@ def load_overwrite_partitions(spark, sf_dir):
     return loaded.select(*KEYS, *_six("rate"), "year", "month")
 
 
-@query
-def load_merge_cdc(spark, sf_dir):
+@query("load_merge_cdc")
+def query_load_merge_cdc(spark, sf_dir):
     """Changes of a range are detected against a table and merged into it."""
     name = f"{_database(spark, 'merge')}.rates"
     stored, _ = load(stored_rows(old_snapshot(spark, sf_dir)), name, "merge_cdc")
@@ -286,21 +289,21 @@ def _metrics(spark, sf_dir) -> DataFrame:
 _METRIC_NAMES = ("rate", "daily_variation_pct", "sma_7d", "sma_30d", "volatility_30d")
 
 
-@query
-def rolling_metrics_by_pair(spark, sf_dir):
+@query("rolling_metrics")
+def query_rolling_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir).select(
         *KEYS, "base_amount", _stamp("updated_at"), *_six(*_METRIC_NAMES)
     )
 
 
-@query
-def anomaly_flags(spark, sf_dir):
+@query("anomaly_flags")
+def query_anomaly_flags(spark, sf_dir):
     flagged = flag_anomalies(_metrics(spark, sf_dir))
     return flagged.select(*KEYS, *_six(*_METRIC_NAMES), "is_anomaly", "z_score")
 
 
-@query
-def anomalies_only(spark, sf_dir):
+@query("anomalies_only")
+def query_anomalies_only(spark, sf_dir):
     flagged = flag_anomalies(_metrics(spark, sf_dir)).filter("is_anomaly")
     return flagged.select(*KEYS, *_six("rate"), "z_score")
 
@@ -317,13 +320,13 @@ def _summary_view(summary: DataFrame) -> DataFrame:
     )
 
 
-@query
-def monthly_summary_by_pair(spark, sf_dir):
+@query("monthly_summary")
+def query_monthly_summary(spark, sf_dir):
     return _summary_view(monthly_summary(rates(spark, sf_dir)))
 
 
-@query
-def monthly_summary_sorted(spark, sf_dir):
+@query("monthly_summary_sorted")
+def query_monthly_summary_sorted(spark, sf_dir):
     """The reading order: year, month, currency."""
     return _summary_view(monthly_summary(rates(spark, sf_dir))).orderBy("year", "month", "target")
 
@@ -349,34 +352,34 @@ def _coverage_totals(summary: DataFrame, *by: str) -> DataFrame:
     )
 
 
-@query
-def coverage_by_day(spark, sf_dir):
+@query("coverage_report")
+def query_coverage_report(spark, sf_dir):
     return _report_view(coverage_report(rates(spark, sf_dir)))
 
 
-@query
-def coverage_totals(spark, sf_dir):
+@query("coverage_summary")
+def query_coverage_summary(spark, sf_dir):
     return _coverage_totals(coverage_summary(coverage_report(rates(spark, sf_dir))))
 
 
-@query
-def coverage_by_pair(spark, sf_dir):
+@query("coverage_by_pair")
+def query_coverage_by_pair(spark, sf_dir):
     return _report_view(coverage_report(rates(spark, sf_dir), by=PAIR), *PAIR)
 
 
-@query
-def coverage_totals_by_pair(spark, sf_dir):
+@query("coverage_summary_by_pair")
+def query_coverage_summary_by_pair(spark, sf_dir):
     report = coverage_report(rates(spark, sf_dir), by=PAIR)
     return _coverage_totals(coverage_summary(report, by=PAIR), *PAIR)
 
 
-@query
-def coverage_gap_days(spark, sf_dir):
+@query("coverage_gaps")
+def query_coverage_gaps(spark, sf_dir):
     return _report_view(coverage_gaps(rates(spark, sf_dir), by=PAIR), *PAIR)
 
 
-@query
-def newest_dq_rows(spark, sf_dir):
+@query("newest_dq_rows")
+def query_newest_dq_rows(spark, sf_dir):
     report = coverage_report(rates(spark, sf_dir))
     return _report_view(report.orderBy(F.desc("dq_date")).limit(5))
 
@@ -391,31 +394,31 @@ def _customers(spark, sf_dir) -> DataFrame:
     )
 
 
-@query
-def dim_customer(spark, sf_dir):
+@query("dim_customer")
+def query_dim_customer(spark, sf_dir):
     return _customers(spark, sf_dir)
 
 
-@query
-def dim_currency(spark, sf_dir):
+@query("dim_currency")
+def query_dim_currency(spark, sf_dir):
     return dimension(
         table(spark, sf_dir, "nation"), {"currency_code": "n_nationkey", "currency_name": "n_name"}
     )
 
 
-@query
-def fact_exchange_rates(spark, sf_dir):
+@query("fact_rates")
+def query_fact_rates(spark, sf_dir):
     facts = fact_rates(_changes(spark, sf_dir))
     return facts.select(*KEYS, *_six("rate"), _stamp("ingestion_timestamp"))
 
 
-@query
-def fact_transactions(spark, sf_dir):
+@query("fact_transactions")
+def query_fact_transactions(spark, sf_dir):
     return transactions(spark, sf_dir)
 
 
-@query
-def converted_transactions(spark, sf_dir):
+@query("converted_transactions")
+def query_converted_transactions(spark, sf_dir):
     report = convert_transactions(
         transactions(spark, sf_dir),
         _customers(spark, sf_dir),
@@ -441,13 +444,13 @@ def _event_view(events: DataFrame) -> DataFrame:
     )
 
 
-@query
-def change_events(spark, sf_dir):
+@query("change_events")
+def query_change_events(spark, sf_dir):
     return _event_view(to_events(_changes(spark, sf_dir)))
 
 
-@query
-def change_events_json_roundtrip(spark, sf_dir):
+@query("change_events_json_roundtrip")
+def query_change_events_json_roundtrip(spark, sf_dir):
     events = to_events(_changes(spark, sf_dir))
     path = shared_folder(spark, "events")
     write_events(events, path)
@@ -469,8 +472,8 @@ def _two_batches(spark, sf_dir, **options) -> tuple[Tables, Batch]:
     return tables, batch
 
 
-@query
-def two_batches_base(spark, sf_dir):
+@query("two_batches_base")
+def query_two_batches_base(spark, sf_dir):
     tables, _ = _two_batches(spark, sf_dir)
     return spark.table(tables.base).select(
         *KEYS,
@@ -482,26 +485,26 @@ def two_batches_base(spark, sf_dir):
     )
 
 
-@query
-def two_batches_enriched(spark, sf_dir):
+@query("two_batches_enriched")
+def query_two_batches_enriched(spark, sf_dir):
     tables, _ = _two_batches(spark, sf_dir, on_delete="continue")
     return spark.table(tables.enriched).select(*KEYS, *_six(*_METRIC_NAMES))
 
 
-@query
-def two_batches_anomalies(spark, sf_dir):
+@query("two_batches_anomalies")
+def query_two_batches_anomalies(spark, sf_dir):
     tables, _ = _two_batches(spark, sf_dir, on_delete="continue")
     return spark.table(tables.anomalies).select(*KEYS, *_six("rate"), "is_anomaly", "z_score")
 
 
-@query
-def two_batches_monthly(spark, sf_dir):
+@query("two_batches_monthly")
+def query_two_batches_monthly(spark, sf_dir):
     tables, _ = _two_batches(spark, sf_dir, on_delete="continue")
     return _summary_view(spark.table(tables.monthly))
 
 
-@query
-def two_batches_report(spark, sf_dir):
+@query("two_batches_report")
+def query_two_batches_report(spark, sf_dir):
     """The converted transactions at the live rates after both batches."""
     _, batch = _two_batches(
         spark,
@@ -513,8 +516,8 @@ def two_batches_report(spark, sf_dir):
     return batch.report.withColumn("daily_rate", F.round("daily_rate", 6))
 
 
-@query
-def table_row_counts(spark, sf_dir):
+@query("table_row_counts")
+def query_table_row_counts(spark, sf_dir):
     """Rows per table after a batch that stops at its deletes: only the base moves."""
     tables, batch = _two_batches(spark, sf_dir)
     counts = None

@@ -18,6 +18,7 @@ from ratelake.schemas import CHANGES, DELETE, INSERT, KEYS, UPDATE
 from ratelake.sources.shared import staged
 
 PARTITIONS = ("year", "month")
+_PENDING = "ratelake.pending_months"
 MODES = ("append", "merge_cdc", "overwrite_partitions")
 
 Month = tuple[int, int]
@@ -106,6 +107,20 @@ def drop_months(spark: SparkSession, table: str, months: Iterable[Month]) -> Non
         )
 
 
+def note_pending(spark: SparkSession, table: str, months: Iterable[Month]) -> None:
+    """Note on a table the months that other tables have yet to follow."""
+    text = ",".join(f"{year}-{month}" for year, month in sorted(months))
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_PENDING}' = '{text}')")
+
+
+def pending_months(spark: SparkSession, table: str) -> list[Month]:
+    """The months noted by :func:`note_pending`."""
+    properties = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key") == _PENDING)
+    text = "".join(row.value for row in properties.collect())
+    pairs = [month.split("-") for month in text.split(",") if month]
+    return [(int(year), int(month)) for year, month in pairs]
+
+
 def merge_into(changes: DataFrame, table: str, view: str = "change", revive: bool = False) -> None:
     """The same merge by the catalog's own MERGE, for transactional table formats."""
     target = table.split(".")[-1]
@@ -165,7 +180,12 @@ def _replace_partitions(df: DataFrame, table: str, partition_by: Sequence[str])
 
 
 def _in_table_order(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*df.sparkSession.table(table).columns)
+    """Columns by name in the order of the table; insertInto goes by position."""
+    columns = df.sparkSession.table(table).columns
+    unknown = set(df.columns) - set(columns)
+    if unknown:
+        raise ValueError(f"{table} has no column {', '.join(sorted(unknown))}")
+    return df.select(*columns)
 
 
 def _spread(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from ratelake.plans.batch import Tables, affected_months, months_before, rebuild
 from ratelake.schemas import CHANGES, CUSTOMERS, TRANSACTIONS
 from ratelake.sources.documents import parse_documents
 from ratelake.sources.shared import shared_folder
+from ratelake.sources.tables import pending_months
 
 RUNS = [f"2026-06-{day:02d} 00:00:00" for day in range(1, 29)]
 
@@ -102,12 +103,56 @@ def test_empty_batch_is_all_deletes_and_stops(spark, tables):
     assert again.status == "base_only"
     back = run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[3])
     assert back.status == "no_changes"
-
-    rebuild(spark, tables, RUNS[4])
+    # That batch passed, so the derived tables now follow the deletes held back.
     same_as_full_recompute(spark, tables)
     assert spark.table(tables.enriched).isEmpty() and spark.table(tables.monthly).isEmpty()
 
 
+def test_held_back_months_follow_with_the_next_batch(spark, tables):
+    """The only May row of a pair goes in a held batch; its June frames must follow."""
+    rates = {(f"2026-{month:02d}-15", "MXN"): float(month) for month in range(4, 9)}
+    rates |= {("2026-05-15", "EUR"): 5.0, ("2026-06-15", "EUR"): 7.0}
+    run_batch(documents(spark, rates), tables, "2026-04-01", "2026-08-31", run_ts=RUNS[0])
+    may = {key: rate for key, rate in rates.items() if key == ("2026-05-15", "MXN")}
+    span = ("2026-05-01", "2026-05-31")
+    assert run_batch(documents(spark, may), tables, *span, run_ts=RUNS[1]).status == "base_only"
+    assert pending_months(spark, tables.base) == [(2026, 5)]
+    assert spark.table(tables.enriched).count() == 7
+    august = {("2026-08-15", "MXN"): 80.0}
+    span = ("2026-08-01", "2026-08-31")
+    assert run_batch(documents(spark, august), tables, *span, run_ts=RUNS[2]).status == "complete"
+    assert pending_months(spark, tables.base) == []
+    same_as_full_recompute(spark, tables)
+
+
+def test_a_failed_batch_is_caught_up(spark, tables, monkeypatch):
+    rates = {(f"2026-05-{day:02d}", "MXN"): float(day) for day in range(1, 8)}
+    span = ("2026-05-01", "2026-05-31")
+    run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[0])
+    rates["2026-05-03", "MXN"] = 30.0
+
+    def lost(*args, **options):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr("ratelake.plans.batch.rolling_metrics", lost)
+        with pytest.raises(RuntimeError):
+            run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[1])
+    again = run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[2])
+    assert again.status == "no_changes"
+    same_as_full_recompute(spark, tables)
+
+
+def test_rebuild(spark, tables):
+    rates = {("2026-05-06", "MXN"): 17.0, ("2026-06-07", "MXN"): 17.5}
+    run_batch(documents(spark, rates), tables, "2026-05-01", "2026-06-30", run_ts=RUNS[0])
+    run_batch(documents(spark, {}), tables, "2026-06-01", "2026-06-30", run_ts=RUNS[1])
+    rebuild(spark, tables, RUNS[2])
+    assert pending_months(spark, tables.base) == []
+    same_as_full_recompute(spark, tables)
+    assert rows(spark.table(tables.enriched), "date") == [("2026-05-06",)]
+
+
 def test_strict_tombstones_come_back(spark, tables):
     rates = {("2026-05-06", "MXN"): 17.0, ("2026-05-07", "MXN"): 17.5}
     span = ("2026-05-06", "2026-05-08")

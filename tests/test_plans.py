@@ -16,8 +16,6 @@ from ratelake.operators import (
     monthly_summary,
     rolling_metrics,
 )
-from ratelake.plans.batch import affected_months
-from ratelake.schemas import PAIR
 from ratelake.sources.shared import shared_folder
 from ratelake.sources.tables import in_months, load
 from tests.test_operators import DAY, RUN_2, rates_frame, stored_frame
@@ -93,13 +91,6 @@ def test_summary_aggregates_before_the_shuffle(base):
     assert schema == "date:string,base:string,target:string,rate:double,operation_type:string"
 
 
-def test_pair_counts_read_the_pair_columns_only(spark, base):
-    counts = live_rows(base).groupBy(*PAIR, "year", "month").agg(F.count("*").alias("n"))
-    text = plan(affected_months(counts, base.select(*PAIR, "year", "month").distinct(), 29))
-    for scan in scans(text):
-        assert "rate:" not in scan and "date:" not in scan
-
-
 def test_metrics_never_shuffle_rows_by_pair_alone(base):
     text = plan(rolling_metrics(base.drop("year", "month")))
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)

@@ -103,6 +103,13 @@ def test_append_matches_columns_by_name(spark, database):
     assert values(loaded) == [(DAY, "A", 1.0)] * 2
 
 
+def test_unknown_columns_are_refused(spark, database):
+    df = simple(spark, (DAY, "A", 1.0))
+    load(df, f"{database}.t")
+    with pytest.raises(ValueError, match="extra"):
+        load(df.withColumn("extra", F.lit(1)), f"{database}.t")
+
+
 def test_overwrite_replaces_only_the_months_it_holds(spark, database):
     name = f"{database}.t"
     load(simple(spark, ("2026-04-01", "A", 1.0), ("2026-05-01", "A", 1.0)), name)
