@@ -208,8 +208,6 @@ def _converted(relation: str) -> str:
   join {relation} r on t."date" = r."date" and target_currency = r.target"""
 
 
-# The batches land text without order keys: of two rows with one key, the lower rate
-# stays. Snapshots hold one row per key, so this only matters for plain documents.
 _IN_LO_HI = (LO, HI)
 _SECOND_STAMP_EVENT = SECOND_RUN.replace(" ", "T") + "Z"
 
