@@ -37,7 +37,7 @@ def clean_rates(
     rest = [
         name
         for name, kind in df.dtypes
-        if name not in keys and name not in tie_break and not kind.startswith(("map", "variant"))
+        if name not in (*keys, *tie_break) and "map<" not in kind and "variant" not in kind
     ]
     order = [*tie_break, *rest] or list(keys)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

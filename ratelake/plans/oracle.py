@@ -47,7 +47,9 @@ dirty as (
 
 
 def _snapshots(tombstones: bool = False) -> str:
-    operation = "case when status = 'P' then 'DELETE' else 'INSERT' end" if tombstones else "'INSERT'"
+    operation = "'INSERT'"
+    if tombstones:
+        operation = "case when status = 'P' then 'DELETE' else 'INSERT' end"
     return (
         _RATES
         + f""",
@@ -174,7 +176,8 @@ days_seen as (
   select c.*, s.dq_date is null as is_missing, dayofweek(c.dq_date) in (0, 6) as weekend
   from calendar c left join seen s on c.dq_date = s.dq_date {same}),
 report as (
-  select {by} dq_date, is_missing, case when weekend then '{WEEKEND}' else '{WEEKDAY}' end as day_type,
+  select {by} dq_date, is_missing,
+    case when weekend then '{WEEKEND}' else '{WEEKDAY}' end as day_type,
     case when not is_missing then '{PRESENT}' when weekend then '{WEEKEND_GAP}'
          else '{WEEKDAY_GAP}' end as status_detail
   from days_seen)"""
@@ -312,7 +315,8 @@ def statements() -> dict[str, str]:
         "anomalies_only": with_rates
         + ","
         + _metrics("rates")
-        + ' select "date", base, target, round(rate, 6) as rate, z_score from flagged where is_anomaly',
+        + """ select "date", base, target, round(rate, 6) as rate, z_score
+          from flagged where is_anomaly""",
         "monthly_summary": with_rates + _monthly("rates"),
         "monthly_summary_sorted": with_rates
         + _monthly("rates")

@@ -41,7 +41,7 @@ from ratelake.plans.order_rates import (
     ticks,
     transactions,
 )
-from ratelake.schemas import CHANGES, KEYS, PAIR
+from ratelake.schemas import KEYS, PAIR
 from ratelake.sources.documents import flatten_rates, parse_documents, read_documents
 from ratelake.sources.event_files import write_events
 from ratelake.sources.shared import shared_folder, staged

@@ -18,8 +18,8 @@ from ratelake.schemas import CHANGES, DELETE, INSERT, KEYS, UPDATE
 from ratelake.sources.shared import staged
 
 PARTITIONS = ("year", "month")
-_PENDING = "ratelake.pending_months"
 MODES = ("append", "merge_cdc", "overwrite_partitions")
+_PENDING = "ratelake.pending_months"
 
 Month = tuple[int, int]
 
@@ -96,20 +96,30 @@ def touched_months(changes: DataFrame) -> tuple[list[Month], bool]:
         .agg(F.max(F.col("operation_type") == DELETE).alias("deletes"))
         .collect()
     )
+    if any(row.year is None for row in found):
+        raise ValueError("change rows need a date that is an ISO day")
     return sorted((row.year, row.month) for row in found), any(row.deletes for row in found)
 
 
 def drop_months(spark: SparkSession, table: str, months: Iterable[Month]) -> None:
     """Drop partitions. Replacing partitions can never empty one; this does."""
     for year, month in months:
-        spark.sql(
-            f"ALTER TABLE {table} DROP IF EXISTS PARTITION (year = {int(year)}, month = {int(month)})"
-        )
+        partition = f"year = {int(year)}, month = {int(month)}"
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition})")
 
 
 def note_pending(spark: SparkSession, table: str, months: Iterable[Month]) -> None:
-    """Note on a table the months that other tables have yet to follow."""
-    text = ",".join(f"{year}-{month}" for year, month in sorted(months))
+    """Note on a table the months that other tables have yet to follow.
+
+    Runs of months are noted by their ends, as metastores limit a property's length.
+    """
+    runs: list[list[int]] = []
+    for number in sorted(year * 12 + month - 1 for year, month in months):
+        if runs and number == runs[-1][1] + 1:
+            runs[-1][1] = number
+        else:
+            runs.append([number, number])
+    text = ",".join(f"{first}:{last}" for first, last in runs)
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_PENDING}' = '{text}')")
 
 
@@ -117,8 +127,9 @@ def pending_months(spark: SparkSession, table: str) -> list[Month]:
     """The months noted by :func:`note_pending`."""
     properties = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key") == _PENDING)
     text = "".join(row.value for row in properties.collect())
-    pairs = [month.split("-") for month in text.split(",") if month]
-    return [(int(year), int(month)) for year, month in pairs]
+    runs = [[int(end) for end in run.split(":")] for run in text.split(",") if run]
+    numbers = [number for first, last in runs for number in range(first, last + 1)]
+    return [(number // 12, number % 12 + 1) for number in numbers]
 
 
 def merge_into(changes: DataFrame, table: str, view: str = "change", revive: bool = False) -> None:

@@ -1,6 +1,7 @@
 """Documents, tables, event files and the shared folder."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,7 +11,14 @@ from ratelake.operators import detect_changes, to_events
 from ratelake.sources.documents import flatten_rates, parse_documents, read_documents
 from ratelake.sources.event_files import write_events
 from ratelake.sources.shared import shared_folder, staged
-from ratelake.sources.tables import drop_months, load, merge_into, months_of
+from ratelake.sources.tables import (
+    drop_months,
+    load,
+    merge_into,
+    months_of,
+    note_pending,
+    pending_months,
+)
 from tests.test_operators import DAY, RUN_1, RUN_2, rates_frame, stored_frame
 
 DOCUMENT = {
@@ -150,6 +158,13 @@ def test_merge_mode(spark, database, partition_by):
     }
 
 
+def test_merge_refuses_rows_without_a_day(spark, database):
+    load(simple(spark, (DAY, "A", 1.0)), f"{database}.t")
+    changes = detect_changes(rates_frame(spark, [("2026-02-30", "A", 2.0)]))
+    with pytest.raises(ValueError, match="ISO day"):
+        load(changes, f"{database}.t", "merge_cdc")
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         load(simple(spark, (DAY, "A", 1.0)), "nowhere.t", "upsert")
@@ -170,6 +185,17 @@ def test_catalog_merge_needs_row_level_operations(spark, database):
         merge_into(changes, f"{database}.t", revive=True)
 
 
+def test_pending_months(spark, database):
+    name = f"{database}.t"
+    load(simple(spark, (DAY, "A", 1.0)), name)
+    assert pending_months(spark, name) == []
+    months = [(2025, 11), (2025, 12), (2026, 1), (2026, 5), (1999, 12)]
+    note_pending(spark, name, months)
+    assert pending_months(spark, name) == sorted(months)
+    note_pending(spark, name, [])
+    assert pending_months(spark, name) == []
+
+
 # --- files
 
 
@@ -195,3 +221,23 @@ def test_staged_rows_come_from_files(spark):
     assert once.collect() == once.collect() and once.count() == 10
     root = spark.conf.get("spark.checkpoint.dir")
     assert all(root in path for path in once.inputFiles())
+
+
+def session(master, folder=None):
+    conf = SimpleNamespace(get=lambda name, default=None: folder or default)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
+def test_shared_folder_is_the_one_of_the_session():
+    assert shared_folder(session("yarn", "hdfs://x/shared/"), "a").startswith("hdfs://x/shared/a-")
+    assert shared_folder(session("local[2]"), "a") != shared_folder(session("local[2]"), "a")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077"), "a")
+
+
+def test_clean_takes_columns_without_an_order(spark):
+    from ratelake.operators import clean_rates
+
+    df = rates_frame(spark, [(DAY, "A", 2.0), (DAY, "A", 1.0)])
+    df = df.withColumn("tags", F.array(F.create_map(F.lit("k"), "rate")))
+    assert [row.rate for row in clean_rates(df).collect()] == [1.0]
