@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ratelake.llm.piece_codec import encode_decode_digests
 from ratelake.llm.rows import table
 from ratelake.llm.token_counts import token_counts
+from ratelake.llm.token_store import lookup, shard_starts, stored_digests, write_store
+from ratelake.sources.shared import shared_folder
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +20,34 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path, limit=1024)
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts by the index, lengths and checksums from the payload that was written."""
+    docs, path = table(spark, sf_dir, "documents"), shared_folder(spark, "token-store")
+    write_store(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    stored, at = stored_digests(spark, path), F.struct("shard", "offset")
+    first = lookup(spark, path, docs).select(
+        F.col("doc_id").alias("key"), at.alias("first"), F.col("rows")
+    )
+    # Every stored row lies at, or after, the place that the index gives for its key.
+    held = stored.join(
+        first, stored.doc_id.eqNullSafe(first.key) & (at >= F.col("first")), "inner"
+    )
+    return held.join(shard_starts(spark, path), "shard").select(
+        "doc_id",
+        (F.col("base") + F.col("offset")).alias("start"),
+        "n_tokens",
+        "ids_crc32",
+        F.col("rows").alias("rows_of_key"),
+    )
+
+
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return encode_decode_digests(table(spark, sf_dir, "documents"), path)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op9_sentencepiece_codec)
+    named = (op1_token_counts, op4_token_store, op9_sentencepiece_codec)
     return {query.__name__: query for query in named}
 
 

@@ -74,8 +74,10 @@ def map_rows(
     The slice function returns a list for each column of the schema.
     """
 
+    kind = arrow_schema(schema)
+
     def task(batches):
-        one, kind = start(), arrow_schema(schema)
+        one = start()
         for part in slices(batches):
             columns = one(part)
             if columns is not None and len(next(iter(columns.values()))):
