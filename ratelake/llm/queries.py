@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelake.llm.language_id import in_holdout, language_spans, learn
 from ratelake.llm.piece_codec import encode_decode_digests
 from ratelake.llm.rows import table
 from ratelake.llm.token_counts import token_counts
@@ -46,8 +47,15 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(table(spark, sf_dir, "documents"), path)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(~in_holdout("doc_id")))
+    found = language_spans(docs, model)
+    return found.select("doc_id", in_holdout("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op4_token_store, op9_sentencepiece_codec)
+    named = (op1_token_counts, op4_token_store, op9_sentencepiece_codec, op10_language_id)
     return {query.__name__: query for query in named}
 
 
