@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratelake.llm.language_id import in_holdout, language_spans, learn
 from ratelake.llm.piece_codec import encode_decode_digests
 from ratelake.llm.rows import table
+from ratelake.llm.simhash import near_duplicates
 from ratelake.llm.token_counts import token_counts
 from ratelake.llm.token_store import lookup, shard_starts, stored_digests, write_store
 from ratelake.sources.shared import shared_folder
@@ -42,6 +43,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id", "linked")
+
+
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return encode_decode_digests(table(spark, sf_dir, "documents"), path)
@@ -55,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op4_token_store, op9_sentencepiece_codec, op10_language_id)
+    named = (op1_token_counts, op4_token_store, op6_simhash_near_duplicates, op9_sentencepiece_codec, op10_language_id)
     return {query.__name__: query for query in named}
 
 
