@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ratelake.llm.language_id import in_holdout, language_spans, learn
 from ratelake.llm.piece_codec import encode_decode_digests
+from ratelake.llm.repeats import remove_repeats
 from ratelake.llm.rows import table
 from ratelake.llm.simhash import near_duplicates
 from ratelake.llm.token_counts import token_counts
@@ -48,6 +49,17 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "linked")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return encode_decode_digests(table(spark, sf_dir, "documents"), path)
@@ -61,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op4_token_store, op6_simhash_near_duplicates, op9_sentencepiece_codec, op10_language_id)
+    named = (op1_token_counts, op4_token_store, op6_simhash_near_duplicates, op7_suffix_array_dedup, op9_sentencepiece_codec, op10_language_id)
     return {query.__name__: query for query in named}
 
 
