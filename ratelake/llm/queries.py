@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ratelake.llm.language_id import in_holdout, language_spans, learn
 from ratelake.llm.piece_codec import encode_decode_digests
+from ratelake.llm.quality_rules import quality_verdicts
 from ratelake.llm.repeats import remove_repeats
 from ratelake.llm.rows import table
 from ratelake.llm.simhash import near_duplicates
@@ -60,6 +61,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_verdicts(docs, labels)
+
+
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return encode_decode_digests(table(spark, sf_dir, "documents"), path)
@@ -73,7 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op4_token_store, op6_simhash_near_duplicates, op7_suffix_array_dedup, op9_sentencepiece_codec, op10_language_id)
+    named = (op1_token_counts, op4_token_store, op6_simhash_near_duplicates, op7_suffix_array_dedup, op8_quality_rules, op9_sentencepiece_codec, op10_language_id)
     return {query.__name__: query for query in named}
 
 
