@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelake.llm.decontamination import contaminated
 from ratelake.llm.language_id import in_holdout, language_spans, learn
 from ratelake.llm.piece_codec import encode_decode_digests
 from ratelake.llm.quality_rules import quality_verdicts
@@ -24,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path, limit=1024)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts by the index, lengths and checksums from the payload that was written."""
     docs, path = table(spark, sf_dir, "documents"), shared_folder(spark, "token-store")
@@ -79,7 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op4_token_store, op6_simhash_near_duplicates, op7_suffix_array_dedup, op8_quality_rules, op9_sentencepiece_codec, op10_language_id)
+    named = (op1_token_counts, op3_decontamination, op4_token_store, op6_simhash_near_duplicates, op7_suffix_array_dedup, op8_quality_rules, op9_sentencepiece_codec, op10_language_id)
     return {query.__name__: query for query in named}
 
 
