@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.llm.decontamination import contaminated
 from ratelake.llm.language_id import in_holdout, language_spans, learn
+from ratelake.llm.license_scan import scan_licenses
 from ratelake.llm.piece_codec import encode_decode_digests
 from ratelake.llm.quality_rules import quality_verdicts
 from ratelake.llm.repeats import remove_repeats
@@ -17,6 +18,7 @@ from ratelake.llm.rows import table
 from ratelake.llm.simhash import near_duplicates
 from ratelake.llm.token_counts import token_counts
 from ratelake.llm.token_store import lookup, shard_starts, stored_digests, write_store
+from ratelake.llm.url_filter import filter_captures, host_of
 from ratelake.sources.shared import shared_folder
 
 
@@ -25,6 +27,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path, limit=1024)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +56,45 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures and list entries come from the pages: their instants are hashes of keys."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", _instant(F.concat("url", F.lit("@"))))
+    entries = _entries(pages)
+    found = filter_captures(captures, entries)
+    return found.select(
+        "page_id",
+        "url",
+        F.unix_seconds("fetched_at").alias("fetched_at"),
+        "blocked",
+        "entry",
+        F.unix_seconds("since").alias("since"),
+    )
+
+
+def _number(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def _instant(text: Column) -> Column:
+    """An instant of the year 2024 that the text decides."""
+    return F.timestamp_seconds(1704067200 + _number(text) % 31536000)
+
+
+def _entries(pages: DataFrame) -> DataFrame:
+    """Dated entries for hosts (up to four each) and for the domains above them (two)."""
+    hosts = pages.select(host_of(F.col("url")).alias("key")).where("key is not null").distinct()
+    domains = hosts.select(F.regexp_extract("key", r"([^.]+\.[^.]+)$", 1).alias("key"))
+    out = []
+    for keys, mark, count, one_in in ((hosts, "#", 4, 3), (domains.distinct(), "##", 2, 2)):
+        each = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"))
+        name = F.concat("key", F.lit(mark), F.col("i").cast("string"))
+        each = each.where(_number(name) % one_in != 0)
+        listed = _number(F.concat(name, F.lit("!"))) % 2 == 0
+        out.append(each.select("key", listed.alias("listed"), _instant(name).alias("since")))
+    return out[0].unionByName(out[1])
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id", "linked")
@@ -84,9 +129,56 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op3_decontamination, op4_token_store, op6_simhash_near_duplicates, op7_suffix_array_dedup, op8_quality_rules, op9_sentencepiece_codec, op10_language_id)
+    named = (
+        op1_token_counts,
+        op2_license_scan,
+        op3_decontamination,
+        op4_token_store,
+        op5_url_filter,
+        op6_simhash_near_duplicates,
+        op7_suffix_array_dedup,
+        op8_quality_rules,
+        op9_sentencepiece_codec,
+        op10_language_id,
+    )
     return {query.__name__: query for query in named}
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": URL_FILTER}
+
+
+URL_FILTER = r"""
+with captures as (
+  select page_id, url, 1704067200 + ('0x' || substr(md5(url || '@'), 1, 8))::bigint % 31536000 as moment,
+    regexp_replace(regexp_replace(url, '^[^:/?#]+://', ''), '#.*$', '') as address,
+    rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '.') as host
+  from pages
+), hosts as (select distinct host as key from captures where host <> ''),
+domains as (select distinct regexp_extract(key, '([^.]+\.[^.]+)$', 1) as key from hosts),
+names as (
+  select key, key || '#' || i as name, 3 as one_in from hosts, range(4) r(i)
+  union all select key, key || '##' || i, 2 from domains, range(2) r(i)
+), dated as (
+  select key, max(('0x' || substr(md5(name || '!'), 1, 8))::bigint % 2 = 0) as listed,
+    1704067200 + ('0x' || substr(md5(name), 1, 8))::bigint % 31536000 as since
+  from names where ('0x' || substr(md5(name), 1, 8))::bigint % one_in <> 0
+  group by key, since
+), intervals as (
+  select *, lead(since) over (partition by key order by since) as until from dated
+), keys as (
+  select distinct url, moment, address as key, 0 as rank from captures where host <> ''
+  union all
+  select distinct url, moment, array_to_string(list_slice(l, i, len(l)), '.'), i from (
+    select url, moment, string_split(host, '.') as l, unnest(range(1, greatest(len(l) - 1, 1) + 1)) as i
+    from captures where host <> '')
+), decided as (
+  select url, moment, arg_min(key, rank) as entry, arg_min(listed, rank) as listed,
+    arg_min(i.since, rank) as since
+  from keys join intervals i using (key)
+  where i.since <= moment and (until is null or moment < until)
+  group by url, moment
+)
+select page_id, c.url, c.moment as fetched_at, coalesce(listed, false) as blocked, entry, since
+from captures c left join decided d on c.url = d.url and c.moment = d.moment
+"""
