@@ -1,14 +1,108 @@
-"""The document pipeline: each stage reads what the stage before it wrote."""
+"""The document pipeline: each stage works on all that the stage before it kept.
+
+Stages take (spark, docs, sf_dir) and return the columns of documents, but for the last,
+which returns what the texts become. Between stages rows are written as Parquet to the
+shared folder and read again, so a lost executor costs a stage at most.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratelake.llm.decontamination import contaminated
+from ratelake.llm.language_id import in_holdout, language_spans, learn
+from ratelake.llm.piece_codec import encode_decode_digests
+from ratelake.llm.repeats import remove_repeats
+from ratelake.llm.rows import staged_rows, table
+from ratelake.llm.simhash import near_duplicates
+
+#: Share of a document's letters, weighed with the evidence, below which it is rejected.
+LEAST_LANGUAGE_SCORE = 0.25
+
+
+def _row_mark() -> Column:
+    """A hash that tells rows of different ids or texts apart; never null."""
+    return F.xxhash64("doc_id", "text", F.lit(5))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters, or without a language that prevails.
+
+    The model is learnt from the labelled documents of the input itself, hold-out aside. A
+    missing label takes the prediction.
+    """
+    model = learn(docs.where(~in_holdout("doc_id")))
+    rows = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("text").alias("words"))
+    found = language_spans(rows, model, key="row", text="words")
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    lang = F.coalesce("row.lang", "lang_pred").alias("lang")
+    return kept.select(*(lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: the smallest id, one of rows that are equal."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    chosen = found.where("chosen").select("tie", F.xxhash64("doc_id", "tie").alias("mark"))
+    tied = docs.withColumn("__tie", F.xxhash64("text"))
+    marked = tied.withColumn("__mark", F.xxhash64("doc_id", "__tie"))
+    chosen = chosen.distinct().toDF("__tie", "__mark")
+    kept = marked.join(chosen, ["__tie", "__mark"], "left_semi")
+    return kept.dropDuplicates(["__tie", "__mark"]).select(*_columns(docs))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts byte strings that occur twice; a document of which nothing is left goes.
+
+    A character that a cut has split goes as a whole.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), "text")
+    found = remove_repeats(rows, key="row", text="text")
+    whole = F.when(F.col("n_removed") > 0, _readable("kept")).otherwise(F.col("kept").cast("string"))
+    cut = found.where("n_removed = 0 or n_removed < n_bytes").select("row", whole.alias("text"))
+    size = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    named = {"text": F.col("text"), "n_chars": size}
+    return cut.select(*(named.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
+
+
+def _readable(data: str) -> Column:
+    """Text of bytes without the characters that a cut has split (nor replacement signs)."""
+    return F.replace(F.make_valid_utf8(F.col(data).cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a copy of a test item, an edited one included."""
+    marked = docs.withColumn("__mark", _row_mark())
+    found = contaminated(marked, table(spark, sf_dir, "benchmark"), key="__mark")
+    hit = staged_rows(found.select("__mark").distinct(), "contaminated")
+    return marked.join(hit, "__mark", "left_anti").select(*_columns(docs))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes the texts that are left; ids and texts as digests."""
+    return encode_decode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_duplicates", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("decontamination", decontaminate),
+    ("sentencepiece_codec", encode_pieces),
+]
 
-#: The stages encode and hash texts with their own methods; SQL cannot express them.
+#: The stages encode, hash and align texts; SQL cannot express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged_rows(stage(spark, docs, sf_dir), name)
+    return docs

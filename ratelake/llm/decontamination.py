@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ratelake.llm.rows import arrow_schema, keyed_text, slices
+from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, slices
 
 #: Words of a seed; n-grams in a row of which the rarest is one. Any unchanged stretch of
 #: SEED + SPAN - 1 words has a seed.
@@ -163,8 +164,8 @@ def contaminated(
     tables give no rows; null keys stay; other columns are not read. Whole texts are
     searched, and every seed of every item.
     """
-    kinds = [docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
-    schema = f"key {kinds[0]}, item {kinds[1]}, score double, first long, last long"
+    item = items.schema[item_key].dataType.simpleString()
+    schema = keyed_schema(docs, key, f"item {item}, score double, first long, last long")
     rows, asked = keyed_text(docs, key, text), keyed_text(items, item_key, item_text)
     sized = F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))
     total = asked.agg(F.sum(sized)).first()[0] or 0
@@ -179,7 +180,7 @@ def contaminated(
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "score", "first", "last")
 
 
-def _search(rows: DataFrame, block: _Block, schema: str, least_score: float) -> DataFrame:
+def _search(rows: DataFrame, block: _Block, schema: StructType, least_score: float) -> DataFrame:
     context = rows.sparkSession.sparkContext
     all_seeds = context.broadcast(block)
     out, counts = arrow_schema(schema), arrow_schema("number int, n long")

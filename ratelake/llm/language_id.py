@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.rows import arrow_schema, keyed_text, map_rows, slices
+from ratelake.llm.rows import Remembered, arrow_schema, keyed_schema, keyed_text, map_rows, slices
 
 #: Buckets of n-grams; the model holds languages x buckets counts.
 BUCKETS = 1 << 15
@@ -29,8 +29,11 @@ BUCKETS = 1 << 15
 MOST_LANGUAGES = 512
 #: Words counted in a task before they are added to the buckets.
 COUNTED_WORDS = 300_000
-#: Words whose scores a worker remembers.
+#: Words whose scores, and n-grams whose buckets, a worker remembers.
 CACHED_WORDS = 400_000
+CACHED_GRAMS = 200_000
+#: Words times languages of the mixed texts that are labelled together.
+CELLS = 8_000_000
 #: Cost of a change of language between two words, in nats, and n-gram weight: the
 #: n-grams of a word overlap, so their evidence is divided.
 SWITCH = 8.0
@@ -67,13 +70,16 @@ def script_of(letter: str) -> int:
     return _SCRIPT_AT[bisect_right(_STARTS, ord(letter)) - 1]
 
 
+_bucket = Remembered(
+    lambda gram: zlib.crc32(gram.encode("utf-8", "replace")) % BUCKETS, CACHED_GRAMS
+).__getitem__
+
+
 def grams(word: str) -> list[int]:
     """Buckets of the one to three character n-grams of a word with its edges."""
     edged = f"^{word}$"
     return [
-        zlib.crc32(edged[i : i + n].encode("utf-8", "replace")) % BUCKETS
-        for n in (1, 2, 3)
-        for i in range(len(edged) - n + 1)
+        _bucket(edged[i : i + n]) for n in (1, 2, 3) for i in range(len(edged) - n + 1)
     ]
 
 
@@ -102,16 +108,17 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
     out = arrow_schema(schema)
 
     def task(batches):
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[str, list[int]] = {}
         words: dict[str, Counter] = {}
 
         def add():
             for lang, counter in words.items():
-                if lang not in counts:
-                    counts[lang] = np.zeros(BUCKETS + len(SCRIPTS), np.int64)
+                sums = counts.setdefault(lang, [0] * (BUCKETS + len(SCRIPTS)))
                 for word, n in counter.items():
                     for run in _LETTERS.findall(word):
-                        np.add.at(counts[lang], grams(run) + [BUCKETS + script_of(run[0])], n)
+                        sums[BUCKETS + script_of(run[0])] += n
+                        for bucket in grams(run):
+                            sums[bucket] += n
             words.clear()
 
         for part in slices(batches):
@@ -120,7 +127,8 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
             if sum(map(len, words.values())) > COUNTED_WORDS:
                 add()
         add()
-        for lang, sums in counts.items():
+        for lang, held in counts.items():
+            sums = np.array(held, np.int64)
             (at,) = np.nonzero(sums)
             columns = [pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(sums[at])]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
@@ -147,6 +155,7 @@ class _Labeller:
 
     def __init__(self, model: LanguageModel, switch: float):
         self.model, self.switch = model, switch
+        self.by_bucket = np.ascontiguousarray(model.scores.T)
         self.clear()
 
     def clear(self) -> None:
@@ -164,7 +173,7 @@ class _Labeller:
             n += len(run)
             may = self.model.scripts[:, script_of(run[0])]
             if may.any():
-                score = WEIGHT * self.model.scores[:, grams(run)].sum(axis=1)
+                score = WEIGHT * self.by_bucket[grams(run)].sum(axis=0)
                 # Outside the script's languages a word is as bad as many of its n-grams.
                 row += np.where(may, score, score[may].min() - 20)
         row -= row.max() if len(row) else 0
@@ -186,7 +195,40 @@ class _Labeller:
         return self._add(word) if known is None else known
 
     def labels(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """The best language of each word: Viterbi in step over all texts, longest first."""
+        """The best language of each word of each text."""
+        out: list = [self._single(words) for words in texts]
+        mixed: list[int] = []
+        cells = 0
+        for i, words in enumerate(texts):
+            if out[i] is None:
+                mixed.append(i)
+                cells += len(words) * len(self.model.languages)
+            if mixed and (cells > CELLS or i == len(texts) - 1):
+                for j, label in zip(mixed, self._viterbi([texts[j] for j in mixed]), strict=True):
+                    out[j] = label
+                mixed, cells = [], 0
+        return out
+
+    def _single(self, words: np.ndarray) -> np.ndarray | None:
+        """One language for all words if that is the best labelling for certain.
+
+        It is if no stretch of words gains more than one switch costs in any other
+        language: every stretch that leaves the language costs a switch at least.
+        """
+        if not len(words) or len(self.model.languages) < 2:
+            return np.zeros(len(words), np.int16)
+        score = self.rows[words].astype(np.float64)
+        top = int(score.sum(axis=0).argmax())
+        gain = np.cumsum(score - score[:, top : top + 1], axis=0)
+        # The largest gain of a stretch: a sum less the least sum before it.
+        least = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
+        least = np.vstack([np.zeros((1, gain.shape[1])), least[:-1]])
+        if (gain - least).max() <= self.switch:
+            return np.full(len(words), top, np.int16)
+        return None
+
+    def _viterbi(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi in step over all texts, longest first."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         sizes = np.array([len(texts[i]) for i in order])
         out = [np.zeros(len(t), np.int16) for t in texts]
@@ -240,11 +282,8 @@ def language_spans(
     Repeated rows are labelled each; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 128 kB a language
-    kind = docs.schema[key].dataType.simpleString()
-    schema = (
-        f"key {kind}, lang_pred string, score double,"
-        " spans array<struct<first:int,words:int,lang:string>>"
-    )
+    spans_kind = "array<struct<first:int,words:int,lang:string>>"
+    schema = keyed_schema(docs, key, f"lang_pred string, score double, spans {spans_kind}")
 
     def start():
         labeller = _Labeller(shared.value, switch)

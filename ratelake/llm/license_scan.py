@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.rows import arrow_schema, keyed_text, slices
+from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, slices
 
 LEAST_COVERAGE = 0.8
 #: A copy may hold other words in between: its stretch is at most so many times as long.
@@ -180,10 +180,8 @@ def scan_licenses(
         raise ValueError("more template words than a broadcast should hold")
     held = _Templates(templates, least_coverage)
     shared = docs.sparkSession.sparkContext.broadcast(held)
-    kind = docs.schema[key].dataType.simpleString()
-    schema = (
-        f"key {kind}, license string, coverage double, first long, last long, copies long"
-    )
+    rest = "license string, coverage double, first long, last long, copies long"
+    schema = keyed_schema(docs, key, rest)
     out = arrow_schema(schema)
 
     def task(batches):

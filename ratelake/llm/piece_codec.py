@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.rows import Remembered, keyed_text, map_rows
+from ratelake.llm.rows import Remembered, keyed_schema, keyed_text, map_rows
 
 BLANK = "▁"
 #: Cuts a text before each sign that no piece has but at its start.
@@ -226,6 +226,5 @@ def _coded(docs, model, key, text, ends, schema, finish) -> DataFrame:
 
         return one
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = map_rows(keyed_text(docs, key, text), f"key {kind}, {schema}", start)
+    rows = map_rows(keyed_text(docs, key, text), keyed_schema(docs, key, schema), start)
     return rows.select(F.col("key").alias(key), *rows.columns[1:])

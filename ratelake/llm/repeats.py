@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.rows import arrow_schema, keyed_text, map_rows, slices, staged_rows
+from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_rows, slices, staged_rows
 from ratelake.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -270,11 +270,8 @@ def remove_repeats(
     """
     rows = _identified(docs, key, text)
     found = repeated_spans(docs, key, text, length, shard_runs)
-    kind = docs.schema[key].dataType.simpleString()
-    schema = (
-        f"key {kind}, kept binary, n_bytes long, n_removed long,"
-        " removed array<struct<first:long,last:long>>"
-    )
+    rest = "kept binary, n_bytes long, n_removed long, removed array<struct<first:long,last:long>>"
+    schema = keyed_schema(docs, key, rest)
 
     def start():
         def one(part):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ratelake.sources.shared import shared_folder
 
@@ -35,6 +35,12 @@ def staged_rows(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed_schema(docs: DataFrame, key: str, rest: str) -> StructType:
+    """A key of the same type as in docs, a struct of other columns included, then rest."""
+    first = StructField("key", docs.schema[key].dataType)
+    return StructType([first, *_parse_datatype_string(rest).fields])
+
+
 def arrow_schema(schema: str | StructType) -> pa.Schema:
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     return to_arrow_schema(kind)
@@ -67,7 +73,7 @@ class Remembered(dict):
 
 
 def map_rows(
-    df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict | None]]
+    df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[pa.RecordBatch], dict | None]]
 ) -> DataFrame:
     """mapInArrow over slices: start() runs once a task, its result once a slice.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelake.llm.components import components
-from ratelake.llm.rows import arrow_schema, keyed_text, map_rows, staged_rows
+from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_rows, staged_rows
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Nodes of a group beyond which it is cut again; nodes that a task indexes at a time.
@@ -63,7 +63,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """key, tie (a hash of the text) and fp (the fingerprint as a signed long)."""
-    kind = docs.schema[key].dataType.simpleString()
 
     def start():
         return lambda part: {
@@ -75,7 +74,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFram
         }
 
     rows = keyed_text(docs, key, text).withColumn("tie", F.xxhash64("text"))
-    return map_rows(rows, f"key {kind}, tie long, fp long", start)
+    return map_rows(rows, keyed_schema(docs, key, "tie long, fp long"), start)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.rows import Remembered, keyed_text, map_rows
+from ratelake.llm.rows import Remembered, keyed_schema, keyed_text, map_rows
 
 #: The public pre-tokenizer pattern of byte-level BPE files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -131,11 +131,10 @@ def token_counts(
             "n_tokens": [count(t) for t in part.column("text").to_pylist()],
         }
 
-    kind = docs.schema[key].dataType.simpleString()
     measured = keyed_text(docs, key, text).withColumn(
         "n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     )
-    counted = map_rows(measured, f"key {kind}, n_bytes long, n_tokens long", start)
+    counted = map_rows(measured, keyed_schema(docs, key, "n_bytes long, n_tokens long"), start)
     return counted.select(
         F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
