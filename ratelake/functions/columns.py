@@ -38,9 +38,18 @@ def row_text(
 
 
 def iso_millis(stamp: Column) -> Column:
-    """ISO-8601 UTC text with milliseconds, whatever the session time zone."""
-    utc = F.to_utc_timestamp(stamp, F.current_timezone())
-    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO-8601 UTC text with milliseconds, whatever the session time zone.
+
+    Counted from the epoch: the session's wall clock has gaps and overlaps, in which a
+    UTC time has no text of its own.
+    """
+    micros = F.unix_micros(stamp)
+    since = F.make_dt_interval(secs=(micros.cast("decimal(24,0)") / 1000000).cast("decimal(18,6)"))
+    text = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since).cast("string")
+    millis = F.lpad(F.pmod(F.floor(micros / 1000), F.lit(1000)).cast("string"), 3, "0")
+    return F.concat(
+        F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."), millis, F.lit("Z")
+    )
 
 
 def month_number(year: Column | str, month: Column | str) -> Column:

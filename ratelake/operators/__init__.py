@@ -8,7 +8,13 @@ from ratelake.operators.events import to_events
 from ratelake.operators.merge import live_rows, merge_changes
 from ratelake.operators.metrics import rolling_metrics
 from ratelake.operators.monthly import monthly_summary
-from ratelake.operators.star import convert_transactions, currency_dimension, dimension, fact_rates
+from ratelake.operators.star import (
+    convert_transactions,
+    currency_dimension,
+    dimension,
+    fact_rates,
+    fact_transactions,
+)
 
 __all__ = [
     "clean_rates",
@@ -22,6 +28,7 @@ __all__ = [
     "dimension",
     "drop_report",
     "fact_rates",
+    "fact_transactions",
     "flag_anomalies",
     "has_deletes",
     "in_range",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelake.functions.columns import run_stamp
@@ -24,34 +24,41 @@ def coverage_report(
     """One row per calendar day from the first to the last date seen.
 
     A day is covered if any row has it; with ``by``, each group has its own calendar
-    and its own gaps. The distinct days are found before the shuffle and serve both
-    the bounds and the join, so nothing after it grows with the input: at most one
-    row per group and day. The bounds stay in the plan; no row goes to the driver.
-    Text that is no date is ignored. Unsorted; sort where the result is read.
+    and its own gaps, and null is a group like any other. The distinct days are found
+    before the shuffle; each is then followed by the days up to the next one, so the
+    input is read once and nothing is joined. No row goes to the driver. Text that is no
+    date is ignored. Unsorted; sort where the result is read.
     """
-    seen, calendar = _days(df, by)
-    joined = calendar.join(seen.withColumn("_seen", F.lit(True)), [*by, "dq_date"], "left")
-    return _described(joined, by, F.col("_seen").isNull(), run_ts)
+    days = _days(df, by).select(
+        *by, F.posexplode(F.sequence("_seen", "_until")).alias("_after", "dq_date")
+    )
+    return _described(days, by, F.col("_after") > 0, run_ts)
 
 
 def coverage_gaps(
     df: DataFrame, by: Sequence[str] = (), run_ts: datetime | str | None = None
 ) -> DataFrame:
-    """The missing days of :func:`coverage_report` alone, by an anti join."""
-    seen, calendar = _days(df, by)
-    missing = calendar.join(seen, [*by, "dq_date"], "left_anti")
+    """The missing days of :func:`coverage_report` alone."""
+    gaps = _days(df, by).filter(F.col("_until") > F.col("_seen"))
+    missing = gaps.select(
+        *by, F.explode(F.sequence(F.date_add("_seen", 1), F.col("_until"))).alias("dq_date")
+    )
     return _described(missing, by, F.lit(True), run_ts)
 
 
-def _days(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The distinct days seen, and every day between the first and the last."""
+def _days(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each day seen, and the day before the next one seen (itself for the last).
+
+    Without groups the distinct days of the whole calendar are one window: days, not
+    rows, so they are as few as the calendar has.
+    """
     seen = (
-        df.select(*by, F.try_to_date(F.col("date")).alias("dq_date"))
-        .filter(F.col("dq_date").isNotNull())
+        df.select(*by, F.try_to_date(F.col("date")).alias("_seen"))
+        .filter(F.col("_seen").isNotNull())
         .distinct()
     )
-    bounds = seen.groupBy(*by).agg(F.min("dq_date").alias("first"), F.max("dq_date").alias("last"))
-    return seen, bounds.select(*by, F.explode(F.sequence("first", "last")).alias("dq_date"))
+    following = F.lead("_seen").over(Window.partitionBy(*by).orderBy("_seen"))
+    return seen.withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col("_seen")))
 
 
 def _described(

@@ -21,6 +21,10 @@ def calendar_year() -> Column:
     return F.substring("date", 1, 4)
 
 
+def calendar_decade() -> Column:
+    return F.substring("date", 1, 3)
+
+
 def rolling_metrics(
     df: DataFrame,
     pair: Sequence[str] = PAIR,
@@ -34,12 +38,13 @@ def rolling_metrics(
 
     A pair is not the unit of work, since one may hold much of the data. Its series
     is cut into chunks (``chunk``: an expression that never falls as the date rises;
-    a calendar year by default, so at most 366 daily rows), and each chunk gets the
+    a decade by default, so at most 3,653 daily rows and less than 1 % of leads; the
+    calendar year splits a dense pair further), and each chunk gets the
     rows that its first frames reach back to as a lead. The results are those of a
     window over the whole pair.
     """
     series = df.drop(*_BOOKKEEPING).withColumn(
-        "_chunk", calendar_year() if chunk is None else chunk
+        "_chunk", calendar_decade() if chunk is None else chunk
     )
     lead = _lead_rows(series, pair, LONG_FRAME - 1)
     rows = series.withColumn("_lead", F.lit(False)).unionByName(lead, allowMissingColumns=True)

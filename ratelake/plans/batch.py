@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -25,20 +25,30 @@ from ratelake.operators import (
     valid_days,
 )
 from ratelake.operators.metrics import LONG_FRAME
-from ratelake.schemas import CHANGES, PAIR
-from ratelake.sources.documents import flatten_rates
+from ratelake.schemas import CHANGES, DELETE, KEYS, PAIR, RATES
+from ratelake.sources.documents import (
+    DEFAULT_BASE,
+    EMPTY_DAY,
+    ORIGIN,
+    UNREADABLE,
+    flatten_documents,
+    rejected,
+)
 from ratelake.sources.event_files import write_events
-from ratelake.sources.shared import staged
+from ratelake.sources.shared import staged, staged_at
 from ratelake.sources.tables import (
     Month,
     drop_months,
     in_months,
     is_month,
+    keep_scope,
     load,
     months_of,
     note_pending,
+    note_unpublished,
     pending_months,
     touched_months,
+    unpublished,
     with_month,
 )
 
@@ -71,9 +81,10 @@ class Tables:
 class Batch:
     """What a run did.
 
-    ``status``: "no_documents" (nothing readable came in), "no_changes", "base_only"
-    (stopped at a DELETE) or "complete". ``rates`` and ``report`` cover the batch's
-    date range.
+    ``status``: "rejected" (the input has values or documents that cannot be used; no
+    table was touched), "no_documents" (nothing came in), "no_changes", "base_only"
+    (stopped at a DELETE) or "complete". ``rejects`` holds what cannot be used.
+    ``rates`` and ``report`` cover the batch's date range.
     """
 
     status: str
@@ -81,6 +92,7 @@ class Batch:
     has_deletes: bool = False
     rates: DataFrame | None = None
     report: DataFrame | None = None
+    rejects: DataFrame | None = None
 
 
 def run_batch(
@@ -93,6 +105,9 @@ def run_batch(
     on_delete: str = "stop",
     tombstones: str = "latched",
     scope: str = "history",
+    on_reject: str = "refuse",
+    tie_break: Sequence[str] | None = None,
+    base: str = DEFAULT_BASE,
     transactions: DataFrame | None = None,
     customers: DataFrame | None = None,
     events_path: str | None = None,
@@ -103,10 +118,23 @@ def run_batch(
     else. ``"continue"`` goes on. The months held back, by a stop or a failure, stay
     noted on the base table, and the next batch that passes brings them up to date.
 
+    ``on_reject="refuse"``: a bad value, an empty day or an unreadable document stops
+    the batch before it touches a table. ``"skip"`` goes on without them, and deletes
+    nothing that they may have held: no key with a bad value, no key of an empty day,
+    and nothing at all if a document is unreadable.
+
+    ``tie_break``: which of several values for one key counts (see ``clean_rates``); by
+    default that of the newest file. ``base``: the base of the transaction report.
+
     ``scope="history"``: metrics see the live rows before each date, and only the
     months that the changes reach are computed again. ``scope="changes"``: metrics
     see the change rows alone, the enriched and monthly tables are replaced as a
-    whole, and anomalies are appended. A set of tables keeps to one scope.
+    whole, and anomalies are appended. A set of tables keeps to one scope; another one
+    is refused.
+
+    A batch that fails half way leaves notes on the base table. The next one, also one
+    without changes, brings the derived tables up to date and publishes the quality rows
+    and events that were left out. One writer at a time: the notes are not locked.
 
     The driver handles one small result, the changed months: at most twelve rows for
     each calendar year between ``lo`` and ``hi``.
@@ -115,37 +143,60 @@ def run_batch(
         raise ValueError(f"on_delete must be 'stop' or 'continue', not {on_delete!r}")
     if scope not in ("history", "changes"):
         raise ValueError(f"scope must be 'history' or 'changes', not {scope!r}")
+    if on_reject not in ("refuse", "skip"):
+        raise ValueError(f"on_reject must be 'refuse' or 'skip', not {on_reject!r}")
     spark = documents.sparkSession
+    exists = spark.catalog.tableExists(tables.base)
+    if exists:
+        keep_scope(spark, tables.base, scope)
     run_ts = datetime.now().astimezone() if run_ts is None else run_ts
 
-    # Parsed and cleaned once, for the changes and for the coverage report.
-    cleaned = valid_days(clean_rates(flatten_rates(documents, run_ts)))
-    incoming = staged(in_range(cleaned, lo, hi), "incoming")
+    # Parsed once, for the rejects, the changes and the coverage report.
+    flat = staged(flatten_documents(documents, run_ts), "flattened")
+    rejects = rejected(flat)
+    damaged = not rejects.isEmpty()
+    if damaged and on_reject == "refuse":
+        return Batch("rejected", rejects=rejects)
+    if tie_break is None:
+        tie_break = [f"-{name}" for name in ORIGIN if name in flat.columns]
+    good = flat.filter(F.col("problem").isNull()).drop("problem", "value_text")
+    cleaned = valid_days(clean_rates(good, tie_break=tie_break)).select(*RATES.fieldNames())
+    incoming, incoming_path = staged_at(in_range(cleaned, lo, hi), "incoming")
     if incoming.isEmpty() and documents.filter(F.col("rates").isNotNull()).isEmpty():
         # Nothing came in at all. That is no reason to delete what is stored.
-        return Batch("no_documents")
-    stored = spark.table(tables.base) if spark.catalog.tableExists(tables.base) else None
+        return Batch("no_documents", rejects=rejects)
+    stored = spark.table(tables.base) if exists else None
+    found = detect_changes(incoming, stored, lo=lo, hi=hi, run_ts=run_ts, tombstones=tombstones)
+    if damaged:
+        found = _without_doubtful_deletes(found, rejects)
     # The plan of the changes reads the table that the merge rewrites.
-    changes = staged(
-        with_month(
-            detect_changes(
-                incoming, stored, lo=lo, hi=hi, run_ts=run_ts, tombstones=tombstones
-            )
-        ),
-        "changes",
-    )
+    changes, changes_path = staged_at(with_month(found), "changes")
     months, deletes = touched_months(changes)
-    pending = pending_months(spark, tables.base) if stored is not None else []
-    if not months:
-        if pending and scope == "history":
+    pending = pending_months(spark, tables.base) if exists else []
+    if exists and scope == "history" and not months:
+        behind = not all(spark.catalog.tableExists(name) for name in tables.derived())
+        if pending or behind:
             _refresh(spark, tables, changes, months, pending, run_ts)
-        return Batch("no_changes", changes)
-
-    if stored is not None and scope == "history":
+    if exists and not months:
+        _publish(spark, tables, events_path, run_ts)
+    if not months:
+        return Batch("no_changes", changes, rejects=rejects)
+
+    if not exists:
+        # An empty table first, so that the notes are there before the rows are.
+        load(changes.limit(0), tables.base, "append")
+        keep_scope(spark, tables.base, scope)
+    left = unpublished(spark, tables.base)
+    if scope == "history":
         note_pending(spark, tables.base, {*months, *pending})
+    if not (deletes and on_delete == "stop"):
+        left.setdefault("quality", []).append(incoming_path)
+        if events_path is not None:
+            left.setdefault("events", []).append(changes_path)
+        note_unpublished(spark, tables.base, left)
     load(changes, tables.base, "merge_cdc", revive=tombstones == "strict")
     if deletes and on_delete == "stop":
-        return Batch("base_only", changes, has_deletes=True)
+        return Batch("base_only", changes, has_deletes=True, rejects=rejects)
 
     if scope == "changes":
         enriched = rolling_metrics(changes.select(*CHANGES.fieldNames()), run_ts=run_ts)
@@ -158,14 +209,48 @@ def run_batch(
         _refresh(spark, tables, changes, months, pending, run_ts)
         current = spark.table(tables.base)
 
-    load(coverage_report(incoming, run_ts=run_ts), tables.quality, "append", partition_by=())
+    _publish(spark, tables, events_path, run_ts)
     rates = fact_rates(in_range(current, lo, hi))
     report = None
     if transactions is not None and customers is not None:
-        report = convert_transactions(transactions, customers, rates)
-    if events_path is not None:
-        write_events(to_events(changes), events_path)
-    return Batch("complete", changes, has_deletes=deletes, rates=rates, report=report)
+        report = convert_transactions(transactions, customers, rates, base=base)
+    return Batch(
+        "complete", changes, has_deletes=deletes, rates=rates, report=report, rejects=rejects
+    )
+
+
+def _without_doubtful_deletes(changes: DataFrame, rejects: DataFrame) -> DataFrame:
+    """The changes without DELETEs of keys that the rejected input may have held."""
+    if not rejects.filter(F.col("problem") == UNREADABLE).isEmpty():
+        return changes.filter(F.col("operation_type") != DELETE)
+    days = rejects.filter(F.col("problem") == EMPTY_DAY).select("date", "base").distinct()
+    keys = rejects.filter(F.col("target").isNotNull()).select(*KEYS).distinct()
+    gone = changes.filter(F.col("operation_type") == DELETE)
+    sure = gone.join(keys, [*KEYS], "left_anti").join(days, ["date", "base"], "left_anti")
+    kept = changes.filter(F.col("operation_type") != DELETE)
+    return kept.unionByName(sure.select(*changes.columns))
+
+
+def _publish(
+    spark: SparkSession, tables: Tables, events_path: str | None, run_ts: datetime | str | None
+) -> None:
+    """Append the quality rows and write the events that are noted as left out.
+
+    A note goes once its rows are written, so a failure in between can write them twice
+    but never leave them out.
+    """
+    left = unpublished(spark, tables.base)
+    for path in list(left.get("quality", [])):
+        report = coverage_report(spark.read.parquet(path), run_ts=run_ts)
+        load(report, tables.quality, "append", partition_by=())
+        left["quality"].remove(path)
+        note_unpublished(spark, tables.base, left)
+    if events_path is None:
+        return
+    for path in list(left.get("events", [])):
+        write_events(to_events(spark.read.parquet(path)), events_path)
+        left["events"].remove(path)
+        note_unpublished(spark, tables.base, left)
 
 
 def rebuild(spark: SparkSession, tables: Tables, run_ts: datetime | str | None = None) -> None:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from ratelake.operators.coverage import (
-    PRESENT,
-    WEEKDAY,
-    WEEKDAY_GAP,
-    WEEKEND,
-    WEEKEND_GAP,
-)
 from ratelake.plans.order_rates import FIRST_RUN, SECOND_RUN
 from ratelake.plans.queries import HI, LO
 
+# The labels written out, so that a wrong one in the operator shows.
+WEEKDAY, WEEKEND = "Weekday", "Weekend"
+PRESENT = "OK - Data Present"
+WEEKEND_GAP = "Missing - Normal Weekend No-Publish"
+WEEKDAY_GAP = "CRITICAL - Lost Data / Gap"
+
 _TICKS = """
 ticks as (
   select strftime(o_orderdate, '%Y-%m-%d') as "date", 1.0::double as base_amount,
@@ -257,6 +256,23 @@ def statements() -> dict[str, str]:
         + _TICKS
         + """ select base, target, count(*) as observations, count(distinct "date") as dates,
           min(rate) as min_rate, max(rate) as max_rate from ticks group by base, target""",
+        "flatten_rejects": "with"
+        + _TICKS
+        + """, damaged as (
+          select case when status <> 'P' then null when priority = '1-URGENT' then 'not a number'
+              when priority = '2-HIGH' then 'no value'
+              when priority = '3-MEDIUM' then 'unreadable document'
+              when priority = '4-NOT SPECIFIED' then 'day without rates' end as problem, *
+          from ticks)
+          select problem,
+            case when problem in ('not a number', 'no value') then target end as target,
+            count(*) as rejects,
+            count(distinct case when problem <> 'unreadable document' then "date" end) as dates
+          from damaged where problem is not null group by 1, 2""",
+        "flatten_latest_document": "with"
+        + _TICKS
+        + """ select "date", base, target, round(arg_max(rate, src_id), 6) as rate
+          from ticks group by "date", base, target""",
         "cdc_changes": "with" + _changes() + _CHANGE_VIEW,
         "cdc_changes_in_range": "with" + _changes(within=_IN_LO_HI) + _CHANGE_VIEW,
         "cdc_initial_load": with_rates
@@ -353,6 +369,11 @@ def statements() -> dict[str, str]:
           from changes where operation_type <> 'DELETE'""",
         "fact_transactions": "with" + _TRANSACTIONS + " select * from transactions",
         "converted_transactions": with_rates + "," + _TRANSACTIONS + _converted("rates"),
+        "converted_transactions_two_bases": with_rates
+        + """, second as (
+          select * replace (rate * 1.5 as rate) from rates where priority <> '5-LOW'),"""
+        + _TRANSACTIONS
+        + _converted("second"),
         "change_events": "with" + _changes() + _EVENTS,
         "change_events_json_roundtrip": "with" + _changes() + _EVENTS,
         "two_batches_base": both_batches

@@ -124,7 +124,31 @@ def documents(observations: DataFrame) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def damaged_documents(observations: DataFrame) -> DataFrame:
+    """The same documents, those of one order status with a fault for each priority."""
+    faulty, priority = F.col("status") == TOMBSTONE_STATUS, F.col("priority")
+    day = F.to_json(F.struct("date"))
+    # The day's text as JSON, quotes included, to build documents by hand.
+    date = F.regexp_extract(day, r":(.*)}$", 1)
+    target = F.regexp_extract(F.to_json(F.struct("target")), r":(.*)}$", 1)
+
+    def one(values: Column) -> Column:
+        return F.concat(F.lit('{"base":"USD","rates":{'), date, F.lit(":"), values)
+
+    def value(text: str) -> Column:
+        return F.concat(F.lit("{"), target, F.lit(f":{text}}}"))
+
+    return observations.select(
+        F.when(faulty & (priority == "1-URGENT"), F.concat(one(value('"n/a"')), F.lit("}}")))
+        .when(faulty & (priority == "2-HIGH"), F.concat(one(value("null")), F.lit("}}")))
+        .when(faulty & (priority == "3-MEDIUM"), one(value("17.")))
+        .when(faulty & (priority == "4-NOT SPECIFIED"), one(F.lit("null}}")))
+        .otherwise(F.concat(one(value("17.25")), F.lit("}}")))
+        .alias("value")
+    )
+
+
+def paid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as payments to the supplier's country on the shipping day."""
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
@@ -136,9 +160,20 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"),
-            day_text(F.col("l_shipdate")).alias("date"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("n_name").alias("target_currency"),
-            F.col("l_extendedprice").alias("local_amount"),
+            "l_shipdate",
+            "o_custkey",
+            "n_name",
+            "l_extendedprice",
         )
     )
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paid lines as facts."""
+    return paid_lines(spark, sf_dir).select(
+        "transaction_id",
+        day_text(F.col("l_shipdate")).alias("date"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("n_name").alias("target_currency"),
+        F.col("l_extendedprice").alias("local_amount"),
+    )

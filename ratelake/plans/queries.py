@@ -18,6 +18,7 @@ from ratelake.operators import (
     dimension,
     drop_report,
     fact_rates,
+    fact_transactions,
     flag_anomalies,
     in_range,
     live_rows,
@@ -31,10 +32,12 @@ from ratelake.plans.order_rates import (
     FIRST_RUN,
     SECOND_RUN,
     decimal_text,
+    damaged_documents,
     dirty_ticks,
     documents,
     new_snapshot,
     old_snapshot,
+    paid_lines,
     rates,
     stored_rows,
     table,
@@ -42,7 +45,13 @@ from ratelake.plans.order_rates import (
     transactions,
 )
 from ratelake.schemas import KEYS, PAIR
-from ratelake.sources.documents import flatten_rates, parse_documents, read_documents
+from ratelake.sources.documents import (
+    flatten_documents,
+    flatten_rates,
+    parse_documents,
+    read_documents,
+    rejected,
+)
 from ratelake.sources.event_files import write_events
 from ratelake.sources.shared import shared_folder, staged
 from ratelake.sources.tables import load
@@ -148,6 +157,32 @@ def query_flatten_text_column(spark, sf_dir):
     )
 
 
+@query("flatten_rejects")
+def query_flatten_rejects(spark, sf_dir):
+    """What is wrong with the damaged ones of all documents, by kind and currency."""
+    landed = parse_documents(damaged_documents(ticks(spark, sf_dir)))
+    return (
+        rejected(flatten_documents(landed, FIRST_RUN))
+        .groupBy("problem", "target")
+        .agg(F.count("*").alias("rejects"), F.countDistinct("date").alias("dates"))
+    )
+
+
+@query("flatten_latest_document")
+def query_flatten_latest_document(spark, sf_dir):
+    """Several documents for a day and currency: the one that came in last counts."""
+    observed = ticks(spark, sf_dir)
+    by_day = F.create_map("date", F.create_map("target", "rate"))
+    texts = observed.select(
+        F.to_json(F.struct("base", by_day.alias("rates"))).alias("value"),
+        F.timestamp_seconds("src_id").alias("received_at"),
+        F.lit("landed").alias("source_path"),
+    )
+    flat = flatten_documents(parse_documents(texts), FIRST_RUN)
+    latest = clean_rates(flat, tie_break=["-received_at"])
+    return latest.select(*KEYS, *_six("rate"))
+
+
 # --- change detection and merge
 
 
@@ -414,7 +449,15 @@ def query_fact_rates(spark, sf_dir):
 
 @query("fact_transactions")
 def query_fact_transactions(spark, sf_dir):
-    return transactions(spark, sf_dir)
+    source = {
+        "transaction_id": "transaction_id",
+        "date": "l_shipdate",
+        "customer_id": "o_custkey",
+        "target_currency": "n_name",
+        "local_amount": "l_extendedprice",
+    }
+    facts = fact_transactions(paid_lines(spark, sf_dir), source)
+    return facts.withColumn("customer_id", F.col("customer_id").cast("long"))
 
 
 @query("converted_transactions")
@@ -427,6 +470,22 @@ def query_converted_transactions(spark, sf_dir):
     return report.withColumn("daily_rate", F.round("daily_rate", 6))
 
 
+@query("converted_transactions_two_bases")
+def query_converted_transactions_two_bases(spark, sf_dir):
+    """Rates of two bases in the table; only those of the asked base count."""
+    first = rates(spark, sf_dir)
+    second = first.filter(F.col("priority") != "5-LOW").withColumns(
+        {"base": F.lit("EUR"), "rate": F.col("rate") * 1.5}
+    )
+    report = convert_transactions(
+        transactions(spark, sf_dir),
+        _customers(spark, sf_dir),
+        first.unionByName(second),
+        base="EUR",
+    )
+    return report.withColumn("daily_rate", F.round("daily_rate", 6))
+
+
 # --- events
 
 

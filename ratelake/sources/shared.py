@@ -33,6 +33,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Needed where the plan reads a table that is about to be rewritten.
     """
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same as :func:`staged`, and the folder, for a later run to find."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

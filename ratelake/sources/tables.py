@@ -20,6 +20,8 @@ from ratelake.sources.shared import staged
 PARTITIONS = ("year", "month")
 MODES = ("append", "merge_cdc", "overwrite_partitions")
 _PENDING = "ratelake.pending_months"
+_SCOPE = "ratelake.scope"
+_UNPUBLISHED = "ratelake.unpublished"
 
 Month = tuple[int, int]
 
@@ -76,6 +78,9 @@ def load(
     elif merges:
         deletes = _merge(df, table, partition_by, date_col, revive)
     elif mode == "overwrite_partitions":
+        stored = {c.name for c in spark.catalog.listColumns(table) if c.isPartition}
+        if stored != set(partition_by):
+            raise ValueError(f"{table} is partitioned by {sorted(stored)}, not {partition_by}")
         _replace_partitions(df, table, partition_by)
     else:
         _in_table_order(_spread(df, partition_by), table).write.insertInto(table)
@@ -103,9 +108,9 @@ def touched_months(changes: DataFrame) -> tuple[list[Month], bool]:
 
 def drop_months(spark: SparkSession, table: str, months: Iterable[Month]) -> None:
     """Drop partitions. Replacing partitions can never empty one; this does."""
-    for year, month in months:
-        partition = f"year = {int(year)}, month = {int(month)}"
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition})")
+    gone = [f"PARTITION (year = {int(y)}, month = {int(m)})" for y, m in sorted(months)]
+    if gone:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(gone)}")
 
 
 def note_pending(spark: SparkSession, table: str, months: Iterable[Month]) -> None:
@@ -119,14 +124,42 @@ def note_pending(spark: SparkSession, table: str, months: Iterable[Month]) -> No
             runs[-1][1] = number
         else:
             runs.append([number, number])
-    text = ",".join(f"{first}:{last}" for first, last in runs)
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_PENDING}' = '{text}')")
+    _note(spark, table, _PENDING, ",".join(f"{first}:{last}" for first, last in runs))
+
+
+def _note(spark: SparkSession, table: str, key: str, text: str) -> None:
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{key}' = '{text}')")
+
+
+def _noted(spark: SparkSession, table: str, key: str) -> str:
+    properties = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key") == key)
+    return "".join(row.value for row in properties.collect())
+
+
+def keep_scope(spark: SparkSession, table: str, scope: str) -> None:
+    """Note the scope of a set of tables at first, and refuse another one later."""
+    noted = _noted(spark, table, _SCOPE)
+    if noted and noted != scope:
+        raise ValueError(f"the tables of {table} were made with scope {noted!r}, not {scope!r}")
+    if not noted:
+        _note(spark, table, _SCOPE, scope)
+
+
+def note_unpublished(spark: SparkSession, table: str, parts: dict[str, list[str]]) -> None:
+    """Note the staged folders whose rows of a kind are yet to be published."""
+    text = ";".join(f"{kind}={','.join(paths)}" for kind, paths in sorted(parts.items()) if paths)
+    _note(spark, table, _UNPUBLISHED, text)
+
+
+def unpublished(spark: SparkSession, table: str) -> dict[str, list[str]]:
+    """What :func:`note_unpublished` noted."""
+    entries = [part.split("=", 1) for part in _noted(spark, table, _UNPUBLISHED).split(";") if part]
+    return {kind: paths.split(",") for kind, paths in entries}
 
 
 def pending_months(spark: SparkSession, table: str) -> list[Month]:
     """The months noted by :func:`note_pending`."""
-    properties = spark.sql(f"SHOW TBLPROPERTIES {table}").filter(F.col("key") == _PENDING)
-    text = "".join(row.value for row in properties.collect())
+    text = _noted(spark, table, _PENDING)
     runs = [[int(end) for end in run.split(":")] for run in text.split(",") if run]
     numbers = [number for first, last in runs for number in range(first, last + 1)]
     return [(number // 12, number % 12 + 1) for number in numbers]

@@ -14,7 +14,7 @@ from ratelake.operators import (
 )
 from ratelake.plans.batch import Tables, affected_months, months_before, rebuild, run_batch
 from ratelake.schemas import CHANGES, CUSTOMERS, TRANSACTIONS
-from ratelake.sources.documents import parse_documents
+from ratelake.sources.documents import parse_documents, read_documents
 from ratelake.sources.shared import shared_folder
 from ratelake.sources.tables import pending_months
 
@@ -175,11 +175,106 @@ def test_nothing_readable_deletes_nothing(spark, tables):
     span = ("2026-05-06", "2026-05-08")
     run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[0])
     broken = parse_documents(spark.createDataFrame([("<html>",)], "value string"))
+    assert run_batch(broken, tables, *span, run_ts=RUNS[1]).status == "rejected"
     for nothing in (broken, broken.limit(0)):
-        assert run_batch(nothing, tables, *span, run_ts=RUNS[1]).status == "no_documents"
+        batch = run_batch(nothing, tables, *span, run_ts=RUNS[1], on_reject="skip")
+        assert batch.status == "no_documents"
     assert rows(spark.table(tables.base), "operation_type") == [("INSERT",)]
 
 
+BAD_DAYS = {
+    "number": '{"MXN": "n/a", "EUR": 0.9}',
+    "null": '{"MXN": null, "EUR": 0.9}',
+    "empty day": "null",
+    "truncated": '{"MXN": 17.',
+}
+
+
+@pytest.mark.parametrize("fault", sorted(BAD_DAYS))
+@pytest.mark.parametrize("on_reject", ["refuse", "skip"])
+def test_bad_input_deletes_nothing_and_heals(spark, tables, fault, on_reject):
+    day, span = "2026-05-06", ("2026-05-06", "2026-05-08")
+    good = {(day, "MXN"): 17.0, (day, "EUR"): 0.9, ("2026-05-07", "MXN"): 17.1}
+    run_batch(documents(spark, good), tables, *span, run_ts=RUNS[0])
+    before = rows(spark.table(tables.base), "date", "target", "rate", "operation_type")
+    texts = [
+        ('{"base": "USD", "rates": {"%s": %s}}' % (day, BAD_DAYS[fault]),),
+        ('{"base": "USD", "rates": {"2026-05-07": {"MXN": 17.1}}}',),
+    ]
+    bad = parse_documents(spark.createDataFrame(texts, "value string"))
+    batch = run_batch(bad, tables, *span, run_ts=RUNS[1], on_reject=on_reject)
+    assert batch.status == ("rejected" if on_reject == "refuse" else "no_changes")
+    assert batch.rejects.count() == 1
+    assert rows(spark.table(tables.base), "date", "target", "rate", "operation_type") == before
+    repaired = run_batch(documents(spark, good), tables, *span, run_ts=RUNS[2])
+    assert repaired.status == "no_changes"
+    same_as_full_recompute(spark, tables)
+
+
+def test_skipping_still_deletes_what_is_surely_gone(spark, tables):
+    day, span = "2026-05-06", ("2026-05-06", "2026-05-08")
+    good = {(day, "MXN"): 17.0, (day, "EUR"): 0.9}
+    run_batch(documents(spark, good), tables, *span, run_ts=RUNS[0])
+    bad = documents(spark, {(day, "MXN"): "n/a"})
+    batch = run_batch(bad, tables, *span, run_ts=RUNS[1], on_reject="skip")
+    assert batch.status == "base_only"
+    assert rows(spark.table(tables.base), "target", "operation_type") == [
+        ("EUR", "DELETE"),
+        ("MXN", "INSERT"),
+    ]
+
+
+def test_the_newest_document_wins(spark, tables, tmp_path):
+    import os
+
+    for name, rate, at in (("b", 17.0, 1000), ("a", 19.0, 2000)):
+        file = tmp_path / f"{name}.json"
+        file.write_text(json.dumps({"rates": {"2026-05-06": {"MXN": rate}}}))
+        os.utime(file, (at, at))
+    landed = read_documents(spark, str(tmp_path))
+    run_batch(landed, tables, "2026-05-06", "2026-05-06", run_ts=RUNS[0])
+    assert rows(spark.table(tables.base), "rate") == [(19.0,)]
+
+
+STEPS = ["rolling_metrics", "monthly_summary", "flag_anomalies", "coverage_report", "write_events"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("first", [True, False])
+def test_a_failure_at_any_step_is_caught_up(spark, tables, tmp_path, monkeypatch, step, first):
+    span, events = ("2026-05-01", "2026-05-31"), str(tmp_path / "events")
+    old, new = {("2026-05-06", "MXN"): 17.0}, {("2026-05-06", "MXN"): 17.0, ("2026-05-07", "MXN"): 18.0}
+    if not first:
+        run_batch(documents(spark, old), tables, *span, run_ts=RUNS[0], events_path=events)
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(f"ratelake.plans.batch.{step}", fail)
+        with pytest.raises(RuntimeError):
+            run_batch(documents(spark, new), tables, *span, run_ts=RUNS[1], events_path=events)
+    batch = run_batch(documents(spark, new), tables, *span, run_ts=RUNS[2], events_path=events)
+    assert batch.status == "no_changes"
+    same_as_full_recompute(spark, tables)
+    assert spark.table(tables.quality).count() == (2 if first else 3)
+    assert spark.read.json(events).count() == 2
+    again = run_batch(documents(spark, new), tables, *span, run_ts=RUNS[3], events_path=events)
+    assert again.status == "no_changes" and spark.read.json(events).count() == 2
+
+
+def test_a_set_of_tables_keeps_its_scope(spark, tables):
+    span = ("2026-05-01", "2026-06-30")
+    rates = {("2026-05-06", "MXN"): 17.0, ("2026-06-06", "MXN"): 18.0}
+    run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[0], scope="changes")
+    before = rows(spark.table(tables.monthly), "year", "month")
+    more = rates | {("2026-06-07", "MXN"): 18.5}
+    with pytest.raises(ValueError, match="scope"):
+        run_batch(documents(spark, more), tables, *span, run_ts=RUNS[1])
+    assert rows(spark.table(tables.monthly), "year", "month") == before
+    assert spark.table(tables.base).count() == 2
+
+
 def test_report_and_options(spark, tables):
     rates = {("2026-05-08", "BRL"): 5.0, ("2026-05-08", "EUR"): 0.88}
     transactions = spark.createDataFrame(

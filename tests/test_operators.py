@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ratelake.functions.columns import row_text
+from ratelake.functions.columns import iso_millis, row_text
 from ratelake.operators import (
     clean_rates,
     convert_transactions,
@@ -30,10 +30,14 @@ from ratelake.operators import (
     to_events,
     valid_days,
 )
-from ratelake.operators.coverage import PRESENT, WEEKDAY_GAP, WEEKEND_GAP
 from ratelake.operators.star import SPANISH_REPORT_NAMES
 from ratelake.schemas import CHANGES, CUSTOMERS, RATES, TRANSACTIONS
 
+# The labels that stored reports have.
+PRESENT = "OK - Data Present"
+WEEKEND_GAP = "Missing - Normal Weekend No-Publish"
+WEEKDAY_GAP = "CRITICAL - Lost Data / Gap"
+
 RUN_1 = "2026-05-06 00:00:00"
 RUN_2 = "2026-05-07 00:00:00"
 
@@ -519,3 +523,40 @@ def test_rates_schema_is_what_flatten_gives(spark):
     texts = spark.createDataFrame([('{"rates": {}}',)], "value string")
     flat = flatten_rates(parse_documents(texts))
     assert flat.columns == RATES.fieldNames() == empty_rates(spark).columns
+
+
+def test_two_bases_give_one_row_for_a_transaction(spark):
+    rows = [(DAY, 1.0, base, "MXN", rate, None) for base, rate in (("USD", 17.0), ("EUR", 20.0))]
+    rates = spark.createDataFrame(rows, RATES)
+    transactions = spark.createDataFrame([("T", DAY, "C", "MXN", 170.0)], TRANSACTIONS)
+    customers = spark.createDataFrame([("C", "One", "Premium")], CUSTOMERS)
+    (in_usd,) = convert_transactions(transactions, customers, rates).collect()
+    assert in_usd.amount_in_usd == 10.0
+    (in_eur,) = convert_transactions(transactions, customers, rates, base="EUR").collect()
+    assert in_eur.amount_in_usd == 8.5
+
+
+def test_coverage_of_a_null_group(spark):
+    rows = [("2026-05-04", None), ("2026-05-06", None), ("2026-05-06", "A")]
+    df = spark.createDataFrame(rows, "date string, target string")
+    report = coverage_report(df, by=["target"]).select("target", "dq_date", "is_missing").collect()
+    assert {(r.target, str(r.dq_date), r.is_missing) for r in report} == {
+        (None, "2026-05-04", False),
+        (None, "2026-05-05", True),
+        (None, "2026-05-06", False),
+        ("A", "2026-05-06", False),
+    }
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_event_time_in_gaps_and_overlaps(spark, zone):
+    texts = ["2026-03-08T02:30:00.000Z", "2026-03-08T07:30:00.001Z", "2026-11-01T05:30:00.999Z"]
+    texts += ["2026-11-01T06:30:00.120Z", "1969-12-31T23:59:59.500Z"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        out = df.select(iso_millis(F.col("t").cast("timestamp")).alias("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [row.t for row in out] == texts
