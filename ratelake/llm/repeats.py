@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ BLOCK = 1 << 20
 #: Bytes of a shard, after which a new one starts; runs of a hash that one shard can take.
 SHARD_BYTES = 1 << 19
 SHARD_RUNS = 5000
+#: Regions that are equal to others and to nothing else, held until their spans are sent.
+WHOLE_REGIONS = 2000
 
 _STEPS = tuple(
     np.uint64(x)
@@ -73,22 +76,66 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def runs(data: bytes, length: int = LENGTH):
-    """Yields arrays (hash, first start, starts, places of the hash) of a text's runs."""
-    whole = np.frombuffer(data, np.uint8)
-    for low in range(0, len(whole) - length + 1, BLOCK):
-        block = whole[low : low + BLOCK + length - 1]
-        hashes = _piece_hashes(block, PIECE)
-        least = _least(hashes, length - PIECE + 1)
-        start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        count = np.diff(np.append(start, len(least)))
-        key = least[start]
+def runs(texts: list[bytes], length: int = LENGTH, count_places: bool = True):
+    """Yields arrays (text, hash, first start, starts, places of the hash) of runs.
+
+    Short texts are hashed side by side, long ones block by block; a run never crosses
+    two texts.
+    """
+    held: list[int] = []
+    size = 0
+    for i, data in enumerate(texts):
+        if len(data) < length:
+            continue
+        held.append(i)
+        size += len(data)
+        if size >= BLOCK:
+            yield from _runs_of(held, texts, length, count_places)
+            held, size = [], 0
+    if held:
+        yield from _runs_of(held, texts, length, count_places)
+
+
+def _runs_of(held: list[int], texts: list[bytes], length: int, count_places: bool):
+    if len(texts[held[0]]) <= 2 * BLOCK or len(held) > 1:
+        pieces = [(i, 0, texts[i]) for i in held]
+        yield _runs_in(pieces, length, count_places)
+        return
+    (i,) = held
+    for low in range(0, len(texts[i]) - length + 1, BLOCK):
+        piece = texts[i][low : low + BLOCK + length - 1]
+        yield _runs_in([(i, low, piece)], length, count_places)
+
+
+def _runs_in(pieces: list[tuple[int, int, bytes]], length: int, count_places: bool):
+    """Runs of pieces (text, first byte, bytes), hashed as one array."""
+    sizes = np.array([len(data) for _, _, data in pieces])
+    begin = np.cumsum(sizes) - sizes
+    hashes = _piece_hashes(np.frombuffer(b"".join(p[2] for p in pieces), np.uint8), PIECE)
+    least = _least(hashes, length - PIECE + 1)
+    change = np.ones(len(least), bool)
+    change[1:] = least[1:] != least[:-1]
+    change[begin] = True
+    # Starts whose string would leave its piece belong to no run.
+    ends = begin + sizes - length + 1
+    change[ends[ends < len(least)]] = True
+    start = np.flatnonzero(change)
+    count = np.diff(np.append(start, len(least)))
+    piece = np.searchsorted(begin, start, side="right") - 1
+    inside = start < ends[piece]
+    start, count, piece = start[inside], count[inside], piece[inside]
+    key = least[start]
+    places = np.ones(len(start), np.int64)
+    if count_places:
         # A hash at two places of a run lets two of its strings be equal.
-        places = [
-            np.count_nonzero(hashes[s : s + n + length - PIECE] == k)
-            for s, n, k in zip(start.tolist(), count.tolist(), key.tolist(), strict=True)
-        ]
-        yield key.view(np.int64), start + low, count, np.array(places, np.int64)
+        reach = length - PIECE
+        for r, (s, n, k) in enumerate(
+            zip(start.tolist(), count.tolist(), key.tolist(), strict=True)
+        ):
+            places[r] = np.count_nonzero(hashes[s : s + n + reach] == k)
+    text = np.array([i for i, _, _ in pieces])[piece]
+    first = start - begin[piece] + np.array([low for _, low, _ in pieces])[piece]
+    return text, key.view(np.int64), first, count, places
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -104,21 +151,14 @@ def _all_runs(rows: DataFrame, length: int, counts_only: bool) -> DataFrame:
 
     def task(batches):
         for part in slices(batches):
-            found: list[list[np.ndarray]] = [[] for _ in out]
-            for i, t in enumerate(part["text"].to_pylist()):
-                for key, first, count, places in runs((t or "").encode(), length):
-                    if counts_only:
-                        columns = (key, places)
-                    else:
-                        a = np.full(len(key), part["a"][i].as_py(), np.int64)
-                        columns = (key, a, first, count)
-                    for held, column in zip(found, columns, strict=True):
-                        held.append(column)
-            if found[0]:
+            texts = [(t or "").encode() for t in part["text"].to_pylist()]
+            ids = part["a"].to_numpy()
+            for text, key, first, count, places in runs(texts, length, counts_only):
+                columns = (key, places) if counts_only else (key, ids[text], first, count)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(held).astype(field.type.to_pandas_dtype()))
-                        for held, field in zip(found, out, strict=True)
+                        pa.array(column.astype(field.type.to_pandas_dtype()))
+                        for column, field in zip(columns, out, strict=True)
                     ],
                     schema=out,
                 )
@@ -157,23 +197,48 @@ def _shards(regions: DataFrame, length: int) -> DataFrame:
             [pa.array([x[i] for x in found], pa.int64()) for i in range(4)], schema=out
         )
 
+    def whole(held: dict[bytes, list[tuple[int, int, int]]]):
+        """Regions that repeat as a whole, with no other region that shares their hash."""
+        found = [(a, b, x, x + len(t)) for t, places in held.items() for a, b, x in places]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in found], pa.int64()) for i in range(4)], schema=out
+        )
+
     def task(batches):
-        held: dict[bytes, list[tuple[int, int, int]]] = {}
+        shard: dict[bytes, list[tuple[int, int, int]]] = {}
+        own: dict[bytes, list[tuple[int, int, int]]] = {}
+        alone: dict[bytes, list[tuple[int, int, int]]] = {}
         size, last = 0, None
+
+        def close():
+            """The regions of one hash are complete: equal ones alone need no sorting."""
+            nonlocal size
+            if len(own) == 1 and len(next(iter(own.values()))) > 1:
+                alone.update(own)
+            else:
+                shard.update(own)
+                size += sum(map(len, own))
+            own.clear()
+
         for part in slices(batches):
             columns = [part[n].to_pylist() for n in ("hash", "a", "b", "first", "bytes")]
             for mark, a, b, first, data in zip(*columns, strict=True):
-                if mark != last and size > SHARD_BYTES:
-                    yield spans(held)
-                    held, size = {}, 0
+                if mark != last:
+                    close()
+                    if size > SHARD_BYTES:
+                        yield spans(shard)
+                        shard.clear()
+                        size = 0
+                    if len(alone) > WHOLE_REGIONS:
+                        yield whole(alone)
+                        alone.clear()
                 last = mark
-                places = held.get(data)
-                if places is None:
-                    held[data] = places = []
-                    size += len(data)
-                places.append((a, b, first))
-        if held:
-            yield spans(held)
+                own.setdefault(data, []).append((a, b, first))
+        close()
+        if shard:
+            yield spans(shard)
+        if alone:
+            yield whole(alone)
 
     dealt = regions.repartition("hash").sortWithinPartitions("hash")
     return dealt.mapInArrow(task, schema)
@@ -198,18 +263,38 @@ def _strings(regions: DataFrame, length: int) -> DataFrame:
     return regions.mapInArrow(task, schema)
 
 
-def _regions(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """hash, a, b, first and bytes of the wanted runs (a, b, runs) of each text, once."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """key, a, b and the compressed text, for the shuffles that texts have to take."""
+    out = arrow_schema(keyed_schema(rows, "key", "a long, b long, packed binary"))
+
+    def task(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for part in slices(batches):
+            texts = [pack.compress((t or "").encode()) for t in part["text"].to_pylist()]
+            columns = [part["key"], part["a"], part["b"], pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    schema = keyed_schema(rows, "key", "a long, b long, packed binary")
+    return rows.select("key", "a", "b", "text").mapInArrow(task, schema)
+
+
+def _unpacked(packed: list[bytes]) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(data) for data in packed]
+
+
+def _regions(rows: DataFrame, copies: DataFrame, lists: DataFrame, length: int) -> DataFrame:
+    """hash, a, b, first and bytes of the runs listed for each text, once for each text."""
     schema = "hash long, a long, b long, first long, bytes binary"
     out = arrow_schema(schema)
 
     def task(batches):
         for part in slices(batches):
             found = []
-            for a, b, t, wants in zip(
-                *(part[n].to_pylist() for n in ("a", "b", "text", "runs")), strict=True
+            texts = _unpacked(part["packed"].to_pylist())
+            for a, b, data, wants in zip(
+                part["a"].to_pylist(), part["b"].to_pylist(), texts, part["runs"].to_pylist(), strict=True
             ):
-                data = t.encode()
                 for run in wants:
                     first = run["first"]
                     piece = data[first : first + run["starts"] + length - 1]
@@ -219,8 +304,11 @@ def _regions(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 [pa.array([x[i] for x in found], f.type) for i, f in enumerate(out)], schema=out
             )
 
-    joined = rows.join(wanted, ["a", "b"]).where(F.col("key").eqNullSafe(F.col("head")))
-    return joined.select("a", "b", "text", "runs").mapInArrow(task, schema)
+    # All three meet by the first hash; the second one and the key are compared there.
+    heads = copies.select("a", F.col("b").alias("same"), "head")
+    joined = _packed(rows).join(lists, "a").join(heads, "a")
+    once = (F.col("b") == F.col("same")) & F.col("key").eqNullSafe(F.col("head"))
+    return joined.where(once).select("a", "b", "packed", "runs").mapInArrow(task, schema)
 
 
 def repeated_spans(
@@ -242,7 +330,7 @@ def repeated_spans(
         # A text's runs are bounded by the text itself; equal texts sent the same runs.
         run = F.struct("hash", "first", "starts")
         lists = some.groupBy("a").agg(F.collect_set(run).alias("runs"))
-        return _regions(rows, copies.join(lists, "a").select("a", "b", "head", "runs"), length)
+        return _regions(rows, copies, lists, length)
 
     spans = _shards(cut(wanted.where(F.col("n") <= shard_runs)), length)
     hot = wanted.where(F.col("n") > shard_runs)
@@ -251,6 +339,8 @@ def repeated_spans(
         twice = strings.groupBy("x", "y").count().where("count > 1").select("x", "y")
         ends = (F.col("first") + length).alias("last")
         spans = spans.unionByName(strings.join(twice, ["x", "y"]).select("a", "b", "first", ends))
+    # Written, so that the shuffled texts and runs can go before texts are read again.
+    spans = staged_rows(spans, "spans")
     lists = spans.groupBy("a", "b").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return copies.where("copies > 1").select("a", "b", "copies").join(lists, ["a", "b"], "full")
 
@@ -276,10 +366,10 @@ def remove_repeats(
     def start():
         def one(part):
             kept, sizes, gone, spans = [], [], [], []
-            for t, copies, found in zip(
-                *(part[n].to_pylist() for n in ("text", "copies", "spans")), strict=True
+            texts = _unpacked(part["packed"].to_pylist())
+            for data, copies, found in zip(
+                texts, part["copies"].to_pylist(), part["spans"].to_pylist(), strict=True
             ):
-                data = (t or "").encode()
                 if (copies or 0) > 1 and len(data) >= length:
                     cuts = [(0, len(data))]
                 else:
@@ -301,7 +391,8 @@ def remove_repeats(
 
         return one
 
-    joined = rows.join(found, ["a", "b"], "left").select("key", "text", "copies", "spans")
+    joined = _packed(rows).join(found, ["a", "b"], "left")
+    joined = joined.select("key", "packed", "copies", "spans")
     out = map_rows(joined, schema, start)
     return out.select(F.col("key").alias(key), *out.columns[1:])
 
