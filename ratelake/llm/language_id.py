@@ -30,8 +30,10 @@ MOST_LANGUAGES = 512
 #: Words counted in a task before they are added to the buckets.
 COUNTED_WORDS = 300_000
 #: Words whose scores, and n-grams whose buckets, a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 CACHED_GRAMS = 200_000
+#: Texts that are labelled in step.
+LABELLED_ROWS = 4096
 #: Words times languages of the mixed texts that are labelled together.
 CELLS = 8_000_000
 #: Cost of a change of language between two words, in nats, and n-gram weight: the
@@ -66,6 +68,11 @@ _SCRIPT_AT = [SCRIPTS.index(name) for _, name in SCRIPT_STARTS]
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def spaced(text: str | None) -> str:
+    """Lower case, with the commonest signs set off from their words."""
+    return (text or "").lower().replace(",", " ").replace(".", " ")
+
+
 def script_of(letter: str) -> int:
     return _SCRIPT_AT[bisect_right(_STARTS, ord(letter)) - 1]
 
@@ -123,7 +130,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
 
         for part in slices(batches):
             for lang, t in zip(part["label"].to_pylist(), part["text"].to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(t.lower().split())
+                words.setdefault(lang, Counter()).update(spaced(t).split())
             if sum(map(len, words.values())) > COUNTED_WORDS:
                 add()
         add()
@@ -136,12 +143,13 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
     rows = labelled.select(F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").alias("text"))
     counted = rows.where("label is not null and text is not null").mapInArrow(task, schema)
     sums = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in sums.select("label").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # At most languages x (buckets + scripts) rows reach the driver, however many texts.
+    most = MOST_LANGUAGES * (BUCKETS + len(SCRIPTS))
+    known = sums.limit(most + 1).toPandas()
+    languages = sorted(known["label"].unique())
+    if len(languages) > MOST_LANGUAGES or len(known) > most:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     table = np.zeros((len(languages), BUCKETS + len(SCRIPTS)))
-    known = sums.toPandas()
     place = {lang: i for i, lang in enumerate(languages)}
     table[known["label"].map(place).to_numpy(int), known["bucket"].to_numpy(int)] = known["n"]
     seen, scripts = table[:, :BUCKETS] + SMOOTHING, table[:, BUCKETS:]
@@ -164,35 +172,45 @@ class _Labeller:
         self.letters = np.zeros(1024, np.int64)
         self.used = 0
 
-    def _add(self, word: str) -> int:
-        if self.used == len(self.rows):
+    def _add(self, words: list[str]) -> None:
+        """Scores words that are not known yet, all at once."""
+        n = len(words)
+        while self.used + n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        row, n = self.rows[self.used], 0
-        for run in _LETTERS.findall(word):
-            n += len(run)
-            may = self.model.scripts[:, script_of(run[0])]
-            if may.any():
-                score = WEIGHT * self.by_bucket[grams(run)].sum(axis=0)
-                # Outside the script's languages a word is as bad as many of its n-grams.
-                row += np.where(may, score, score[may].min() - 20)
-        row -= row.max() if len(row) else 0
-        self.letters[self.used] = n
-        self.place[word] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def words(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
-        found = map(self.place.get, words)
-        return np.array(
-            [self._add_once(w) if i is None else i for w, i in zip(words, found, strict=True)],
-            np.int64,
-        )
-
-    def _add_once(self, word: str) -> int:
-        known = self.place.get(word)
-        return self._add(word) if known is None else known
+        letters, script, size, flat = [0] * n, [0] * n, [0] * n, []
+        for i, word in enumerate(words):
+            self.place[word] = self.used + i
+            runs = [word] if word.isalpha() else _LETTERS.findall(word)
+            if runs:
+                # A word is of the script of its first letter.
+                script[i] = script_of(runs[0][0])
+                letters[i] = sum(map(len, runs))
+                before = len(flat)
+                for run in runs:
+                    flat += grams(run)
+                size[i] = len(flat) - before
+        count = np.array(size)
+        (known,) = np.nonzero(count)
+        if len(known) and len(self.model.languages):
+            begin = np.cumsum(count[known]) - count[known]
+            score = WEIGHT * np.add.reduceat(self.by_bucket[flat], begin, axis=0)
+            may = self.model.scripts.T[np.array(script)[known]]
+            # Outside the script's languages a word is as bad as many of its n-grams; a
+            # script that no language has tells nothing.
+            least = np.where(may, score, np.inf).min(axis=1, keepdims=True) - 20
+            score = np.where(may, score, least)
+            score[~may.any(axis=1)] = 0
+            self.rows[self.used + known] = score - score.max(axis=1, keepdims=True)
+        self.letters[self.used : self.used + n] = letters
+        self.used += n
+
+    def words(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The words of each text, by their rows."""
+        place = self.place
+        lists = [spaced(t).split() for t in texts]
+        self._add([w for w in set().union(*lists) if w not in place])
+        return [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in lists]
 
     def labels(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The best language of each word of each text."""
@@ -292,7 +310,7 @@ def language_spans(
         def one(part):
             if labeller.used > CACHED_WORDS:
                 labeller.clear()
-            texts = [labeller.words(t) for t in part["text"].to_pylist()]
+            texts = labeller.words(part["text"].to_pylist())
             preds, scores, spans = [], [], []
             for words, label in zip(texts, labeller.labels(texts), strict=True):
                 letters = labeller.letters[words] if len(words) else np.zeros(0, np.int64)
@@ -320,5 +338,5 @@ def language_spans(
 
         return one
 
-    rows = map_rows(keyed_text(docs, key, text), schema, start)
+    rows = map_rows(keyed_text(docs, key, text), schema, start, rows=LABELLED_ROWS)
     return rows.select(F.col("key").alias(key), *rows.columns[1:])

@@ -46,11 +46,13 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS
+) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that few texts are Python objects at the same time."""
     for batch in batches:
         at, size = 0, max(1, batch.nbytes // max(1, batch.num_rows))
-        step = max(1, min(SLICE_ROWS, SLICE_BYTES // size))
+        step = max(1, min(rows, SLICE_BYTES // size))
         while at < batch.num_rows:
             yield batch.slice(at, step)
             at += step
@@ -73,7 +75,10 @@ class Remembered(dict):
 
 
 def map_rows(
-    df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[pa.RecordBatch], dict | None]]
+    df: DataFrame,
+    schema: str | StructType,
+    start: Callable[[], Callable[[pa.RecordBatch], dict | None]],
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """mapInArrow over slices: start() runs once a task, its result once a slice.
 
@@ -84,7 +89,7 @@ def map_rows(
 
     def task(batches):
         one = start()
-        for part in slices(batches):
+        for part in slices(batches, rows):
             columns = one(part)
             if columns is not None and len(next(iter(columns.values()))):
                 yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_rows,
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Nodes of a group beyond which it is cut again; nodes that a task indexes at a time.
-GROUP_NODES = 20_000
+GROUP_NODES = 200_000
 INDEX_NODES = 400_000
 #: Children of a tree node, and searches that go down the tree together.
 FANOUT = 8
@@ -186,11 +186,15 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group_nodes: int = GROUP_N
         sizes = open_.groupBy("mask", "value").count()
         large = staged_rows(sizes.where(F.col("count") > group_nodes).select("mask", "value"), "large")
         masks = [row[0] for row in large.select("mask").distinct().collect()]
+        # With fewer open bits than parts a group has a few nodes at most.
+        masks = [m for m in masks if 64 - (m % (1 << 64)).bit_count() > distance]
+        if not masks:
+            ready = open_ if ready is None else ready.unionByName(open_)
+            break
         # At most (distance + 1) ** rounds masks, not groups, are known to the driver.
+        large = large.where(F.col("mask").isin(masks))
         rest = open_.join(large, ["mask", "value"], "left_anti")
         ready = rest if ready is None else ready.unionByName(rest)
-        if not masks:
-            break
         cut = F.create_map(
             *[x for m in masks for x in (F.lit(m), F.array(*map(F.lit, _cuts(m, distance + 1))))]
         )
