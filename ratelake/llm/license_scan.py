@@ -142,7 +142,7 @@ class _Templates:
         for right, mark in enumerate(marks):
             count[mark] = count.get(mark, 0) + 1
             good += count[mark] <= need[mark]
-            while places[right] - places[left] >= span:
+            while left < right and (places[right] - places[left] >= span or places[left] < free):
                 out = marks[left]
                 good -= count[out] <= need[out]
                 count[out] -= 1
