@@ -27,17 +27,18 @@ def clean_rates(
 ) -> DataFrame:
     """Rows with all keys and a rate in [lo, hi]; the first per key survives.
 
-    "First" is by ``tie_break`` (a leading "-" turns a column's order round), then by every other column that has an order, so
-    the survivor does not depend on how the input is split. Spark turns
-    ``row_number() = 1`` into a group limit that runs before the shuffle too
-    (WindowGroupLimit), so a key that holds a large share of the rows leaves each
-    map task as a single row.
+    "First" is by ``tie_break`` (a leading "-" turns a column's order round), then by
+    every other column that has an order, so the survivor does not depend on how the
+    input is split. Spark turns ``row_number() = 1`` into a group limit that runs before
+    the shuffle too (WindowGroupLimit), so a key that holds a large share of the rows
+    leaves each map task as a single row.
     """
     valid = df.na.drop(subset=[*keys, "rate"]).filter(F.col("rate").between(lo, hi))
+    named = {*keys, *(tie.lstrip("-") for tie in tie_break)}
     rest = [
         name
         for name, kind in df.dtypes
-        if name not in (*keys, *(tie.lstrip("-") for tie in tie_break)) and "map<" not in kind and "variant" not in kind
+        if name not in named and "map<" not in kind and "variant" not in kind
     ]
     ties = [F.desc(tie[1:]) if tie.startswith("-") else F.asc(tie) for tie in tie_break]
     order = [*ties, *rest] or list(keys)
