@@ -1,21 +1,26 @@
 """Operator 3: training texts that hold copies of test items, edited ones included.
 
 The test items are the query set. They are taken in blocks of a bounded number of words;
-a block's seeds are broadcast and meet every text in the task that reads it, so no text
-is shuffled. For each block:
-
-1. The texts that hold each of its word n-grams are counted, over the whole corpus.
-2. Of every few n-grams in a row the rarest is a seed, so each item has seeds all along
-   it, however common its n-grams are, and common phrases seldom start an alignment.
-3. Where a text has a seed of an item, the words around are aligned with the item
-   (Smith-Waterman over words: match 2, mismatch and gap -1). The score is taken relative
-   to that of an exact copy.
+a block is broadcast and meets every text in the task that reads it, so no text is
+shuffled. For each block:
+
+1. The words and the pairs of neighbouring words that a text shares with each item are
+   counted from posting lists. They bound the score of any alignment from above: between
+   matches that are not neighbours on both sides lies a penalty at least, so m matches
+   with b kept pairs score at most m + b + 1, and never more than 2 m.
+2. Where the bound reaches the score asked for, in the text and then in a stretch as long
+   as a copy can be, the stretch is aligned with the item (Smith-Waterman over words:
+   match 2, mismatch and gap -1). The score is taken relative to that of an exact copy.
+
+Nothing but the bound decides what is aligned, so no copy that reaches the score is
+passed over, however its edits lie.
 """
 
 from __future__ import annotations
 
 import re
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,10 @@ from pyspark.sql.types import StructType
 
 from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, slices
 
-#: Words of a seed; n-grams in a row of which the rarest is one. Any unchanged stretch of
-#: SEED + SPAN - 1 words has a seed.
-SEED, SPAN = 4, 3
+#: Items of fewer words match nothing.
+SHORTEST = 4
+#: Words of a text that are looked at together, besides the length of the longest copy.
+PIECE = 512
 #: Words of a block of items; it bounds what is broadcast and what the driver holds.
 BLOCK_WORDS = 400_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -37,33 +43,40 @@ LEAST_SCORE, LEAST_WORDS = 0.5, 8
 REMEMBERED = 20_000
 
 _WORDS = re.compile(r"\w+").findall
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORDS((text or "").lower())
 
 
-def _ngrams(ids: np.ndarray) -> np.ndarray:
-    """A hash of the SEED ids from each place on."""
-    n = len(ids) - SEED + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    value = np.zeros(n, np.uint64)
-    for i in range(SEED):
-        value = (value ^ ids[i : i + n].astype(np.uint64)) * _MIX
-        value ^= value >> np.uint64(32)
-    return value
+def _pairs(ids: np.ndarray) -> np.ndarray:
+    """Each id and the next as one number; 0 where one of them is 0."""
+    left, right = ids[:-1], ids[1:]
+    return np.where((left > 0) & (right > 0), left << 32 | right, 0)
 
 
-def _text_ngrams(ids: np.ndarray) -> np.ndarray:
-    """The same, and 0 where one of the words is in no item."""
-    value = _ngrams(ids)
-    unknown = np.flatnonzero(ids == 0)
-    for i in range(SEED):
-        at = unknown - i
-        value[at[(at >= 0) & (at < len(value))]] = 0
-    return value
+class _Postings:
+    """The numbers of the items that hold each value, and how often they hold it."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        none = np.zeros(0, np.int64)
+        values = np.concatenate([none, *lists])
+        number = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        pairs, self.times = np.unique(np.stack([values, number]), axis=1, return_counts=True)
+        self.item = pairs[1].astype(np.int64)
+        self.known, begin, self.size = np.unique(pairs[0], return_index=True, return_counts=True)
+        self.begin = begin.astype(np.int64)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each item that holds a value: place of the value, place in the lists."""
+        if not len(self.known) or not len(values):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
+        (place,) = np.nonzero(self.known[at] == values)
+        at = at[place]
+        size = self.size[at]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(place, size), np.repeat(self.begin[at], size) + inner
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -94,60 +107,66 @@ def _best(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 
 
 class _Block:
-    """Items of a block with their vocabulary; seeds are set once counts are known."""
+    """Items of a block with their vocabulary and posting lists."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], least_score: float):
         texts = [words_of(text) for _, text in items]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t}))}
-        self.keys = [key for key, _ in items]
-        self.items = [self.numbers(t) for t in texts]
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_ngrams, self.items)]))
-        self.seeds = self.known
-        self.places: dict[int, list[tuple[int, int]]] = {}
+        kept = [i for i, t in enumerate(texts) if len(t) >= SHORTEST]
+        self.keys = [items[i][0] for i in kept]
+        self.items = [self.numbers(texts[i]) for i in kept]
+        self.words = _Postings(self.items)
+        self.pairs = _Postings([_pairs(x) for x in self.items])
+        size = np.array([len(x) for x in self.items], np.int64)
+        #: Least score of each item, and most words of a text that an alignment with it
+        #: spans: each word beyond the item's own is a gap.
+        self.least = MATCH * np.maximum(least_score * size, np.minimum(LEAST_WORDS, size))
+        self.span = size + np.maximum(0, MATCH * size - self.least).astype(np.int64)
+        self.most = int(self.span.max(initial=0))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         get = self.ids.get
         return np.array([get(w, 0) for w in words], np.int64)
 
-    def hits(self, ids: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a text's n-grams that are among the sorted hashes, and their numbers."""
-        if not len(among):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        value = _text_ngrams(ids)
-        at = np.flatnonzero(value)
-        number = np.minimum(np.searchsorted(among, value[at]), len(among) - 1)
-        found = among[number] == value[at]
-        return at[found], number[found]
-
-    def choose(self, texts_with: np.ndarray) -> None:
-        """Takes as seeds the rarest of every SPAN n-grams in a row, by texts with them."""
-        for number, item in enumerate(self.items):
-            value = _ngrams(item)
-            seen = texts_with[np.searchsorted(self.known, value)]
-            for low in range(max(1, len(value) - SPAN + 1) if len(value) else 0):
-                place = low + int(seen[low : low + SPAN].argmin())
-                places = self.places.setdefault(int(value[place]), [])
-                if (number, place) not in places:
-                    places.append((number, place))
-        self.seeds = np.array(sorted(self.places), np.uint64)
-
-    def windows(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first, last) word ranges around seeds; overlapping ones of an item are one."""
-        at, number = self.hits(ids, self.seeds)
-        ranges = []
-        for place, seed in zip(at.tolist(), self.seeds[number].tolist(), strict=True):
-            for item, offset in self.places[seed]:
-                size = len(self.items[item])
-                slack = size // 4 + 4
-                low = max(0, place - offset - slack)
-                ranges.append((item, low, min(len(ids), place - offset + size + slack)))
-        out: list[tuple[int, int, int]] = []
-        for item, low, high in sorted(ranges):
-            if out and out[-1][0] == item and low <= out[-1][2]:
-                out[-1] = (item, out[-1][1], max(high, out[-1][2]))
-            else:
-                out.append((item, low, high))
-        return out
+    def windows(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last) word ranges that may hold a copy, in pieces of the text."""
+        step = max(PIECE, self.most)
+        for low in range(0, max(1, len(ids) - self.most), step):
+            for item, first, last in self._windows(ids[low : low + step + self.most]):
+                yield item, low + first, low + last
+
+    def _windows(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        n = len(self.items)
+        known, times = np.unique(ids[ids > 0], return_counts=True)
+        of, at = self.words.find(known)
+        shared = np.minimum(times[of], self.words.times[at])
+        words = np.bincount(self.words.item[at], weights=shared, minlength=n)
+        if not (MATCH * words >= self.least).any():
+            return
+        place, at = self.pairs.find(_pairs(ids))
+        held = self.pairs.item[at]
+        bound = np.minimum(MATCH * words, words + np.bincount(held, minlength=n) + 1)
+        for item in np.flatnonzero(bound >= self.least).tolist():
+            mine = np.isin(ids, self.items[item])
+            gain = mine.astype(np.int64)
+            gain[place[held == item]] += 1
+            total = np.concatenate([[0], np.cumsum(gain)])
+            span, least = int(self.span[item]), self.least[item]
+            ends = np.minimum(np.arange(len(ids)) + span, len(ids))
+            # An alignment begins at a word of the item.
+            (begins,) = np.nonzero(mine & (total[ends] - total[:-1] + 1 >= least))
+            if not len(begins):
+                continue
+            cuts = np.flatnonzero(begins[1:] > begins[:-1] + span)
+            firsts = begins[np.concatenate([[0], cuts + 1])]
+            lasts = ends[begins[np.concatenate([cuts, [len(begins) - 1]])]]
+            need = np.bincount(self.items[item])
+            for first, last in zip(firsts.tolist(), lasts.tolist(), strict=True):
+                part = np.bincount(ids[first:last], minlength=len(need))[: len(need)]
+                m = np.minimum(part, need)[1:].sum()
+                if min(MATCH * m, m + gain[first:last].sum() - mine[first:last].sum() + 1) >= least:
+                    last = first + int(np.flatnonzero(mine[first:last])[-1]) + 1
+                    yield item, first, last
 
 
 def contaminated(
@@ -159,10 +178,10 @@ def contaminated(
 
     One row for each text row and item whose best alignment scores at least least_score
     and matches LEAST_WORDS words, or the whole of a shorter item. Words are runs of
-    letters, digits and underscores in lower case. Items of fewer than SEED words, null
+    letters, digits and underscores in lower case. Items of fewer than SHORTEST words, null
     and empty texts match nothing; equal items and repeated rows give a row each; empty
     tables give no rows; null keys stay; other columns are not read. Whole texts are
-    searched, and every seed of every item.
+    searched, for every item.
     """
     item = items.schema[item_key].dataType.simpleString()
     schema = keyed_schema(docs, key, f"item {item}, score double, first long, last long")
@@ -174,37 +193,18 @@ def contaminated(
     out = None
     for b in range(blocks):
         # A block has a bounded number of words; no other data reaches the driver.
-        block = _Block([tuple(r) for r in asked.where(number == b).collect()])
-        found = _search(rows, block, schema, least_score)
+        block = _Block([tuple(r) for r in asked.where(number == b).collect()], least_score)
+        found = _search(rows, block, schema)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "score", "first", "last")
 
 
-def _search(rows: DataFrame, block: _Block, schema: StructType, least_score: float) -> DataFrame:
-    context = rows.sparkSession.sparkContext
-    all_seeds = context.broadcast(block)
-    out, counts = arrow_schema(schema), arrow_schema("number int, n long")
-
-    def count(batches):
-        held = all_seeds.value
-        n = np.zeros(len(held.known), np.int64)
-        for part in slices(batches):
-            for t in part["text"].to_pylist():
-                _, numbers = held.hits(held.numbers(words_of(t)), held.known)
-                n[np.unique(numbers)] += 1
-        (at,) = np.nonzero(n)
-        columns = [pa.array(at.astype(np.int32)), pa.array(n[at])]
-        yield pa.RecordBatch.from_arrays(columns, schema=counts)
-
-    sums = rows.select("text").mapInArrow(count, "number int, n long").groupBy("number").agg(F.sum("n"))
-    texts_with = np.zeros(len(block.known), np.int64)
-    for at, n in sums.collect():  # at most one row for each n-gram of the block
-        texts_with[at] = n
-    block.choose(texts_with)
-    chosen = context.broadcast(block)
+def _search(rows: DataFrame, block: _Block, schema: StructType) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+    out = arrow_schema(schema)
 
     def search(batches):
-        held = chosen.value
+        held = shared.value
         memory: OrderedDict[tuple, tuple[int, int, int]] = OrderedDict()
         for part in slices(batches):
             found = []
@@ -213,17 +213,13 @@ def _search(rows: DataFrame, block: _Block, schema: StructType, least_score: flo
                 best: dict[int, tuple[float, int, int]] = {}
                 for item, low, high in held.windows(ids):
                     words, window = held.items[item], ids[low:high]
-                    least = max(least_score * len(words), min(LEAST_WORDS, len(words)))
-                    # No more words match than are in the item at all.
-                    if np.isin(window, words).sum() < least:
-                        continue
                     known = (item, window.tobytes())
                     if known not in memory:
                         memory[known] = align(words, window)
                         if len(memory) > REMEMBERED:
                             memory.popitem(last=False)
                     score, first, last = memory[known]
-                    if score >= MATCH * least:
+                    if score >= held.least[item]:
                         share = score / (MATCH * len(words))
                         if item not in best or share > best[item][0]:
                             best[item] = (share, low + first, low + last)

@@ -173,6 +173,28 @@ def test_copies_of_items_are_found(spark, block_words):
     assert contaminated(docs.limit(0), bench).count() == contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_copies_with_edits_all_along_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = {i: [word() for _ in range(36)] for i in range(8)}
+    around = lambda: [word() for _ in range(20)]
+    every = lambda i, n: [word() if at % n == n - 1 else w for at, w in enumerate(items[i])]
+    apart = [w for x in items[4] for w in (x, word())]
+    many = [w for i in range(1200) for w in [word()]] + every(5, 4) + around()
+    texts = {0: every(0, 6), 1: every(1, 5), 2: every(2, 4), 3: every(3, 3), 4: apart, 5: many,
+             6: every(6, 5), 7: items[6], 8: every(7, 2)}
+    rows = [(k, " ".join(around() + t + around())) for k, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(docs, bench).collect()}
+    # Every n-th word replaced, a word put after every word, and beside an exact copy.
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6)}
+    for (doc, item), score in got.items():
+        ids = {w: i for i, w in enumerate(items[item])}
+        words = [ids.get(w, -1) for w in rows[doc][1].split()]
+        assert math.isclose(score, plain_align(list(range(36)), words) / 72)
+
+
 # --- licences
 
 
