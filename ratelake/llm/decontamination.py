@@ -37,16 +37,26 @@ PIECE = 512
 #: Words of a block of items; it bounds what is broadcast and what the driver holds.
 BLOCK_WORDS = 400_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Least score relative to an exact copy, and least matches (or the whole of a short item).
+#: Least score relative to an exact copy, and, apart from it, least matches (or all words
+#: of a shorter item).
 LEAST_SCORE, LEAST_WORDS = 0.5, 8
 #: Alignments that a task remembers, for texts that hold the same words.
 REMEMBERED = 20_000
 
-_WORDS = re.compile(r"\w+").findall
+#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, Kana, Han): each letter is
+#: a word of its own.
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u19e0-\u19ff\u3005-\u3007\u3041-\u312f\u31a0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f"
+    "\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+)
+_SPACED_WORDS = re.compile(r"\w+").findall
+_WORDS = re.compile(rf"[^\W{UNSPACED}]+|[^\W\d_]").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS((text or "").lower())
+    text = (text or "").lower()
+    return _SPACED_WORDS(text) if text.isascii() else _WORDS(text)
 
 
 def _pairs(ids: np.ndarray) -> np.ndarray:
@@ -79,31 +89,37 @@ class _Postings:
         return np.repeat(place, size), np.repeat(self.begin[at], size) + inner
 
 
-def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """Best local score of the item in the words, and the first and last word it covers."""
-    score, last = _best(item, words)
+def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int]:
+    """Best local score of the item in the words, the first and last word, the matches.
+
+    Among alignments of the best score the one with most matches counts.
+    """
+    score, matches, last = _best(item, words)
     if score <= 0:
-        return 0, 0, 0
+        return 0, 0, 0, 0
     # Backwards from the last word, the best alignment ends at the first.
-    back, first = _best(item[::-1], words[: last + 1][::-1])
-    return max(score, back), last - first, last
+    _, _, first = _best(item[::-1], words[: last + 1][::-1])
+    return score, last - first, last, matches
 
 
-def _best(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
+def _best(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     n = len(words)
-    ramp = np.arange(n + 1) * -GAP
+    # A score counts in units; below them its matches are counted.
+    unit = len(item) + 1
+    ramp = np.arange(n + 1) * (-GAP * unit)
     row = np.zeros(n + 1, np.int64)
     best = at = 0
     for word in item:
         step = np.zeros(n + 1, np.int64)
-        step[1:] = row[:-1] + np.where(words == word, MATCH, MISMATCH)
-        step = np.maximum(np.maximum(step, row + GAP), 0)
+        step[1:] = row[:-1] + np.where(words == word, MATCH * unit + 1, MISMATCH * unit)
+        step = np.maximum(step, row + GAP * unit)
         # Gaps within the row: the best of all places before, less their distance.
         row = np.maximum.accumulate(step + ramp) - ramp
+        row[row < unit] = 0
         top = int(row.argmax())
         if row[top] > best:
             best, at = int(row[top]), top
-    return best, at - 1
+    return best // unit, best % unit, at - 1
 
 
 class _Block:
@@ -120,7 +136,8 @@ class _Block:
         size = np.array([len(x) for x in self.items], np.int64)
         #: Least score of each item, and most words of a text that an alignment with it
         #: spans: each word beyond the item's own is a gap.
-        self.least = MATCH * np.maximum(least_score * size, np.minimum(LEAST_WORDS, size))
+        self.least = MATCH * least_score * size
+        self.matches = np.minimum(LEAST_WORDS, size)
         self.span = size + np.maximum(0, MATCH * size - self.least).astype(np.int64)
         self.most = int(self.span.max(initial=0))
 
@@ -141,12 +158,13 @@ class _Block:
         of, at = self.words.find(known)
         shared = np.minimum(times[of], self.words.times[at])
         words = np.bincount(self.words.item[at], weights=shared, minlength=n)
-        if not (MATCH * words >= self.least).any():
+        may = (MATCH * words >= self.least) & (words >= self.matches)
+        if not may.any():
             return
         place, at = self.pairs.find(_pairs(ids))
         held = self.pairs.item[at]
         bound = np.minimum(MATCH * words, words + np.bincount(held, minlength=n) + 1)
-        for item in np.flatnonzero(bound >= self.least).tolist():
+        for item in np.flatnonzero(may & (bound >= self.least)).tolist():
             mine = np.isin(ids, self.items[item])
             gain = mine.astype(np.int64)
             gain[place[held == item]] += 1
@@ -164,7 +182,8 @@ class _Block:
             for first, last in zip(firsts.tolist(), lasts.tolist(), strict=True):
                 part = np.bincount(ids[first:last], minlength=len(need))[: len(need)]
                 m = np.minimum(part, need)[1:].sum()
-                if min(MATCH * m, m + gain[first:last].sum() - mine[first:last].sum() + 1) >= least:
+                pairs = gain[first:last].sum() - mine[first:last].sum()
+                if m >= self.matches[item] and min(MATCH * m, m + pairs + 1) >= least:
                     last = first + int(np.flatnonzero(mine[first:last])[-1]) + 1
                     yield item, first, last
 
@@ -178,7 +197,8 @@ def contaminated(
 
     One row for each text row and item whose best alignment scores at least least_score
     and matches LEAST_WORDS words, or the whole of a shorter item. Words are runs of
-    letters, digits and underscores in lower case. Items of fewer than SHORTEST words, null
+    letters, digits and underscores in lower case, and single letters of scripts without
+    spaces. Items of fewer than SHORTEST words, null
     and empty texts match nothing; equal items and repeated rows give a row each; empty
     tables give no rows; null keys stay; other columns are not read. Whole texts are
     searched, for every item.
@@ -205,7 +225,7 @@ def _search(rows: DataFrame, block: _Block, schema: StructType) -> DataFrame:
 
     def search(batches):
         held = shared.value
-        memory: OrderedDict[tuple, tuple[int, int, int]] = OrderedDict()
+        memory: OrderedDict[tuple, tuple[int, int, int, int]] = OrderedDict()
         for part in slices(batches):
             found = []
             for k, t in zip(part["key"].to_pylist(), part["text"].to_pylist(), strict=True):
@@ -218,8 +238,8 @@ def _search(rows: DataFrame, block: _Block, schema: StructType) -> DataFrame:
                         memory[known] = align(words, window)
                         if len(memory) > REMEMBERED:
                             memory.popitem(last=False)
-                    score, first, last = memory[known]
-                    if score >= held.least[item]:
+                    score, first, last, matches = memory[known]
+                    if score >= held.least[item] and matches >= held.matches[item]:
                         share = score / (MATCH * len(words))
                         if item not in best or share > best[item][0]:
                             best[item] = (share, low + first, low + last)

@@ -195,6 +195,21 @@ def test_copies_with_edits_all_along_are_found(spark):
         assert math.isclose(score, plain_align(list(range(36)), words) / 72)
 
 
+def test_short_items_and_unspaced_scripts(spark):
+    ten, eight, seven = ([f"{c}{i}" for i in range(n)] for c, n in (("t", 10), ("e", 8), ("s", 7)))
+    two = ten[:3] + ["x"] + ten[4:7] + ["y"] + ten[8:]
+    items = {0: " ".join(ten), 1: " ".join(eight), 2: " ".join(seven), 3: "我们今天去公园看红色的花", 4: "ฉันชอบกนขาว",
+             5: "今日は公園で花を見た", 6: "три слова"}
+    texts = {0: " ".join(two), 1: " ".join(ten[:7]), 2: " ".join([*eight[:4], "x", *eight[4:]]),
+             3: " ".join([*seven[:3], "x", *seven[4:]]), 4: "昨天我们今天去公园看蓝色的花。", 5: "เขา" + items[4],
+             6: "「" + items[5] + "」", 7: " ".join(seven), 8: items[6], 9: "公园 花"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(docs, bench).collect()}
+    # Eight of ten words match in 0, seven in 1; 3 lacks a word of an item of seven.
+    assert got == {(0, 0): 14 / 20, (2, 1): 15 / 16, (4, 3): 21 / 24, (5, 4): 1, (6, 5): 1, (7, 2): 1}
+
+
 # --- licences
 
 
