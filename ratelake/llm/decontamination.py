@@ -206,9 +206,7 @@ def contaminated(
     item = items.schema[item_key].dataType.simpleString()
     schema = keyed_schema(docs, key, f"item {item}, score double, first long, last long")
     rows, asked = keyed_text(docs, key, text), keyed_text(items, item_key, item_text)
-    sized = F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))
-    total = asked.agg(F.sum(sized)).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
+    blocks = max(1, -(-_count_words(asked) // block_words))
     number = F.pmod(F.xxhash64("key", "text"), F.lit(blocks))
     out = None
     for b in range(blocks):
@@ -219,6 +217,16 @@ def contaminated(
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "score", "first", "last")
 
 
+def _count_words(rows: DataFrame) -> int:
+    """All words of the texts, as words_of cuts them in any script."""
+
+    def task(batches):
+        n = sum(len(words_of(t)) for part in slices(batches) for t in part["text"].to_pylist())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return rows.select("text").mapInArrow(task, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def _search(rows: DataFrame, block: _Block, schema: StructType) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(block)
     out = arrow_schema(schema)

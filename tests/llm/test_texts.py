@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ratelake.llm import quality_rules
-from ratelake.llm.decontamination import GAP, MATCH, MISMATCH, align, contaminated
+from ratelake.llm.decontamination import GAP, MATCH, MISMATCH, _count_words, align, contaminated, words_of
 from ratelake.llm.language_id import _Labeller, LanguageModel, in_holdout, language_spans, learn
 from ratelake.llm.license_scan import TEMPLATES, patience, scan_licenses
 from ratelake.llm.quality_rules import log_tail, quality_verdicts
@@ -210,6 +210,13 @@ def test_short_items_and_unspaced_scripts(spark):
     assert got == {(0, 0): 14 / 20, (2, 1): 15 / 16, (4, 3): 21 / 24, (5, 4): 1, (6, 5): 1, (7, 2): 1}
 
 
+def test_blocks_count_the_words_of_any_script(spark):
+    texts = ["дом и сад короля", "ο κήπος του βασιλιά", "the garden", "公园", None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert _count_words(frame) == sum(len(words_of(t)) for t in texts) == 12
+    assert _count_words(frame.limit(0)) == 0
+
+
 # --- licences
 
 
