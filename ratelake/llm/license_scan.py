@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -151,18 +152,49 @@ class _Templates:
                 continue
             # The stretch has just become rich enough; it ends within one more length.
             low = places[left]
-            for size in (len(words), span):
-                part = ids[low : low + size].tolist()
-                pairs = patience(part, words)
-                if len(pairs) >= least:
-                    match = (len(pairs) / len(words), low + pairs[0][0], low + pairs[-1][0])
-                    copies += 1
-                    free = match[2] + 1
-                    if best is None or match[0] > best[0]:
-                        best = match
-                    break
+            found = self._best(ids, low, len(ids), words, need, least, span)
+            if not found:
+                continue
+            free = found[2] + 1
+            while found:
+                copies += 1
+                if best is None or (found[0], -found[1]) > (best[0], -best[1]):
+                    best = found
+                # A poorer copy may lie before the best one.
+                found = self._best(ids, low, found[1], words, need, least, span)
         return best, copies
 
+    def _best(self, ids, low, high, words, need, least, span):
+        """The best copy (coverage, first, last word) that begins near low and ends before high.
+
+        The alignment of a stretch tells where a copy begins: at its first match, or where
+        most matches put the template's first word. Stretches from there on are aligned
+        too, until none is better. A match counts three times, and a word of the template
+        that is left over within the copy counts against it, so that the end of another
+        copy does not serve for this one's.
+        """
+        best, most, starts, tried = None, (), [low], set()
+        while starts:
+            at = starts.pop()
+            if at in tried or not low <= at < high:
+                continue
+            tried.add(at)
+            for size in (len(words), span):
+                part = ids[at : min(at + size, high)]
+                pairs = patience(part.tolist(), words)
+                if not pairs:
+                    continue
+                first, last = pairs[0][0], pairs[-1][0]
+                over = int((need[part[first : last + 1]] > 0).sum()) - len(pairs)
+                value = (len(pairs) >= least, 3 * len(pairs) - over, first - last)
+                if best is None or value > most:
+                    shift, _ = Counter(i - j for i, j in pairs).most_common(1)[0]
+                    starts += [at + shift, at + first]
+                    best, most = (len(pairs), at + first, at + last), value
+        if best is None or best[0] < least:
+            return None
+        return best[0] / len(words), best[1], best[2]
+
 
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id",

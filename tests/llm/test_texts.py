@@ -244,6 +244,26 @@ def test_licences_in_any_row(spark):
     assert scan_licenses(docs.limit(0)).count() == scan_licenses(docs, {"none": ""}).count() == 0
 
 
+def test_exact_copies_are_whole_whatever_stands_before(spark):
+    short = [n for n, t in TEMPLATES.items() if len(t.split()) < 300]
+    rows = []
+    for name in short:
+        words = re.findall(r"\w+", TEMPLATES[name])
+        for lead in ("the", "the of this", f"{words[1]} x {words[-1]}", " ".join(words[: len(words) // 2])):
+            text = f"{lead} {TEMPLATES[name]} and"
+            rows.append((len(rows), text, name, len(re.findall(r"\w+", lead)), len(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string, lead long, size long")
+    got = {(r.doc_id, r.license): r for r in scan_licenses(docs).collect()}
+    for doc, _, name, lead, size in rows:
+        r = got[doc, name]
+        assert (r.coverage, r.first, r.last, r.copies) == (1.0, lead, lead + size - 1, 1), (doc, name)
+    # An edited copy before a whole one is a copy of its own, and takes nothing from it.
+    notice = TEMPLATES["GPL-3.0-notice"]
+    both = notice.replace("General Public ", "") + " " + notice
+    (r,) = scan_licenses(spark.createDataFrame([(1, both)], "doc_id long, text string")).collect()
+    assert (r.license, r.coverage, r.first, r.last, r.copies) == ("GPL-3.0-notice", 1.0, 10, 21, 2)
+
+
 # --- URL lists
 
 
