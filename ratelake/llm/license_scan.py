@@ -13,9 +13,12 @@ words is checked, so they are sent to all tasks; documents are not shuffled.
 
 from __future__ import annotations
 
+import json
+import pkgutil
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +32,11 @@ LEAST_COVERAGE = 0.8
 STRETCH = 1.5
 MOST_TEMPLATE_WORDS = 1_000_000
 
-#: Public licence notices, and one whole permission text (fixed values).
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "reserved-notice": "All rights reserved.",
-    "MIT-permission": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this"
-        ' software and associated documentation files (the "Software"), to deal in the Software'
-        " without restriction, including without limitation the rights to use, copy, modify,"
-        " merge, publish, distribute, sublicense, and/or sell copies of the Software, and to"
-        " permit persons to whom the Software is furnished to do so, subject to the following"
-        " conditions: The above copyright notice and this permission notice shall be included"
-        " in all copies or substantial portions of the Software."
-    ),
-}
+#: The standard set: notices, file headers and texts of public licences, and the words of
+#: the short ones that tell one licence from another (fixed values).
+_STANDARD = json.loads(pkgutil.get_data(__package__, "licenses.json"))
+TEMPLATES = {x["license"]: x["text"] for x in _STANDARD}
+TELLING = {x["license"]: x["telling"] for x in _STANDARD}
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -109,37 +100,60 @@ def patience(text, template) -> list[tuple[int, int]]:
 
 
 class _Templates:
-    def __init__(self, texts: dict[str, str], least: float):
+    def __init__(self, texts: dict[str, str], telling: dict[str, list[str]], least: float):
         self.names = sorted(texts)
         words = [_WORDS(texts[n].lower()) for n in self.names]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in words for w in t}))}
         self.words = [[self.ids[w] for w in t] for t in words]
         self.needs = [np.bincount(t, minlength=len(self.ids) + 1) for t in self.words]
         self.least = [max(1, int(np.ceil(least * len(t)))) for t in self.words]
+        #: Places of the template that a copy has to match.
+        self.telling = [
+            {i for i, w in enumerate(t) if w in telling.get(n, ())}
+            for n, t in zip(self.names, words, strict=True)
+        ]
+        # The words of all templates one after another, each with its count.
+        self.full = [i for i, t in enumerate(self.words) if t]
+        each = [np.flatnonzero(self.needs[i]) for i in self.full]
+        none = np.zeros(0, np.int64)
+        self.flat = np.concatenate([none, *each])
+        self.times = np.concatenate([none, *(self.needs[i][w] for i, w in zip(self.full, each, strict=True))])
+        size = np.array([len(w) for w in each], np.int64)
+        self.begin = np.cumsum(size) - size
+        self.masks: dict[int, dict[int, int]] = {}
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
+        if not self.full:
+            return []
         get = self.ids.get
         ids = np.array([get(w, 0) for w in _WORDS((text or "").lower())], np.int64)
         have = np.bincount(ids, minlength=len(self.ids) + 1)
+        shared = np.add.reduceat(np.minimum(have[self.flat], self.times), self.begin)
+        copies = []
+        for i, n in zip(self.full, shared.tolist(), strict=True):
+            words = self.words[i]
+            if n >= self.least[i] and all(have[words[j]] for j in self.telling[i]):
+                for matched, first, last in self._copies(ids, i):
+                    copies.append((2 * matched - len(words), matched, first, last, i))
+        kept: dict[int, list] = {}
+        for matched, first, last, i in _strongest(copies):
+            kept.setdefault(i, []).append((-matched, first, last))
         out = []
-        for name, words, need, least in zip(
-            self.names, self.words, self.needs, self.least, strict=True
-        ):
-            if words and np.minimum(have, need)[1:].sum() >= least:
-                best, copies = self._copies(ids, words, need, least)
-                if best:
-                    out.append((name, *best, copies))
+        for i, mine in sorted(kept.items()):
+            matched, first, last = min(mine)
+            out.append((self.names[i], -matched / len(self.words[i]), first, last, len(mine)))
         return out
 
-    def _copies(self, ids, words, need, least):
-        """The best match (coverage, first, last word) and the number of copies."""
+    def _copies(self, ids, number):
+        """The copies of a template: matched words, first and last word."""
+        words, need, least = self.words[number], self.needs[number], self.least[number]
         places = np.flatnonzero(need[ids] > 0)
         marks = ids[places].tolist()
         places = places.tolist()
         span = max(int(STRETCH * len(words)), len(words) + 2)
         count: dict[int, int] = {}
         good = left = 0
-        best, copies, free = None, 0, 0
+        copies, free, tried = [], 0, 0
         for right, mark in enumerate(marks):
             count[mark] = count.get(mark, 0) + 1
             good += count[mark] <= need[mark]
@@ -148,24 +162,39 @@ class _Templates:
                 good -= count[out] <= need[out]
                 count[out] -= 1
                 left += 1
-            if good < least or places[left] < free:
+            if good < least or places[left] < free or places[left] < tried:
                 continue
             # The stretch has just become rich enough; it ends within one more length.
             low = places[left]
-            found = self._best(ids, low, len(ids), words, need, least, span)
+            found = self._best(ids, low, len(ids), number, span)
             if not found:
+                # A stretch that begins k words later has at most k more words in common.
+                common = self._common(ids[low : low + span].tolist(), number)
+                tried = low + max(1, least - common)
                 continue
             free = found[2] + 1
             while found:
-                copies += 1
-                if best is None or (found[0], -found[1]) > (best[0], -best[1]):
-                    best = found
+                copies.append(found)
                 # A poorer copy may lie before the best one.
-                found = self._best(ids, low, found[1], words, need, least, span)
-        return best, copies
+                found = self._best(ids, low, found[1], number, span)
+        return copies
 
-    def _best(self, ids, low, high, words, need, least, span):
-        """The best copy (coverage, first, last word) that begins near low and ends before high.
+    def _common(self, part, number):
+        """Length of the longest common subsequence, with a bit for each template word."""
+        if number not in self.masks:
+            mask = self.masks[number] = {}
+            for j, w in enumerate(self.words[number]):
+                mask[w] = mask.get(w, 0) | 1 << j
+        mask, size = self.masks[number], len(self.words[number])
+        full = row = (1 << size) - 1
+        for w in part:
+            hit = row & mask.get(w, 0)
+            if hit:
+                row = ((row + hit) | (row - hit)) & full
+        return size - row.bit_count()
+
+    def _best(self, ids, low, high, number, span):
+        """The best copy (matches, first, last word) that begins near low and ends before high.
 
         The alignment of a stretch tells where a copy begins: at its first match, or where
         most matches put the template's first word. Stretches from there on are aligned
@@ -173,6 +202,8 @@ class _Templates:
         that is left over within the copy counts against it, so that the end of another
         copy does not serve for this one's.
         """
+        words, need, telling = self.words[number], self.needs[number], self.telling[number]
+        least = self.least[number]
         best, most, starts, tried = None, (), [low], set()
         while starts:
             at = starts.pop()
@@ -186,31 +217,56 @@ class _Templates:
                     continue
                 first, last = pairs[0][0], pairs[-1][0]
                 over = int((need[part[first : last + 1]] > 0).sum()) - len(pairs)
-                value = (len(pairs) >= least, 3 * len(pairs) - over, first - last)
+                enough = len(pairs) >= least and telling <= {j for _, j in pairs}
+                value = (enough, 3 * len(pairs) - over, first - last)
                 if best is None or value > most:
                     shift, _ = Counter(i - j for i, j in pairs).most_common(1)[0]
                     starts += [at + shift, at + first]
                     best, most = (len(pairs), at + first, at + last), value
-        if best is None or best[0] < least:
-            return None
-        return best[0] / len(words), best[1], best[2]
+        return best if best is not None and most[0] else None
+
+
+def _strongest(copies: list[tuple]) -> list[tuple]:
+    """Without the copies that overlap one with more matched less missing words."""
+    firsts: list[int] = []
+    taken: list[tuple[int, int]] = []
+    out = []
+    for _, group in groupby(sorted(copies, key=lambda c: -c[0]), key=lambda c: c[0]):
+        free = []
+        for _, *copy in group:
+            # Stretches that are taken do not overlap once merged, so one look-up tells.
+            at = bisect_right(firsts, copy[2])
+            if not at or taken[at - 1][1] < copy[1]:
+                free.append(copy)
+        out += free
+        merged: list[tuple[int, int]] = []
+        for first, last in sorted(taken + [(c[1], c[2]) for c in free]):
+            if merged and first <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
+            else:
+                merged.append((first, last))
+        taken, firsts = merged, [first for first, _ in merged]
+    return out
 
 
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id",
     text: str = "text", least_coverage: float = LEAST_COVERAGE,
+    telling: dict[str, list[str]] = TELLING,
 ) -> DataFrame:
     """Key, license, coverage, first and last word, copies: a row for each template found.
 
     Words are runs of letters, digits and underscores in lower case. coverage is the best
     copy's share of the template's words, at least least_coverage; among equal copies the
-    first counts. A null or empty text, and a template without words, match nothing;
+    first counts. A copy matches all telling words of its template, where some are named
+    for it. Of overlapping copies of several templates the one with most matched less
+    missing words counts, or all such. A null or empty text, and a template without words, match nothing;
     repeated rows are scanned each; an empty table gives no rows; null keys stay; other
     columns are not read. Whole texts are scanned.
     """
     if sum(len(t.split()) for t in templates.values()) > MOST_TEMPLATE_WORDS:
         raise ValueError("more template words than a broadcast should hold")
-    held = _Templates(templates, least_coverage)
+    held = _Templates(templates, telling, least_coverage)
     shared = docs.sparkSession.sparkContext.broadcast(held)
     rest = "license string, coverage double, first long, last long, copies long"
     schema = keyed_schema(docs, key, rest)

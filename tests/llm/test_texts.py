@@ -13,7 +13,7 @@ import corpus_pipeline
 from ratelake.llm import quality_rules
 from ratelake.llm.decontamination import GAP, MATCH, MISMATCH, _count_words, align, contaminated, words_of
 from ratelake.llm.language_id import _Labeller, LanguageModel, in_holdout, language_spans, learn
-from ratelake.llm.license_scan import TEMPLATES, patience, scan_licenses
+from ratelake.llm.license_scan import TELLING, TEMPLATES, patience, scan_licenses
 from ratelake.llm.quality_rules import log_tail, quality_verdicts
 from ratelake.llm.queries import registered
 from ratelake.llm.url_filter import filter_captures
@@ -264,6 +264,32 @@ def test_exact_copies_are_whole_whatever_stands_before(spark):
     assert (r.license, r.coverage, r.first, r.last, r.copies) == ("GPL-3.0-notice", 1.0, 10, 21, 2)
 
 
+def test_planted_licences_are_told_apart(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for name, text in TEMPLATES.items():
+        words = re.findall(r"\w+", text)
+        rows.append((name, " ".join([word() for _ in range(9)] + words + [word()])))
+        if len(words) > 100:
+            edited = [word() if at % 17 == 8 and w.lower() not in TELLING[name] else w for at, w in enumerate(words)]
+            rows.append((name, " ".join([word()] + edited)))
+    others = ["Released under the Foo License.", "Licensed under CC BY 9.0.", "licensed under the GNU license",
+              "This work is licensed under the Foo General Public License, version 3."]
+    texts = [t for _, t in rows] + others
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in scan_licenses(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.copies))
+    for i, (name, _) in enumerate(rows):
+        assert got.get(i) == [(name, 1)], (name, got.get(i))
+    assert not set(got) - set(range(len(rows)))
+    said = {"Released under the BSD License": "BSD-notice", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0-notice",
+            "Licensed under CC BY 4.0": "CC-BY-4.0-notice"}
+    docs = spark.createDataFrame([(k, v) for v, k in said.items()], "doc_id string, text string")
+    assert {(r.doc_id, r.license) for r in scan_licenses(docs).collect()} == {(k, k) for k in said.values()}
+
+
 # --- URL lists
 
 
