@@ -231,7 +231,9 @@ class _Labeller:
         """One language for all words if that is the best labelling for certain.
 
         It is if no stretch of words gains more than one switch costs in any other
-        language: every stretch that leaves the language costs a switch at least.
+        language, and a first and a last stretch together do not either: stretches beside
+        some of the language cost a switch each at least, and k that cover the whole text
+        cost k - 1; a single one gains nothing, as the language has the best sum.
         """
         if not len(words) or len(self.model.languages) < 2:
             return np.zeros(len(words), np.int16)
@@ -241,7 +243,8 @@ class _Labeller:
         # The largest gain of a stretch: a sum less the least sum before it.
         least = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
         least = np.vstack([np.zeros((1, gain.shape[1])), least[:-1]])
-        if (gain - least).max() <= self.switch:
+        ends = max(0.0, gain.max()) + (gain[-1] - least[-1]).max()
+        if max((gain - least).max(), ends) <= self.switch:
             return np.full(len(words), top, np.int16)
         return None
 

@@ -49,6 +49,20 @@ def test_labelling_is_the_best_one():
             assert math.isclose(value(rows, label, 2.0), viterbi(rows, 2.0), abs_tol=1e-4)
 
 
+def test_labelling_that_leaves_the_best_sum_everywhere():
+    model = LanguageModel(list("abc"), np.zeros((3, 4), np.float32), np.ones((3, 1), bool))
+    labeller = _Labeller(model, 8.0)
+    rng = np.random.default_rng(6)
+    labeller.rows = np.array([[-7, 0, -50], [-7, -50, 0]] + [[0, 0, 0]] * 60, np.float32)
+    labeller.rows[2:] = -rng.integers(0, 12, (60, 3))
+    texts = [np.array([0, 1]), *(rng.integers(0, 62, n) for n in (2, 3, 4, 6) for _ in range(300))]
+    labels = labeller.labels(texts)
+    assert labels[0].tolist() == [1, 2]
+    for words, label in zip(texts, labels, strict=True):
+        rows = labeller.rows[words]
+        assert math.isclose(value(rows, label, 8.0), viterbi(rows, 8.0), abs_tol=1e-4)
+
+
 def test_language_of_any_row(spark):
     labelled = [(i, t, lang, "x") for i, (t, lang) in enumerate(
         [("the house and the garden of the king", "en"), ("das Haus und der Garten des Königs", "de"),
