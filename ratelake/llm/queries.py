@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratelake.llm.decontamination import contaminated
 from ratelake.llm.language_id import in_holdout, language_spans, learn
 from ratelake.llm.license_scan import scan_licenses
+from ratelake.llm.merkle_manifest import manifest, proofs
 from ratelake.llm.piece_codec import encode_decode_digests
 from ratelake.llm.quality_rules import quality_verdicts
 from ratelake.llm.repeats import remove_repeats
@@ -128,6 +129,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_holdout("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+#: The columns that a leaf of the manifest covers.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def tampered(docs: DataFrame) -> tuple[Column, list[Column]]:
+    """Every seventh document, by a checksum of its id, with one character more claimed."""
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return hit, [more if name == "n_chars" else F.col(name) for name in LEAF]
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs(manifest(table(spark, sf_dir, "documents"), LEAF, changed=tampered))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_token_counts,
@@ -140,12 +156,13 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_sentencepiece_codec,
         op10_language_id,
+        op13_merkle_manifest,
     )
     return {query.__name__: query for query in named}
 
 
 def statements() -> dict[str, str]:
-    return {"op5_url_filter": URL_FILTER}
+    return {"op5_url_filter": URL_FILTER, "op13_merkle_manifest": MERKLE_MANIFEST}
 
 
 URL_FILTER = r"""
@@ -182,3 +199,70 @@ names as (
 select page_id, c.url, c.moment as fetched_at, coalesce(listed, false) as blocked, entry, since
 from captures c left join decided d on c.url = d.url and c.moment = d.moment
 """
+
+
+def _sql_row_digest(n_chars: str) -> str:
+    sized = {"n_chars": n_chars}
+    texts = [f"({sized.get(c, c)})::varchar" for c in LEAF]
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen({t})::varchar || ':' || {t}, '-')" for t in texts
+    ) + ")"
+
+
+#: CRC-32 of a short text, bit by bit, as DuckDB has no function for it.
+_SQL_CRC = """xor(4294967295, list_reduce(list_concat([4294967295],
+  list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+MERKLE_MANIFEST = f"""
+with recursive rows_ as (
+  select doc_id, coalesce('=' || lang, '-') as tree, {_sql_row_digest("n_chars")} as leaf,
+    case when {_SQL_CRC} % 7 = 0 then {_sql_row_digest("n_chars::hugeint + 1")} end as changed
+  from documents
+), leaves as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as spot,
+    count(*) over (partition by tree) as n
+  from rows_
+), low as (
+  select 0 as level, tree, spot, leaf as node, n from leaves
+  union all
+  select level + 1, tree, spot // 2, sha256(string_agg(node, '' order by spot)), (n + 1) // 2
+  from low where n > 1 group by level, tree, spot // 2, n
+), subroots as (
+  select tree, node, level, row_number() over (order by tree) - 1 as spot, count(*) over () as n
+  from low where n = 1
+), high as (
+  select 0 as level, spot, node, n from subroots
+  union all
+  select level + 1, spot // 2, sha256(string_agg(node, '' order by spot)), (n + 1) // 2
+  from high where n > 1 group by level, spot // 2, n
+), steps as (
+  select l.tree, l.spot, s.level, s.n, (l.spot >> s.level) % 2 as odd, o.node as other
+  from leaves l
+  join (select distinct level, tree, n from low where n > 1) s on s.tree = l.tree
+  left join low o on o.tree = l.tree and o.level = s.level
+    and o.spot = xor(l.spot >> s.level, 1::bigint)
+  union all
+  select l.tree, l.spot, r.level + h.level, h.n, (r.spot >> h.level) % 2, o.node
+  from leaves l join subroots r on r.tree = l.tree
+  cross join (select distinct level, n from high where n > 1) h
+  left join high o on o.level = h.level and o.spot = xor(r.spot >> h.level, 1::bigint)
+), proof as (
+  select tree, spot, sha256(coalesce(string_agg(other, '' order by level), '')) as proof_sha256
+  from steps group by tree, spot
+), fold as (
+  select tree, spot, 0 as level, coalesce(changed, leaf) as node from leaves
+  union all
+  select f.tree, f.spot, f.level + 1, sha256(case when s.other is null then f.node
+    when s.odd = 1 then s.other || f.node else f.node || s.other end)
+  from fold f join steps s on s.tree = f.tree and s.spot = f.spot and s.level = f.level
+), ends as (
+  select tree, spot, arg_max(node, level) as folded_root from fold group by tree, spot
+)
+select l.doc_id, l.leaf, r.node as subroot, (select node from high where n = 1) as root,
+  coalesce(p.proof_sha256, sha256('')) as proof_sha256, e.folded_root,
+  e.folded_root = (select node from high where n = 1) as verified
+from leaves l join subroots r on r.tree = l.tree
+left join proof p on p.tree = l.tree and p.spot = l.spot
+join ends e on e.tree = l.tree and e.spot = l.spot
+"""
