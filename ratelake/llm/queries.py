@@ -17,6 +17,7 @@ from ratelake.llm.quality_rules import quality_verdicts
 from ratelake.llm.repeats import remove_repeats
 from ratelake.llm.rows import table
 from ratelake.llm.simhash import near_duplicates
+from ratelake.llm.token_alignment import aligned_documents
 from ratelake.llm.token_counts import token_counts
 from ratelake.llm.token_store import lookup, shard_starts, stored_digests, write_store
 from ratelake.llm.url_filter import filter_captures, host_of
@@ -129,6 +130,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_holdout("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    first, second = map(public_tokenizers.path, names)
+    return aligned_documents(table(spark, sf_dir, "documents"), (first, second))
+
+
 #: The columns that a leaf of the manifest covers.
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -156,6 +163,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_sentencepiece_codec,
         op10_language_id,
+        op12_token_alignment,
         op13_merkle_manifest,
     )
     return {query.__name__: query for query in named}
