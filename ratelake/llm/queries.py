@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelake.llm import attention_quality
 from ratelake.llm.decontamination import contaminated
 from ratelake.llm.language_id import in_holdout, language_spans, learn
 from ratelake.llm.license_scan import scan_licenses
@@ -130,6 +131,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_holdout("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = attention_quality.learn(docs, labels, allowed=~held_out)
+    found = attention_quality.score_quality(docs, model)
+    return found.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
     first, second = map(public_tokenizers.path, names)
@@ -163,6 +172,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_sentencepiece_codec,
         op10_language_id,
+        op11_attention_quality,
         op12_token_alignment,
         op13_merkle_manifest,
     )
