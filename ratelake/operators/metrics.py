@@ -25,11 +25,16 @@ def calendar_decade() -> Column:
     return F.substring("date", 1, 3)
 
 
+def calendar_month() -> Column:
+    return F.substring("date", 1, 7)
+
+
 def rolling_metrics(
     df: DataFrame,
     pair: Sequence[str] = PAIR,
     run_ts: datetime | str | None = None,
     chunk: Column | None = None,
+    tails: DataFrame | None = None,
 ) -> DataFrame:
     """Add daily_variation_pct, sma_7d, sma_30d and volatility_30d.
 
@@ -42,11 +47,17 @@ def rolling_metrics(
     calendar year splits a dense pair further), and each chunk gets the
     rows that its first frames reach back to as a lead. The results are those of a
     window over the whole pair.
+
+    ``tails``, if they are known, are these leads (see :func:`chunk_tails`): the rows
+    before a chunk then need not be in ``df``, so that a single chunk can be computed.
     """
     series = df.drop(*_BOOKKEEPING).withColumn(
         "_chunk", calendar_decade() if chunk is None else chunk
     )
-    lead = _lead_rows(series, pair, LONG_FRAME - 1)
+    if tails is None:
+        tails = _tails(series, pair, LONG_FRAME - 1)
+    lead = tails.select(*pair, "_chunk", F.explode("tail").alias("_row"))
+    lead = lead.select(*pair, "_chunk", "_row.date", "_row.rate", F.lit(True).alias("_lead"))
     rows = series.withColumn("_lead", F.lit(False)).unionByName(lead, allowMissingColumns=True)
 
     ordered = Window.partitionBy(*pair, "_chunk").orderBy("date")
@@ -77,31 +88,37 @@ def rolling_metrics(
     )
 
 
-def _lead_rows(series: DataFrame, pair: Sequence[str], reach: int) -> DataFrame:
-    """For each chunk, the ``reach`` rows of its pair that come before it.
+def chunk_tails(
+    df: DataFrame, chunk: Column, pair: Sequence[str] = PAIR, reach: int = LONG_FRAME - 1
+) -> DataFrame:
+    """For each chunk of a pair, its ``tail``: the ``reach`` rows of the pair before it.
+
+    An array of (date, rate) in date order, shorter where the pair has fewer rows, empty
+    for its first chunk.
+    """
+    return _tails(df.withColumn("_chunk", chunk), pair, reach)
+
 
-    The last rows of every chunk are found by a limited row number, which Spark
+def _tails(series: DataFrame, pair: Sequence[str], reach: int) -> DataFrame:
+    """The last rows of every chunk are found by a limited row number, which Spark
     applies before the shuffle as well. A chunk may hold fewer than ``reach`` rows,
-    so a lead is taken from as many as ``reach`` earlier chunks: each has a row.
+    so a tail is taken from as many as ``reach`` earlier chunks: each has a row.
     """
     latest = F.row_number().over(Window.partitionBy(*pair, "_chunk").orderBy(F.desc("date")))
-    tails = (
+    ends = (
         series.select(*pair, "_chunk", "date", "rate")
         .withColumn("_nth", latest)
         .filter(F.col("_nth") <= reach)
         .groupBy(*pair, "_chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("date", "rate"))).alias("_tail"))
+        .agg(F.sort_array(F.collect_list(F.struct("date", "rate"))).alias("_end"))
     )
     earlier = Window.partitionBy(*pair).orderBy("_chunk").rowsBetween(-reach, -1)
-    before = F.flatten(F.collect_list("_tail").over(earlier))
-    return (
-        tails.select(*pair, "_chunk", before.alias("_before"))
-        .select(
-            *pair,
-            "_chunk",
-            F.explode(
-                F.slice("_before", F.greatest(F.size("_before") - reach + 1, F.lit(1)), reach)
-            ).alias("_row"),
-        )
-        .select(*pair, "_chunk", "_row.date", "_row.rate", F.lit(True).alias("_lead"))
+    before = F.flatten(F.collect_list("_end").over(earlier))
+    return ends.select(*pair, "_chunk", before.alias("_before")).select(
+        *pair, "_chunk", last_of("_before", reach).alias("tail")
     )
+
+
+def last_of(array: str, count: int) -> Column:
+    """The last elements of an array, all of them if it has no more."""
+    return F.slice(array, F.greatest(F.size(array) - count + 1, F.lit(1)), count)
