@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelake.functions.columns import month_number
@@ -24,7 +26,7 @@ from ratelake.operators import (
     to_events,
     valid_days,
 )
-from ratelake.operators.metrics import LONG_FRAME
+from ratelake.operators.metrics import LONG_FRAME, calendar_month, chunk_tails, last_of
 from ratelake.schemas import CHANGES, DELETE, KEYS, PAIR, RATES
 from ratelake.sources.documents import (
     DEFAULT_BASE,
@@ -38,30 +40,44 @@ from ratelake.sources.event_files import write_events
 from ratelake.sources.shared import staged, staged_at
 from ratelake.sources.tables import (
     Month,
-    drop_months,
     in_months,
-    is_month,
     keep_scope,
     load,
     months_of,
     note_pending,
     note_unpublished,
     pending_months,
+    replace_months,
+    stored_months,
     touched_months,
     unpublished,
     with_month,
 )
 
+#: What an increment computes: a month of a pair.
+CELL = (*PAIR, "year", "month")
+#: Touched pairs up to which their names are given to the scans.
+MOST_PAIRS = 1000
+
 
 @dataclass(frozen=True)
 class Tables:
-    """Names of the stored tables."""
+    """Names of the stored tables.
+
+    ``tails`` holds, for each pair and month, the rows before it that its first frames
+    reach back to, so that one month of one pair can be computed from itself.
+    """
 
     base: str
     enriched: str
     monthly: str
     anomalies: str
     quality: str
+    tails: str = ""
+
+    def __post_init__(self):
+        if not self.tails:
+            object.__setattr__(self, "tails", f"{self.enriched}_tails")
 
     @classmethod
     def in_database(cls, database: str) -> Tables:
@@ -74,7 +90,7 @@ class Tables:
         )
 
     def derived(self) -> tuple[str, ...]:
-        return (self.enriched, self.monthly, self.anomalies)
+        return (self.enriched, self.monthly, self.anomalies, self.tails)
 
 
 @dataclass(frozen=True)
@@ -127,7 +143,7 @@ def run_batch(
     default that of the newest file. ``base``: the base of the transaction report.
 
     ``scope="history"``: metrics see the live rows before each date, and only the
-    months that the changes reach are computed again. ``scope="changes"``: metrics
+    months of a pair that its own changes reach are computed again. ``scope="changes"``: metrics
     see the change rows alone, the enriched and monthly tables are replaced as a
     whole, and anomalies are appended. A set of tables keeps to one scope; another one
     is refused.
@@ -256,17 +272,22 @@ def _publish(
 def rebuild(spark: SparkSession, tables: Tables, run_ts: datetime | str | None = None) -> None:
     """Compute the derived tables again from all live rows of the base table."""
     live = live_rows(spark.table(tables.base))
-    alive = months_of(live)
-    metrics = rolling_metrics(live.select(*CHANGES.fieldNames()), run_ts=run_ts)
+    rows = live.select(*CHANGES.fieldNames())
+    tails = _by_month(chunk_tails(rows, calendar_month()))
+    _write_all(tails, tables.tails)
+    _write_all(monthly_summary(live, run_ts=run_ts), tables.monthly)
+    _write_all(rolling_metrics(rows, run_ts=run_ts), tables.enriched)
+    _write_all(flag_anomalies(spark.table(tables.enriched)), tables.anomalies)
+    note_pending(spark, tables.base, [])
 
-    def write(df: DataFrame, table: str) -> DataFrame:
-        stored = months_of(spark.table(table)) if spark.catalog.tableExists(table) else []
-        return _write_months(df, table, stored, alive)
 
-    write(monthly_summary(live, run_ts=run_ts), tables.monthly)
-    enriched = write(metrics, tables.enriched)
-    write(flag_anomalies(enriched), tables.anomalies)
-    note_pending(spark, tables.base, [])
+def _write_all(df: DataFrame, table: str) -> None:
+    """Make ``df`` the content of a table partitioned by month."""
+    spark = df.sparkSession
+    if spark.catalog.tableExists(table):
+        replace_months(with_month(df), table, stored_months(spark, table))
+    else:
+        load(df, table, "append")
 
 
 def _refresh(
@@ -277,51 +298,105 @@ def _refresh(
     pending: list[Month],
     run_ts: datetime | str | None,
 ) -> None:
-    """Compute again the months of the derived tables that the changes reach.
+    """Compute again what the changes reach: single months of single pairs.
 
-    The monthly table comes first: its counts per pair and month then tell which
-    months the other tables need, without going over the base table.
+    The monthly table comes first: its counts tell which months of a touched pair have
+    frames that reach a changed row. Those months' own rows, and the stored tail before
+    the first of them, are all that is read of the base table; a pair without changes,
+    and an old month of a sparse one, is not.
     """
     if not all(spark.catalog.tableExists(name) for name in tables.derived()):
         return rebuild(spark, tables, run_ts)
     base = spark.table(tables.base)
-    live = live_rows(base)
     stale = sorted({*changed, *pending})
-    summary = monthly_summary(in_months(live, stale), run_ts=run_ts)
-    monthly = _write_months(summary, tables.monthly, stale, months_of(in_months(live, stale)))
-
-    counts = monthly.select(*PAIR, "year", "month", F.col("observations_count").alias("n"))
     # Of a month held back, which pairs changed is not known: all that have rows
     # there count as touched, with those whose rows are all deleted.
-    touched = (
-        changes.select(*PAIR, "year", "month")
-        .unionByName(in_months(base, pending).select(*PAIR, "year", "month"))
-        .distinct()
+    touched = changes.select(*CELL).unionByName(in_months(base, pending).select(*CELL))
+    touched = staged(touched.distinct(), "touched")
+    named = _is_touched_pair(touched)
+    live = live_rows(base).filter(named)
+
+    mine = in_months(live, stale).join(touched, [*CELL], "left_semi")
+    _replace_cells(monthly_summary(mine, run_ts=run_ts), tables.monthly, touched, stale)
+    pairs = touched.select(*PAIR).distinct()
+    counts = spark.table(tables.monthly).filter(named).join(pairs, [*PAIR], "left_semi")
+    counts = counts.select(*CELL, F.col("observations_count").alias("n"))
+    stored = spark.table(tables.tails).filter(named).select(*CELL, "tail")
+    cells = staged(affected_cells(counts, touched, stored, LONG_FRAME - 1), "cells")
+    alive = cells.filter("n > 0")
+    rows = in_months(live, months_of(alive)).join(alive.select(*CELL), [*CELL], "left_semi")
+    tails = staged(next_tails(rows, cells, LONG_FRAME - 1), "tails")
+
+    affected = cells.filter("affected")
+    months = months_of(affected)
+    history = rows.join(affected.select(*CELL), [*CELL], "left_semi")
+    leads = tails.select(*PAIR, _month_text().alias("_chunk"), "tail")
+    metrics = rolling_metrics(
+        history.select(*CHANGES.fieldNames()), run_ts=run_ts, chunk=calendar_month(), tails=leads
     )
-    affected = months_of(affected_months(counts, touched, LONG_FRAME - 1))
-    needed = months_of(months_before(counts, affected, LONG_FRAME - 1))
-    alive = months_of(counts)
-
-    history = in_months(live, needed).select(*CHANGES.fieldNames())
-    metrics = in_months(with_month(rolling_metrics(history, run_ts=run_ts)), affected)
-    enriched = _write_months(metrics, tables.enriched, affected, alive)
-    flags = flag_anomalies(in_months(enriched, affected))
-    _write_months(flags, tables.anomalies, affected, alive)
+    metrics = staged(with_month(metrics), "metrics")
+    _replace_cells(metrics, tables.enriched, affected, months)
+    _replace_cells(flag_anomalies(metrics), tables.anomalies, affected, months)
+    _replace_cells(tails, tables.tails, affected, months)
     note_pending(spark, tables.base, [])
 
 
-def affected_months(counts: DataFrame, touched: DataFrame, reach: int) -> DataFrame:
-    """Months with a row whose frame reaches back into a touched month of its pair.
+def _is_touched_pair(touched: DataFrame) -> Column:
+    """A test on the pair's columns that a scan can use, if few pairs are touched.
+
+    It only spares reading; which rows count is for the joins. The driver holds at most
+    MOST_PAIRS names.
+    """
+    found = touched.select(*PAIR).distinct().limit(MOST_PAIRS + 1).collect()
+    if len(found) > MOST_PAIRS or any(None in row for row in found):
+        return F.lit(True)
+    return reduce(and_, [F.col(name).isin(sorted({row[name] for row in found})) for name in PAIR])
+
+
+def _replace_cells(rows: DataFrame, table: str, cells: DataFrame, months: list[Month]) -> None:
+    """Make ``rows`` the content of the cells; the other rows of these months stay."""
+    stored = in_months(rows.sparkSession.table(table), months)
+    kept = stored.join(cells.select(*CELL), [*CELL], "left_anti")
+    replace_months(kept.unionByName(with_month(rows).select(*kept.columns)), table, months)
+
+
+def _month_text() -> Column:
+    """The month as the text that :func:`calendar_month` gives for its days."""
+    return F.concat_ws(
+        "-", F.lpad(F.col("year").cast("string"), 4, "0"), F.lpad(F.col("month").cast("string"), 2, "0")
+    )
+
+
+def _by_month(tails: DataFrame) -> DataFrame:
+    """Tails as rows of their table, which has the month for the chunk."""
+    return tails.select(
+        *PAIR,
+        "tail",
+        F.substring("_chunk", 1, 4).cast("int").alias("year"),
+        F.substring("_chunk", 6, 2).cast("int").alias("month"),
+    )
+
 
-    ``counts``: live rows per pair and month (n). A later month is out of reach once
+def affected_cells(
+    counts: DataFrame, touched: DataFrame, tails: DataFrame, reach: int
+) -> DataFrame:
+    """The months of touched pairs that are to be computed again, in stretches.
+
+    ``counts``: live rows of each pair and month (n), ``touched``: months of pairs with
+    changes, ``tails``: the stored tails. A later month of a pair is out of reach once
     ``reach`` rows of the pair lie between it and the last touched month before it.
+
+    ``affected`` tells those months. A stretch of them (``stretch``) follows from its own
+    rows and the tail of its first month (``tail``, on each row), which no change reaches.
+    If that month is new it has no tail, and the month before it is taken along.
     """
     ordered = Window.partitionBy(*PAIR).orderBy(month_number("year", "month"))
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     through = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     last_touched = F.last(F.when(F.col("touched"), F.col("through")), ignorenulls=True)
-    return (
-        counts.join(touched.withColumn("touched", F.lit(True)), [*PAIR, "year", "month"], "full")
+    none = F.array().cast("array<struct<date:string,rate:double>>")
+    cells = (
+        counts.join(touched.withColumn("touched", F.lit(True)), [*CELL], "full")
         .withColumns(
             {
                 "n": F.coalesce("n", F.lit(0)),
@@ -330,32 +405,40 @@ def affected_months(counts: DataFrame, touched: DataFrame, reach: int) -> DataFr
         )
         .withColumn("through", through)
         .withColumn("between", F.col("through") - F.col("n") - last_touched.over(earlier))
-        .filter(F.col("touched") | (F.col("between") < reach))
-        .select("year", "month")
-    )
-
-
-def months_before(counts: DataFrame, months: Iterable[Month], reach: int) -> DataFrame:
-    """These months, and the earlier ones that frames of ``reach`` rows go back to."""
-    ordered = Window.partitionBy(*PAIR).orderBy(month_number("year", "month"))
-    later = ordered.rowsBetween(1, Window.unboundedFollowing)
-    through = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    next_start = F.first(
-        F.when(F.col("chosen"), F.col("through") - F.col("n")), ignorenulls=True
+        .withColumn("affected", F.col("touched") | F.coalesce(F.col("between") < reach, F.lit(False)))
+        .join(tails, [*CELL], "left")
     )
+    before = F.coalesce(F.lag("affected").over(ordered), F.lit(False))
+    lacks = F.col("affected") & ~before & F.col("tail").isNull()
+    member = F.col("affected") | F.coalesce(F.lead("lacks").over(ordered), F.lit(False))
+    starts = F.col("member") & ~F.coalesce(F.lag("member").over(ordered), F.lit(False))
+    nth = F.sum(F.col("starts").cast("int")).over(ordered)
+    stretch = Window.partitionBy(*PAIR, "stretch")
+    first_tail = F.max(F.when(F.col("starts"), F.coalesce("tail", none))).over(stretch)
     return (
-        counts.withColumn("chosen", is_month(months))
-        .withColumn("through", through)
-        .withColumn("between", next_start.over(later) - F.col("through"))
-        .filter(F.col("chosen") | (F.col("between") < reach))
-        .select("year", "month")
+        cells.withColumn("lacks", lacks)
+        .withColumn("member", member)
+        .withColumn("starts", starts)
+        .withColumn("stretch", nth)
+        .filter("member")
+        .withColumn("tail", first_tail)
+        .select(*CELL, "n", "affected", "stretch", "tail")
     )
 
 
-def _write_months(
-    df: DataFrame, table: str, months: Iterable[Month], alive: Iterable[Month]
-) -> DataFrame:
-    """Make ``df`` the content of ``months``; those without live rows are dropped."""
-    load(df, table, "overwrite_partitions")
-    drop_months(df.sparkSession, table, set(months) - set(alive))
-    return df.sparkSession.table(table)
+def next_tails(rows: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
+    """The tails of affected months that have rows, from the rows of their stretches.
+
+    Within a stretch a tail is the last rows of the first month's tail and all months in
+    between; each month has a row, so it reaches over ``reach`` months at most.
+    """
+    day_rates = F.sort_array(F.collect_list(F.struct("date", "rate")))
+    own = rows.groupBy(*CELL).agg(day_rates.alias("own")).withColumn("own", last_of("own", reach))
+    ordered = Window.partitionBy(*PAIR, "stretch").orderBy(month_number("year", "month"))
+    before = F.flatten(F.collect_list("own").over(ordered.rowsBetween(-reach, -1)))
+    return (
+        cells.join(own, [*CELL])
+        .withColumn("tail", F.concat("tail", before))
+        .filter("affected")
+        .select(*PAIR, last_of("tail", reach).alias("tail"), "year", "month")
+    )

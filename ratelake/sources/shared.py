@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -41,3 +42,25 @@ def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def folders_older_than(spark: SparkSession, root: str, hours: float) -> list[str]:
+    """The folders in ``root`` that were last changed more than ``hours`` ago."""
+    folder, system = _folder(spark, root)
+    if not system.exists(folder):
+        return []
+    limit = (time.time() - hours * 3600) * 1000
+    found = [s for s in system.listStatus(folder) if s.isDirectory()]
+    return [s.getPath().toString() for s in found if s.getModificationTime() <= limit]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that the session can write to."""
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())

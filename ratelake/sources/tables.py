@@ -1,12 +1,17 @@
 """Catalog tables: existence, scan, and the load modes.
 
-Tables are parquet, partitioned by (year, month). Replacing partitions is not
-atomic for a concurrent reader; where the catalog has row-level operations (a
-transactional table format), use :func:`merge_into` for the base table.
+Tables are parquet, partitioned by (year, month). A month is replaced by writing its new
+version beside the old one and then pointing the catalog's partition at it, in one catalog
+operation: a reader sees the old month or the new one, never a part and never none, and a
+driver lost on the way leaves every month readable. Old versions stay for readers that
+have begun with them, until :func:`sweep_versions` removes them by age. Several months are
+not replaced in one moment; where that is needed, use a transactional table format with
+:func:`merge_into` for the base table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +19,18 @@ from pyspark.sql import functions as F
 
 from ratelake.operators.changes import has_deletes
 from ratelake.operators.merge import UPDATED_BY_DELETE, UPDATED_BY_UPDATE, merge_changes
-from ratelake.schemas import CHANGES, DELETE, INSERT, KEYS, UPDATE
-from ratelake.sources.shared import staged
+from ratelake.schemas import CHANGES, DELETE, INSERT, KEYS, PAIR, UPDATE
+from ratelake.sources.shared import folders_older_than, remove_folder, staged
 
 PARTITIONS = ("year", "month")
 MODES = ("append", "merge_cdc", "overwrite_partitions")
 _PENDING = "ratelake.pending_months"
 _SCOPE = "ratelake.scope"
 _UNPUBLISHED = "ratelake.unpublished"
+#: Folder of a table in which new versions of its months are written; no scan lists it.
+_VERSIONS = "_versions"
+#: Rows of a parquet page: rows are sorted by pair, and a scan for a few pairs skips pages.
+_PAGE_ROWS = "4000"
 
 Month = tuple[int, int]
 
@@ -72,7 +81,7 @@ def load(
         df = with_month(df, date_col)
     deletes = False
     if not spark.catalog.tableExists(table):
-        writer = _spread(df, partition_by).write.format("parquet")
+        writer = _spread(df, partition_by).write.format("parquet").options(**_written())
         writer.partitionBy(*partition_by).saveAsTable(table)
         deletes = merges and has_deletes(spark.table(table))
     elif merges:
@@ -209,10 +218,12 @@ def _merge(
 def _replace_partitions(df: DataFrame, table: str, partition_by: Sequence[str]) -> None:
     """Replace the partitions that ``df`` has rows of, and no others.
 
-    insertInto takes the overwrite mode from the session alone, not from a writer
-    option. New partitions are written beside the old ones and swapped in at the
-    end of the job, so ``df`` may read the same table.
+    ``df`` may read the same table: nothing of it is overwritten.
     """
+    if tuple(partition_by) == PARTITIONS:
+        replace_months(df, table)
+        return
+    # insertInto takes the overwrite mode from the session alone, not from an option.
     setting = "spark.sql.sources.partitionOverwriteMode"
     conf = df.sparkSession.conf
     before = conf.get(setting)
@@ -223,6 +234,99 @@ def _replace_partitions(df: DataFrame, table: str, partition_by: Sequence[str])
         conf.set(setting, before)
 
 
+def replace_months(df: DataFrame, table: str, months: Iterable[Month] = ()) -> list[Month]:
+    """Make ``df`` the content of the months it has rows of; those of ``months`` that it
+    has no rows of are dropped. Returns the months written.
+
+    The rows are written first, to a folder of their own. Only then is one partition after
+    the other pointed at its new files; the months to drop go last.
+    """
+    spark = df.sparkSession
+    rows = _in_table_order(df, table)
+    path = f"{table_location(spark, table)}/{_VERSIONS}/{uuid.uuid4().hex}"
+    writer = _spread(rows, PARTITIONS).write.options(**_written())
+    writer.partitionBy(*PARTITIONS).parquet(path)
+    written = _written_months(spark, path, rows)
+    stored = stored_months(spark, table)
+    for month in written:
+        _point_at(spark, table, month, f"{path}/{_folder(month)}", month in stored)
+    drop_months(spark, table, set(months) - set(written))
+    spark.catalog.refreshTable(table)
+    return [month for month in written if None not in month]
+
+
+def _written() -> dict[str, str]:
+    return {"parquet.page.row.count.limit": _PAGE_ROWS}
+
+
+def _written_months(spark: SparkSession, path: str, rows: DataFrame) -> list[Month]:
+    """The months in a folder, the one of rows without a date included."""
+    found = spark.read.schema(rows.schema).parquet(path).select(*PARTITIONS).distinct().collect()
+    return sorted(((r.year, r.month) for r in found), key=lambda m: (m[0] is not None, m))
+
+
+def _point_at(spark: SparkSession, table: str, month: Month, path: str, stored: bool) -> None:
+    spec, place = _spec(month), _text(path)
+    if not stored:
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION {place}")
+    else:
+        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION {place}")
+
+
+def _spec(month: Month) -> str:
+    return ", ".join(
+        f"{name} = {'null' if value is None else int(value)}"
+        for name, value in zip(PARTITIONS, month)
+    )
+
+
+def _folder(month: Month) -> str:
+    """The folder that a partitioned write gives a month."""
+    return "/".join(
+        f"{name}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+        for name, value in zip(PARTITIONS, month)
+    )
+
+
+def _text(value: str) -> str:
+    """A string as SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def table_location(spark: SparkSession, table: str) -> str:
+    """The folder of a table."""
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'")
+    return found.first().data_type.rstrip("/")
+
+
+def stored_months(spark: SparkSession, table: str) -> set[Month]:
+    """The months that the catalog has partitions of; no file is read."""
+    found = set()
+    for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        values = [part.split("=", 1)[1] for part in row.partition.split("/")]
+        found.add(tuple(int(v) if v.lstrip("-").isdigit() else None for v in values))
+    return found
+
+
+def sweep_versions(spark: SparkSession, table: str, hours: float = 24.0) -> list[str]:
+    """Remove versions of months that no partition points at, if they are older than
+    ``hours``; returns their folders. A reader that began before that may fail.
+
+    A version that a write under way has not pointed at yet is younger than any job runs;
+    choose ``hours`` above that. The driver lists the table's files, not their rows.
+    """
+    mark = f"/{_VERSIONS}/"
+    files = [path for path in spark.table(table).inputFiles() if mark in path]
+    used = {path.split(mark)[1].split("/")[0] for path in files}
+    root = f"{table_location(spark, table)}/{_VERSIONS}"
+    gone = [
+        path for path in folders_older_than(spark, root, hours) if path.rsplit("/", 1)[1] not in used
+    ]
+    for path in gone:
+        remove_folder(spark, path)
+    return gone
+
+
 def _in_table_order(df: DataFrame, table: str) -> DataFrame:
     """Columns by name in the order of the table; insertInto goes by position."""
     columns = df.sparkSession.table(table).columns
@@ -236,6 +340,10 @@ def _spread(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """Rows of a partition together, without one task per partition.
 
     With the rebalance hint Spark sizes the write tasks from the shuffled bytes: it
-    splits a large month over several tasks and packs small months into one.
+    splits a large month over several tasks and packs small months into one. Within a
+    file, rows are in the order of the pairs, so that a scan for few pairs skips the rest.
     """
-    return df.hint("rebalance", *partition_by) if partition_by else df
+    if not partition_by:
+        return df
+    order = [name for name in (*partition_by, *PAIR, "date") if name in df.columns]
+    return df.hint("rebalance", *partition_by).sortWithinPartitions(*order)

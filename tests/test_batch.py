@@ -12,7 +12,8 @@ from ratelake.operators import (
     monthly_summary,
     rolling_metrics,
 )
-from ratelake.plans.batch import Tables, affected_months, months_before, rebuild, run_batch
+from ratelake.operators.metrics import calendar_month, chunk_tails
+from ratelake.plans.batch import CELL, Tables, _by_month, affected_cells, rebuild, run_batch
 from ratelake.schemas import CHANGES, CUSTOMERS, TRANSACTIONS
 from ratelake.sources.documents import parse_documents, read_documents
 from ratelake.sources.shared import shared_folder
@@ -54,6 +55,8 @@ def same_as_full_recompute(spark, tables):
     summary = monthly_summary(live)
     names = [name for name in summary.columns if name != "ingestion_timestamp"]
     assert rows(spark.table(tables.monthly), *names) == rows(summary, *names)
+    tails = _by_month(chunk_tails(live, calendar_month()))
+    assert rows(spark.table(tables.tails), *CELL, "tail") == rows(tails, *CELL, "tail")
 
 
 def test_first_batch_then_no_change_then_update(spark, tables, tmp_path):
@@ -352,19 +355,39 @@ def test_incremental_equals_full_recompute(spark, tables, seed):
         same_as_full_recompute(spark, tables)
 
 
-def test_month_reach(spark):
-    """20 rows a month: 29 rows reach one month and a part of the next."""
+def test_cells_in_reach(spark):
+    """20 rows a month: 29 rows reach one month and a part of the next, of the pair alone."""
+    cell = "base string, target string, year int, month int"
     counts = spark.createDataFrame(
         [("USD", "A", 2026, month, 20) for month in range(1, 13)]
         + [("USD", "B", 2026, month, 1) for month in (1, 12)],
-        "base string, target string, year int, month int, n long",
+        f"{cell}, n long",
     )
-    touched = spark.createDataFrame(
-        [("USD", "A", 2026, 5)], "base string, target string, year int, month int"
+    tails = counts.drop("n").selectExpr(
+        "*", "array(named_struct('date', concat('before ', month), 'rate', 1d)) as tail"
     )
-    affected = affected_months(counts, touched, 29).distinct()
-    assert rows(affected, "month") == [(5,), (6,), (7,)]
-    assert rows(months_before(counts, [(2026, 7)], 29).distinct(), "month") == [(5,), (6,), (7,)]
-    # The sparse pair has rows in December, and its January is needed for them.
-    needed = months_before(counts, [(2026, 12)], 29).distinct()
-    assert rows(needed, "month") == [(1,), (10,), (11,), (12,)]
+    touched = spark.createDataFrame([("USD", "A", 2026, 5), ("USD", "A", 2026, 11)], cell)
+    found = affected_cells(counts, touched, tails, 29)
+    assert rows(found, "target", "month", "affected", "stretch") == [
+        ("A", 5, True, 1),
+        ("A", 6, True, 1),
+        ("A", 7, True, 1),
+        ("A", 11, True, 2),
+        ("A", 12, True, 2),
+    ]
+    assert rows(found, "month", "tail.date")[0] == (5, ["before 5"])
+    # A month without a tail takes the month before it along, and that month's tail.
+    touched = spark.createDataFrame([("USD", "A", 2026, 5)], cell)
+    found = affected_cells(counts, touched, tails.filter("target <> 'A' or month <> 5"), 29)
+    assert rows(found, "month", "affected", "tail.date") == [
+        (4, False, ["before 4"]),
+        (5, True, ["before 4"]),
+        (6, True, ["before 4"]),
+        (7, True, ["before 4"]),
+    ]
+    # The sparse pair: its December is reached from January, eleven months before.
+    touched = spark.createDataFrame([("USD", "B", 2026, 1)], cell)
+    assert rows(affected_cells(counts, touched, tails, 29), "target", "month") == [
+        ("B", 1),
+        ("B", 12),
+    ]
