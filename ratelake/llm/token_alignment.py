@@ -26,6 +26,7 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -49,7 +50,7 @@ _ASCII_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _SPACES = [c for c in map(chr, range(0x80, 0x3001)) if c.isspace()] + [BLANK]
 
 #: Words, and characters of them, that a task remembers before it starts anew.
-WORDS = 400_000
+WORDS = 700_000
 LETTERS = 16 << 20
 #: Parts of the table of pairs, by their second id.
 BUCKETS = 128
@@ -88,6 +89,8 @@ class Vocabularies:
             lib.id_to_piece(i) for i in range(len(self.bytes_b)) if not any(k(i) for k in kinds)
         ]
         rules = json.loads(self.a.to_str())
+        # With all bytes in the vocabulary and a text taken as it is, every byte comes back.
+        self.lossless = rules["normalizer"] is None and len({x for x in self.bytes_a if len(x) == 1}) == 256
         self.words_apart = (
             not any(BLANK in piece.lstrip(BLANK) for piece in pieces)
             and lib.normalize("a  B ") == f"{BLANK}a{BLANK * 2}B{BLANK}"
@@ -112,6 +115,12 @@ class Vocabularies:
         return _CUT.split(text)
 
 
+@lru_cache(maxsize=2)
+def vocabularies(path_a: str, path_b: str) -> Vocabularies:
+    """One for each Python worker, kept between its tasks."""
+    return Vocabularies(path_a, path_b)
+
+
 def _byte_signs() -> dict[str, int]:
     """The sign of each byte in byte-level vocabularies: printable ones are themselves,
     the others, in order, the signs from 256 on."""
@@ -148,15 +157,18 @@ def align(v: Vocabularies, words: Sequence[str], texts: bool = True) -> Aligned:
     of_b = np.array([len(x) for x in ids_b], np.int64)
     flat_b = np.fromiter((i for x in ids_b for i in x), np.int64, int(of_b.sum()))
     flat_a, of_a = _ids_a(v, words, data)
-    good = _gives_bytes(flat_a, of_a, v.bytes_a, data) & _gives_bytes(flat_b, of_b, v.bytes_b, data)
+    good = _gives_bytes(flat_b, of_b, v.bytes_b, data)
+    if not v.lossless:
+        good &= _gives_bytes(flat_a, of_a, v.bytes_a, data)
     if not good.all():
         flat_a, flat_b = flat_a[np.repeat(good, of_a)], flat_b[np.repeat(good, of_b)]
         of_a, of_b = of_a * good, of_b * good
     # All words in one row: both sides end at each word's end.
     ends_a, ends_b = np.cumsum(v.sizes_a[flat_a]), np.cumsum(v.sizes_b[flat_b])
-    ends = np.union1d(ends_a, ends_b)
+    at_a, at_b = np.zeros((2, int(ends_a[-1]) + 1 if len(ends_a) else 1), bool)
+    at_a[ends_a] = at_b[ends_b] = True
+    ends, both = np.flatnonzero(at_a | at_b), np.flatnonzero(at_a & at_b)
     pairs = (flat_a[np.searchsorted(ends_a, ends)] << v.shift) | flat_b[np.searchsorted(ends_b, ends)]
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
     word_ends = np.cumsum([len(x) if ok else 0 for x, ok in zip(data, good)])
     links = np.diff(np.searchsorted(ends, word_ends, "right"), prepend=0)
     groups = np.diff(np.searchsorted(both, word_ends, "right"), prepend=0)
@@ -244,7 +256,7 @@ class Memory:
         if words:
             first = len(self.at)
             aligned = align(self.v, words, self.made.texts)
-            self.at.update((word, first + i) for i, word in enumerate(words))
+            self.at.update(zip(words, range(first, first + len(words))))
             self.bad.update((first + np.nonzero(~aligned.good)[0]).tolist())
             self.letters += sum(map(len, words))
             self.made.add(aligned)
@@ -252,7 +264,7 @@ class Memory:
     def documents(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's words; none if the text has no tokens."""
         parts = [self.v.words(t) if t else [] for t in texts]
-        self.learn(list({w for words in parts for w in words if w not in self.at}))
+        self.learn(list(set().union(*parts).difference(self.at)))
         out = [np.fromiter(map(self.at.__getitem__, words), np.int64, len(words)) for words in parts]
         if self.bad:
             # A text with such a word is judged as a whole.
@@ -335,7 +347,7 @@ def _partial_counts(docs: DataFrame, paths: tuple[str, str], tasks_of_leaf: int)
     kind = arrow_schema(_COUNTS)
 
     def task(batches):
-        v = Vocabularies(*paths)
+        v = vocabularies(*paths)
         counted = _Counted()
         memory = Memory(v, counted)
         leaf = TaskContext.get().partitionId() // tasks_of_leaf
@@ -423,7 +435,7 @@ def pair_counts(
     A bucket holds at most the pairs of its second ids, so its size is bounded by the
     vocabularies, whatever the corpus.
     """
-    v = Vocabularies(*paths)
+    v = vocabularies(*paths)
     v_kind, mask = v.kind.str, v.mask
     partial = staged_rows(_partial_counts(docs, paths, tasks_of_leaf), "pair-partials")
     leaves = partial.groupBy("bucket", "leaf").applyInArrow(_merged_counts(v_kind), _COUNTS)
@@ -613,7 +625,7 @@ def _looked_up_here(rows, pairs, paths, schema, whole) -> DataFrame:
     kind = arrow_schema(schema)
 
     def task(batches):
-        v = Vocabularies(*paths)
+        v = vocabularies(*paths)
         kept = _Kept(PairTable(stored.value, v.kind.str, v.mask))
         memory = Memory(v, kept)
         for part in slices(batches):
@@ -649,7 +661,7 @@ def _looked_up_there(rows, pairs, paths, schema, whole, tasks_of_leaf) -> DataFr
     kind = arrow_schema(first)
 
     def task(batches):
-        v = Vocabularies(*paths)
+        v = vocabularies(*paths)
         kept = _Kept(None)
         memory = Memory(v, kept)
         at = TaskContext.get().partitionId()
@@ -685,7 +697,7 @@ def _looked_up_there(rows, pairs, paths, schema, whole, tasks_of_leaf) -> DataFr
     tables = sent.select("bucket", "leaf").distinct().join(pairs, "bucket")
     both = sent.unionByName(tables, allowMissingColumns=True)
     both = both.repartition("bucket", "leaf").sortWithinPartitions("bucket", "leaf", F.col("index").isNull())
-    v = Vocabularies(*paths)
+    v = vocabularies(*paths)
     v_kind, mask = v.kind.str, v.mask
     sums = "row long, n_best long, count_sum long"
     out = arrow_schema(sums)
