@@ -250,25 +250,32 @@ def _without_doubtful_deletes(changes: DataFrame, rejects: DataFrame) -> DataFra
 def _publish(
     spark: SparkSession, tables: Tables, events_path: str | None, run_ts: datetime | str | None
 ) -> None:
-    """Append the quality rows and write the events that are noted as left out.
+    """Write the quality rows and events that are noted as left out, each exactly once.
 
-    A note goes once its rows are written, so a failure in between can write them twice
-    but never leave them out.
+    What is published belongs to the staged folder that it comes from, and replaces what
+    that folder has published before. A note goes once its rows are written; a failure in
+    between writes the same rows to the same place again.
     """
     left = unpublished(spark, tables.base)
     for path in list(left.get("quality", [])):
         report = coverage_report(spark.read.parquet(path), run_ts=run_ts)
-        load(report, tables.quality, "append", partition_by=())
+        report = report.withColumn("batch", F.lit(_batch_of(path)))
+        load(report, tables.quality, "overwrite_partitions", partition_by=("batch",))
         left["quality"].remove(path)
         note_unpublished(spark, tables.base, left)
     if events_path is None:
         return
     for path in list(left.get("events", [])):
-        write_events(to_events(spark.read.parquet(path)), events_path)
+        write_events(to_events(spark.read.parquet(path)), events_path, batch=_batch_of(path))
         left["events"].remove(path)
         note_unpublished(spark, tables.base, left)
 
 
+def _batch_of(path: str) -> str:
+    """The name of a batch: that of its staged folder, which is never used twice."""
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
 def rebuild(spark: SparkSession, tables: Tables, run_ts: datetime | str | None = None) -> None:
     """Compute the derived tables again from all live rows of the base table."""
     live = live_rows(spark.table(tables.base))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ratelake.plans.order_rates import FIRST_RUN, SECOND_RUN
-from ratelake.plans.queries import HI, LO
+from ratelake.plans.queries import HI, HI_3, LO, LO_3
 
 # The labels written out, so that a wrong one in the operator shows.
 WEEKDAY, WEEKEND = "Weekday", "Weekend"
@@ -217,10 +217,58 @@ _EVENTS = f""" select operation_type as event_type, '{_SECOND_STAMP_EVENT}' as e
   base || '-' || target || '-' || "date" as entity_id, "date", base, target, base_amount,
   round(rate, 6) as rate, row_hash from changes"""
 
+_FIRST_STAMP_EVENT = FIRST_RUN.replace(" ", "T") + "Z"
+
+#: After the third batch: in its range the old rows again, but for those that the second
+#: batch deleted, which stay deleted; in the rest of the second batch's range the new rows.
+_THIRD = f""",
+live as (
+  select "date", base, target, rate from incoming
+  where "date" between '{LO}' and '{HI}' and not "date" between '{LO_3}' and '{HI_3}'
+  union all
+  select "date", base, target, rate from stored where not "date" between '{LO}' and '{HI}'
+  union all
+  select "date", base, target, rate from rates
+  where "date" between '{LO_3}' and '{HI_3}' and priority not in ('1-URGENT', '2-HIGH'))"""
+
+#: The rows before each month of a pair, the last 29 of them.
+_TAILS = """,
+months as (
+  select distinct base, target, substr("date", 1, 7) as m from live),
+numbered as (
+  select m.base, m.target, m.m, l."date", l.rate,
+    row_number() over (partition by m.base, m.target, m.m order by l."date" desc) as nth
+  from months m left join live l
+    on l.base = m.base and l.target = m.target and l."date" < m.m || '-01')
+select base, target, substr(m, 1, 4)::int as "year", substr(m, 6, 2)::int as "month",
+  count("date")::int as row_count, min("date") as first_date, max("date") as last_date,
+  round(coalesce(sum(rate), 0.0), 4) as rate_total
+from numbered where nth <= 29 group by base, target, m"""
+
+#: The changes of rates of four decimals, compared and hashed by their plain text.
+_DEFAULT_HASH = (
+    "with"
+    + _changes()
+    .replace("rate::decimal(18,6)::varchar", "round(rate, 4)::varchar")
+    .replace("""select "date", base_amount, base, target, rate, '""", """select "date", base_amount, base, target, round(rate, 4) as rate, '""")
+    .replace("replace (rate::double as rate)", "replace (round(rate, 4) as rate)")
+)
+
 _LIVE = """,
 live as (select * from merged where operation_type <> 'DELETE')"""
 
 
+def _second_calendar() -> str:
+    """The report of the second batch, under names of its own."""
+    text = _calendar().replace(
+        "from rates", f"""from (select * from incoming where "date" between '{LO}' and '{HI}') i"""
+    )
+    for name in ("seen", "bounds", "calendar", "days_seen", "report"):
+        text = text.replace(f"{name} as (", f"{name}_2 as (").replace(f"from {name} ", f"from {name}_2 ")
+        text = text.replace(f"from {name})", f"from {name}_2)").replace(f"join {name} ", f"join {name}_2 ")
+    return text
+
+
 def statements() -> dict[str, str]:
     with_rates = "with" + _RATES
     both_batches = "with" + _merged(within=_IN_LO_HI)
@@ -256,6 +304,16 @@ def statements() -> dict[str, str]:
         + _TICKS
         + """ select base, target, count(*) as observations, count(distinct "date") as dates,
           min(rate) as min_rate, max(rate) as max_rate from ticks group by base, target""",
+        "flatten_wide_documents": with_rates
+        + f""" select "date", base_amount, target, '{FIRST_RUN}' as ingested_at,
+          case when substr("date", 6, 2)::int % 2 = 1 then 'USD' else 'EUR' end as base,
+          round(case when priority = '5-LOW' then floor(rate) else rate end, 6) as rate
+          from rates""",
+        "cdc_default_hash": _DEFAULT_HASH + _CHANGE_VIEW,
+        "fact_rates_without_stamp": "with"
+        + _changes()
+        + """ select "date", base, target, round(rate, 6) as rate,
+          ingested_at as ingestion_timestamp from changes where operation_type <> 'DELETE'""",
         "flatten_rejects": "with"
         + _TICKS
         + """, damaged as (
@@ -384,6 +442,35 @@ def statements() -> dict[str, str]:
         + ","
         + _metrics("live")
         + f' select "date", base, target, {_METRIC_VALUES} from metrics',
+        "three_batches_enriched": "with"
+        + _snapshots()
+        + _THIRD
+        + ","
+        + _metrics("live")
+        + f' select "date", base, target, {_METRIC_VALUES} from metrics',
+        "three_batches_tails": "with" + _snapshots() + _THIRD + _TAILS,
+        "two_batches_changes_scope": "with"
+        + _changes(within=_IN_LO_HI)
+        + ","
+        + _metrics("changes")
+        + f' select "date", base, target, {_METRIC_VALUES} from metrics',
+        "two_batches_quality": "with"
+        + _snapshots()
+        + ","
+        + _calendar().replace("from rates", "from stored")
+        + ","
+        + _second_calendar()
+        + f""" select '{FIRST_RUN}' as execution_timestamp, {_REPORT_VIEW}
+          union all
+          select '{SECOND_RUN}', {_REPORT_VIEW.replace("from report", "from report_2")}""",
+        "two_batches_events": "with"
+        + _changes(within=_IN_LO_HI)
+        + f""" select operation_type as event_type, '{_SECOND_STAMP_EVENT}' as event_timestamp,
+          base || '-' || target || '-' || "date" as entity_id, "date", base, target, base_amount,
+          round(rate, 6) as rate from changes
+          union all
+          select 'INSERT', '{_FIRST_STAMP_EVENT}', base || '-' || target || '-' || "date",
+          "date", base, target, base_amount, round(rate, 6) from stored""",
         "two_batches_anomalies": both_batches
         + _LIVE
         + ","

@@ -15,9 +15,12 @@ from ratelake.schemas import DELETE, INSERT
 
 FIRST_RUN = "2026-05-06 01:02:03.456"
 SECOND_RUN = "2026-05-07 04:05:06.789"
+THIRD_RUN = "2026-05-08 07:08:09.012"
 
 # What the priority of an order stands for.
 ONLY_NEW, ONLY_OLD, REVALUED = "1-URGENT", "2-HIGH", "3-MEDIUM"
+# Rates of this priority are written as whole numbers where a document holds many.
+WHOLE = "5-LOW"
 # The status of orders whose stored row is a tombstone, where a query has some.
 TOMBSTONE_STATUS = "P"
 
@@ -124,6 +127,26 @@ def documents(observations: DataFrame) -> DataFrame:
     )
 
 
+def wide_documents(observations: DataFrame) -> DataFrame:
+    """One JSON document for each calendar month: its days, and on each all currencies.
+
+    Documents of odd months name no base, the others EUR; rates of one priority are
+    written as whole numbers. Observations are unique by day and currency.
+    """
+    number = F.when(F.col("priority") == WHOLE, F.floor("rate").cast("long").cast("string"))
+    entry = F.concat(F.lit('"'), "target", F.lit('":'), number.otherwise(F.col("rate").cast("string")))
+    days = observations.groupBy("date").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    day = F.concat(F.lit('"'), "date", F.lit('":{'), F.array_join("entries", ","), F.lit("}"))
+    months = days.groupBy(F.substring("date", 1, 7).alias("month")).agg(
+        F.sort_array(F.collect_list(day)).alias("days")
+    )
+    odd = F.substring("month", 6, 2).cast("int") % 2 == 1
+    base = F.when(odd, F.lit("")).otherwise(F.lit('"base":"EUR",'))
+    return months.select(
+        F.concat(F.lit("{"), base, F.lit('"rates":{'), F.array_join("days", ","), F.lit("}}")).alias("value")
+    )
+
+
 def damaged_documents(observations: DataFrame) -> DataFrame:
     """The same documents, those of one order status with a fault for each priority."""
     faulty, priority = F.col("status") == TOMBSTONE_STATUS, F.col("priority")

@@ -31,6 +31,7 @@ from ratelake.plans.batch import Batch, Tables, run_batch
 from ratelake.plans.order_rates import (
     FIRST_RUN,
     SECOND_RUN,
+    THIRD_RUN,
     decimal_text,
     damaged_documents,
     dirty_ticks,
@@ -43,6 +44,7 @@ from ratelake.plans.order_rates import (
     table,
     ticks,
     transactions,
+    wide_documents,
 )
 from ratelake.schemas import KEYS, PAIR
 from ratelake.sources.documents import (
@@ -61,6 +63,8 @@ _QUERIES: dict[str, Query] = {}
 
 # The range of the second batch; the first one covers everything.
 LO, HI = "1997-03-15", "1998-10-20"
+# The range of the third batch, inside the second.
+LO_3, HI_3 = "1997-09-10", "1997-11-05"
 FIRST_DAY, LAST_DAY = "1990-01-01", "2010-12-31"
 
 
@@ -168,6 +172,13 @@ def query_flatten_rejects(spark, sf_dir):
     )
 
 
+@query("flatten_wide_documents")
+def query_flatten_wide_documents(spark, sf_dir):
+    """Documents of many days and currencies, some without a base, numbers also whole."""
+    flat = flatten_rates(parse_documents(wide_documents(rates(spark, sf_dir))), FIRST_RUN)
+    return flat.select(*KEYS, "base_amount", *_six("rate"), _stamp("ingested_at"))
+
+
 @query("flatten_latest_document")
 def query_flatten_latest_document(spark, sf_dir):
     """Several documents for a day and currency: the one that came in last counts."""
@@ -239,6 +250,14 @@ def query_cdc_strict_tombstones(spark, sf_dir):
     return _change_view(_changes(spark, sf_dir, with_tombstones=True, tombstones="strict"))
 
 
+@query("cdc_default_hash")
+def query_cdc_default_hash(spark, sf_dir):
+    """Rows compared, and hashed, by the plain text of the rate (here of four decimals)."""
+    stored = stored_rows(old_snapshot(spark, sf_dir).withColumn("rate", F.round("rate", 4)))
+    incoming = new_snapshot(spark, sf_dir).withColumn("rate", F.round("rate", 4))
+    return _change_view(detect_changes(incoming, stored, run_ts=SECOND_RUN))
+
+
 @query("cdc_op_counts")
 def query_cdc_op_counts(spark, sf_dir):
     changes = _changes(spark, sf_dir)
@@ -447,6 +466,13 @@ def query_fact_rates(spark, sf_dir):
     return facts.select(*KEYS, *_six("rate"), _stamp("ingestion_timestamp"))
 
 
+@query("fact_rates_without_stamp")
+def query_fact_rates_without_stamp(spark, sf_dir):
+    """Rows without ``ingestion_timestamp``: the time they came in takes its place."""
+    rows = _changes(spark, sf_dir).drop("ingestion_timestamp")
+    return fact_rates(rows).select(*KEYS, *_six("rate"), _stamp("ingestion_timestamp"))
+
+
 @query("fact_transactions")
 def query_fact_transactions(spark, sf_dir):
     source = {
@@ -519,13 +545,17 @@ def query_change_events_json_roundtrip(spark, sf_dir):
 # --- whole batches
 
 
-def _two_batches(spark, sf_dir, **options) -> tuple[Tables, Batch]:
+_STEPS = (
+    (old_snapshot, FIRST_DAY, LAST_DAY, FIRST_RUN),
+    (new_snapshot, LO, HI, SECOND_RUN),
+    (old_snapshot, LO_3, HI_3, THIRD_RUN),
+)
+
+
+def _two_batches(spark, sf_dir, steps=_STEPS[:2], **options) -> tuple[Tables, Batch]:
     """The old snapshot in one batch, then the new one for the narrower range."""
     tables = Tables.in_database(_database(spark, "batches"))
-    for snapshot, lo, hi, run_ts in (
-        (old_snapshot, FIRST_DAY, LAST_DAY, FIRST_RUN),
-        (new_snapshot, LO, HI, SECOND_RUN),
-    ):
+    for snapshot, lo, hi, run_ts in steps:
         landed = parse_documents(documents(snapshot(spark, sf_dir)))
         batch = run_batch(landed, tables, lo, hi, run_ts=run_ts, **options)
     return tables, batch
@@ -550,6 +580,55 @@ def query_two_batches_enriched(spark, sf_dir):
     return spark.table(tables.enriched).select(*KEYS, *_six(*_METRIC_NAMES))
 
 
+@query("three_batches_enriched")
+def query_three_batches_enriched(spark, sf_dir):
+    """The third batch goes back to the old snapshot for some weeks inside the second."""
+    tables, _ = _two_batches(spark, sf_dir, steps=_STEPS, on_delete="continue")
+    return spark.table(tables.enriched).select(*KEYS, *_six(*_METRIC_NAMES))
+
+
+@query("three_batches_tails")
+def query_three_batches_tails(spark, sf_dir):
+    """The state that the next increment starts from: the rows before each pair's months."""
+    tables, _ = _two_batches(spark, sf_dir, steps=_STEPS, on_delete="continue")
+    tails = spark.table(tables.tails)
+    total = F.aggregate("tail", F.lit(0.0), lambda sum, row: sum + row["rate"])
+    return tails.select(
+        *PAIR,
+        "year",
+        "month",
+        F.size("tail").alias("row_count"),
+        F.try_element_at("tail.date", F.lit(1)).alias("first_date"),
+        F.try_element_at("tail.date", F.lit(-1)).alias("last_date"),
+        F.round(total, 4).alias("rate_total"),
+    )
+
+
+@query("two_batches_changes_scope")
+def query_two_batches_changes_scope(spark, sf_dir):
+    """The other scope: the enriched table holds the metrics of the last changes alone."""
+    tables, _ = _two_batches(spark, sf_dir, scope="changes", on_delete="continue")
+    return spark.table(tables.enriched).select(*KEYS, *_six(*_METRIC_NAMES))
+
+
+@query("two_batches_quality")
+def query_two_batches_quality(spark, sf_dir):
+    """The quality rows of both batches, each over what came in."""
+    tables, _ = _two_batches(spark, sf_dir, on_delete="continue")
+    return _report_view(spark.table(tables.quality), "execution_timestamp").withColumn(
+        "execution_timestamp", _stamp("execution_timestamp")
+    )
+
+
+@query("two_batches_events")
+def query_two_batches_events(spark, sf_dir):
+    """The events of both batches, read back from where they were published."""
+    path = shared_folder(spark, "events")
+    _two_batches(spark, sf_dir, on_delete="continue", events_path=path)
+    schema = to_events(_changes(spark, sf_dir)).schema
+    return _event_view(spark.read.schema(schema).json(path)).drop("row_hash")
+
+
 @query("two_batches_anomalies")
 def query_two_batches_anomalies(spark, sf_dir):
     tables, _ = _two_batches(spark, sf_dir, on_delete="continue")

@@ -11,6 +11,7 @@ not replaced in one moment; where that is needed, use a transactional table form
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -77,7 +78,7 @@ def load(
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     spark = df.sparkSession
     merges = mode == "merge_cdc"
-    if partition_by:
+    if set(PARTITIONS) & set(partition_by):
         df = with_month(df, date_col)
     deletes = False
     if not spark.catalog.tableExists(table):
@@ -137,7 +138,7 @@ def note_pending(spark: SparkSession, table: str, months: Iterable[Month]) -> No
 
 
 def _note(spark: SparkSession, table: str, key: str, text: str) -> None:
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{key}' = '{text}')")
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({_text(key)} = {_text(text)})")
 
 
 def _noted(spark: SparkSession, table: str, key: str) -> str:
@@ -156,14 +157,12 @@ def keep_scope(spark: SparkSession, table: str, scope: str) -> None:
 
 def note_unpublished(spark: SparkSession, table: str, parts: dict[str, list[str]]) -> None:
     """Note the staged folders whose rows of a kind are yet to be published."""
-    text = ";".join(f"{kind}={','.join(paths)}" for kind, paths in sorted(parts.items()) if paths)
-    _note(spark, table, _UNPUBLISHED, text)
+    _note(spark, table, _UNPUBLISHED, json.dumps({k: v for k, v in sorted(parts.items()) if v}))
 
 
 def unpublished(spark: SparkSession, table: str) -> dict[str, list[str]]:
     """What :func:`note_unpublished` noted."""
-    entries = [part.split("=", 1) for part in _noted(spark, table, _UNPUBLISHED).split(";") if part]
-    return {kind: paths.split(",") for kind, paths in entries}
+    return json.loads(_noted(spark, table, _UNPUBLISHED) or "{}")
 
 
 def pending_months(spark: SparkSession, table: str) -> list[Month]:
