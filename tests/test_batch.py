@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 import pytest
 from ratelake.operators import (
+    detect_changes,
     fact_rates,
     flag_anomalies,
     live_rows,
@@ -14,10 +15,10 @@ from ratelake.operators import (
 )
 from ratelake.operators.metrics import calendar_month, chunk_tails
 from ratelake.plans.batch import CELL, Tables, _by_month, affected_cells, rebuild, run_batch
-from ratelake.schemas import CHANGES, CUSTOMERS, TRANSACTIONS
+from ratelake.schemas import CHANGES, CUSTOMERS, RATES, TRANSACTIONS
 from ratelake.sources.documents import parse_documents, read_documents
-from ratelake.sources.shared import shared_folder
-from ratelake.sources.tables import pending_months
+from ratelake.sources.shared import shared_folder, staged
+from ratelake.sources.tables import load, pending_months, with_month
 
 RUNS = [f"2026-06-{day:02d} 00:00:00" for day in range(1, 29)]
 
@@ -266,6 +267,99 @@ def test_a_failure_at_any_step_is_caught_up(spark, tables, tmp_path, monkeypatch
     assert again.status == "no_changes" and spark.read.json(events).count() == 2
 
 
+@pytest.mark.parametrize("kind", ["quality", "events"])
+def test_a_failure_after_the_write_publishes_once(spark, tables, tmp_path, monkeypatch, kind):
+    """The rows are written, the note is not taken back: they are not written twice."""
+    from ratelake.plans import batch as module
+
+    span, events = ("2026-05-01", "2026-05-31"), str(tmp_path / "events")
+    rates = {("2026-05-06", "MXN"): 17.0, ("2026-05-08", "MXN"): 18.0}
+    note = module.note_unpublished
+
+    def lost(spark, table, left):
+        if not left.get(kind, ["still noted"]):
+            raise RuntimeError("driver lost")
+        note(spark, table, left)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(module, "note_unpublished", lost)
+        with pytest.raises(RuntimeError):
+            run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[0], events_path=events)
+    run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[1], events_path=events)
+    assert rows(spark.table(tables.quality), "dq_date", "is_missing") == [
+        (date(2026, 5, 6), False),
+        (date(2026, 5, 7), True),
+        (date(2026, 5, 8), False),
+    ]
+    assert rows(spark.read.json(events), "entity_id") == [
+        ("USD-MXN-2026-05-06",),
+        ("USD-MXN-2026-05-08",),
+    ]
+
+
+def test_an_increment_reads_its_own_pair_alone(spark, tables, monkeypatch):
+    """One changed row of a sparse pair among 2,000 dense ones: of the base table no month
+    before the change is read, of its months' pages only those of the pair, and no row of
+    another pair gets past the scan."""
+    from ratelake.plans import batch as module
+
+    months = [(2025, m) for m in range(1, 4)] + [(2026, 1)]
+    dense = [
+        (f"{y}-{m:02d}-{d:02d}", 1.0, "USD", f"P{p:04d}", 1.0 + p, None)
+        for y, m in months
+        for p in range(2000)
+        for d in range(1, 9)
+    ]
+    sparse = [(f"{y}-{m:02d}-15", 1.0, "USD", "P0500x", 5.0, None) for y, m in months]
+    frame = spark.createDataFrame(dense + sparse, RATES)
+    load(detect_changes(frame, None, run_ts=RUNS[0]), tables.base)
+    rebuild(spark, tables, RUNS[0])
+    changed = spark.createDataFrame([("2025-03-15", 1.0, "USD", "P0500x", 6.0, None)], RATES)
+    stored = spark.table(tables.base)
+    changes = staged(
+        with_month(detect_changes(changed, stored.filter("target = 'P0500x'"), lo="2025-03-15", hi="2025-03-15")),
+        "changes",
+    )
+    load(changes, tables.base, "merge_cdc")
+    taken = []
+    next_tails = module.next_tails
+
+    def watched(rows, cells, reach):
+        taken.append(rows)
+        return next_tails(rows, cells, reach)
+
+    monkeypatch.setattr(module, "next_tails", watched)
+    module._refresh(spark, tables, changes, [(2025, 3)], [], RUNS[1])
+    (history,) = taken
+    assert rows(history, "date", "target", "rate") == [
+        ("2025-03-15", "P0500x", 6.0),
+        ("2026-01-15", "P0500x", 5.0),
+    ]
+    read = scanned_rows(history, "rate")
+    assert 2 <= read <= 2 * 8000 < 2 * 16001, "of two months, the pages of the pair"
+    same_as_full_recompute(spark, tables)
+
+
+def scanned_rows(df, column):
+    """Rows that the scans of a plan gave out that read ``column``."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "FileSourceScanExec" and f"{column}#" in node.output().toString():
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
 def test_a_set_of_tables_keeps_its_scope(spark, tables):
     span = ("2026-05-01", "2026-06-30")
     rates = {("2026-05-06", "MXN"): 17.0, ("2026-06-06", "MXN"): 18.0}

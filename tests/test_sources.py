@@ -17,7 +17,13 @@ from ratelake.sources.tables import (
     merge_into,
     months_of,
     note_pending,
+    note_unpublished,
     pending_months,
+    replace_months,
+    stored_months,
+    sweep_versions,
+    unpublished,
+    with_month,
 )
 from tests.test_operators import DAY, RUN_1, RUN_2, rates_frame, stored_frame
 
@@ -241,3 +247,108 @@ def test_clean_takes_columns_without_an_order(spark):
     df = rates_frame(spark, [(DAY, "A", 2.0), (DAY, "A", 1.0)])
     df = df.withColumn("tags", F.array(F.create_map(F.lit("k"), "rate")))
     assert [row.rate for row in clean_rates(df).collect()] == [1.0]
+
+
+def content(spark, name):
+    return sorted((r.date, r.target, r.rate) for r in spark.table(name).collect())
+
+
+def test_a_failure_before_the_swap_leaves_the_old_rows(spark, database, monkeypatch):
+    """The new version is written, the catalog not yet told: every reader sees the old."""
+    name = f"{database}.rates"
+    load(simple(spark, ("2026-04-01", "A", 1.0), ("2026-05-01", "A", 2.0)), name)
+    before = content(spark, name)
+
+    def lost(*args):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("ratelake.sources.tables._point_at", lost)
+        with pytest.raises(RuntimeError):
+            load(simple(spark, ("2026-05-01", "B", 3.0)), name, "overwrite_partitions")
+    spark.catalog.refreshTable(name)
+    assert content(spark, name) == before
+
+
+def test_a_lost_driver_leaves_no_month_missing(spark, database, monkeypatch):
+    """Lost between two swaps: one month is new, the other old, both are whole."""
+    from ratelake.sources import tables
+
+    name = f"{database}.rates"
+    load(simple(spark, *[(f"2026-0{m}-0{d}", "A", 1.0) for m in (4, 5) for d in (1, 2)]), name)
+    point_at, calls = tables._point_at, []
+
+    def once(*args):
+        if calls:
+            raise RuntimeError("driver lost")
+        calls.append(args)
+        point_at(*args)
+
+    new = simple(spark, *[(f"2026-0{m}-0{d}", "A", 2.0) for m in (4, 5) for d in (1, 2)])
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "_point_at", once)
+        with pytest.raises(RuntimeError):
+            load(new, name, "overwrite_partitions")
+    spark.catalog.refreshTable(name)
+    assert [rate for _, _, rate in content(spark, name)] == [2.0, 2.0, 1.0, 1.0]
+    load(new, name, "overwrite_partitions")
+    assert [rate for _, _, rate in content(spark, name)] == [2.0] * 4
+
+
+def test_a_reader_that_has_begun_keeps_its_version(spark, database):
+    name = f"{database}.rates"
+    load(simple(spark, (DAY, "A", 1.0)), name)
+    load(simple(spark, (DAY, "A", 2.0)), name, "overwrite_partitions")
+    path = [file for file in spark.table(name).inputFiles()]
+    assert all("_versions" in file for file in path)
+    load(simple(spark, (DAY, "A", 3.0)), name, "overwrite_partitions")
+    old = spark.read.parquet(*path)
+    assert [row.rate for row in old.collect()] == [2.0]
+    assert [rate for _, _, rate in content(spark, name)] == [3.0]
+
+
+def test_sweep_removes_versions_that_nothing_points_at(spark, database):
+    name = f"{database}.rates"
+    load(simple(spark, ("2026-04-01", "A", 1.0), ("2026-05-01", "A", 1.0)), name)
+    for rate in (2.0, 3.0):
+        load(simple(spark, ("2026-05-01", "A", rate)), name, "overwrite_partitions")
+    assert sweep_versions(spark, name, hours=1) == []
+    assert len(sweep_versions(spark, name, hours=0)) == 1
+    assert sweep_versions(spark, name, hours=0) == []
+    assert content(spark, name) == [("2026-04-01", "A", 1.0), ("2026-05-01", "A", 3.0)]
+    # Rows appended to a month go on in the version that it points at.
+    load(simple(spark, ("2026-05-02", "A", 4.0)), name, "append")
+    assert len(content(spark, name)) == 3
+
+
+def test_replaced_months(spark, database):
+    """New, replaced, emptied and undated months in one call; others stay."""
+    name = f"{database}.rates"
+    first = [("2026-03-01", "A", 1.0), ("2026-04-01", "A", 1.0), ("2026-05-01", "A", 1.0)]
+    load(simple(spark, *first, ("no day", "A", 1.0)), name)
+    rows = with_month(simple(spark, ("2026-04-02", "B", 2.0), ("2026-06-01", "B", 2.0), ("never", "B", 2.0)))
+    assert replace_months(rows, name, [(2026, 4), (2026, 5)]) == [(2026, 4), (2026, 6)]
+    assert stored_months(spark, name) == {(2026, 3), (2026, 4), (2026, 6), (None, None)}
+    assert content(spark, name) == [
+        ("2026-03-01", "A", 1.0),
+        ("2026-04-02", "B", 2.0),
+        ("2026-06-01", "B", 2.0),
+        ("never", "B", 2.0),
+    ]
+
+
+def test_notes_hold_any_path(spark, database):
+    name = f"{database}.rates"
+    load(simple(spark, (DAY, "A", 1.0)), name)
+    parts = {"events": ["s3://a,b/it's;=x", "s3://c\\d"], "quality": []}
+    note_unpublished(spark, name, parts)
+    assert unpublished(spark, name) == {"events": parts["events"]}
+
+
+def test_events_of_a_batch_are_written_once(spark, tmp_path):
+    events = to_events(detect_changes(rates_frame(spark, [(DAY, "A", 1.0)]), None, run_ts=RUN_1))
+    path = str(tmp_path / "events")
+    for batch in ("one", "one", "two"):
+        write_events(events, path, batch=batch)
+    found = spark.read.json(path)
+    assert sorted(row.batch for row in found.collect()) == ["one", "two"]
