@@ -5,11 +5,12 @@ starts of a text that share their least hash form a run, and that hash deals the
 
 1. The hashes of all runs are counted. Only those that occur twice can hold a repeat.
 2. Runs with such a hash are cut from their texts (with the rest of their last string)
-   and dealt out by the hash. Texts that are equal as a whole send theirs once.
+   where they lie, by a bit array of those hashes, and dealt out by the hash. A task sends
+   texts that are equal as a whole once.
 3. A task joins the runs of a few hashes to a shard, sorts its suffixes by induction and
    takes the permuted common prefixes: a string repeats if its suffix shares its whole
    length with the one before or after it. Equal runs enter the shard once.
-4. What repeats is cut from each text in one pass.
+4. What repeats is cut from each text in one pass; texts without repeats are not moved.
 
 A hash with so many runs that a shard would outgrow a task (a passage in a large part of
 all texts) is dealt out further, by the whole string that starts at each of its places:
@@ -24,18 +25,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratelake.llm.hash_filter import HashFilter
 from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_rows, slices, staged_rows
 from ratelake.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
 #: Bytes of a hashed piece (a power of two), and of a text that are hashed at a time.
 PIECE = 32
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of a shard, after which a new one starts; runs of a hash that one shard can take.
 SHARD_BYTES = 1 << 19
 SHARD_RUNS = 5000
 #: Regions that are equal to others and to nothing else, held until their spans are sent.
 WHOLE_REGIONS = 2000
+#: Different texts that a task remembers to have sent.
+SENT_TEXTS = 100_000
 
 _STEPS = tuple(
     np.uint64(x)
@@ -145,25 +149,18 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _all_runs(rows: DataFrame, length: int, counts_only: bool) -> DataFrame:
-    schema = "hash long, places long" if counts_only else "hash long, a long, first long, starts int"
+def _all_runs(rows: DataFrame, length: int) -> DataFrame:
+    """The hash of each run, and at how many places of it the hash occurs."""
+    schema = "hash long, places long"
     out = arrow_schema(schema)
 
     def task(batches):
         for part in slices(batches):
             texts = [(t or "").encode() for t in part["text"].to_pylist()]
-            ids = part["a"].to_numpy()
-            for text, key, first, count, places in runs(texts, length, counts_only):
-                columns = (key, places) if counts_only else (key, ids[text], first, count)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(column.astype(field.type.to_pandas_dtype()))
-                        for column, field in zip(columns, out, strict=True)
-                    ],
-                    schema=out,
-                )
+            for _, key, _, _, places in runs(texts, length):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(places)], schema=out)
 
-    return rows.select("text", "a").mapInArrow(task, schema)
+    return rows.select("text").mapInArrow(task, schema)
 
 
 def _shards(regions: DataFrame, length: int) -> DataFrame:
@@ -263,18 +260,19 @@ def _strings(regions: DataFrame, length: int) -> DataFrame:
     return regions.mapInArrow(task, schema)
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """key, a, b and the compressed text, for the shuffles that texts have to take."""
-    out = arrow_schema(keyed_schema(rows, "key", "a long, b long, packed binary"))
+def _packed(rows: DataFrame, some: HashFilter) -> DataFrame:
+    """key, a, b and the compressed text of rows that may have something to remove."""
+    schema = keyed_schema(rows, "key", "a long, b long, packed binary")
+    out = arrow_schema(schema)
 
     def task(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for part in slices(batches):
+            part = part.filter(pa.array(some.may_hold(part["a"].to_numpy())))
             texts = [pack.compress((t or "").encode()) for t in part["text"].to_pylist()]
             columns = [part["key"], part["a"], part["b"], pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    schema = keyed_schema(rows, "key", "a long, b long, packed binary")
     return rows.select("key", "a", "b", "text").mapInArrow(task, schema)
 
 
@@ -283,32 +281,41 @@ def _unpacked(packed: list[bytes]) -> list[bytes]:
     return [unpack.decompress(data) for data in packed]
 
 
-def _regions(rows: DataFrame, copies: DataFrame, lists: DataFrame, length: int) -> DataFrame:
-    """hash, a, b, first and bytes of the runs listed for each text, once for each text."""
+def _regions(rows: DataFrame, again: HashFilter, length: int) -> DataFrame:
+    """hash, a, b, first and bytes of the runs of each text whose hash may occur twice.
+
+    A task sends equal texts once. Texts that tasks send again only add places to regions
+    that repeat anyway.
+    """
     schema = "hash long, a long, b long, first long, bytes binary"
     out = arrow_schema(schema)
 
     def task(batches):
+        sent: set[tuple[int, int]] = set()
         for part in slices(batches):
-            found = []
-            texts = _unpacked(part["packed"].to_pylist())
-            for a, b, data, wants in zip(
-                part["a"].to_pylist(), part["b"].to_pylist(), texts, part["runs"].to_pylist(), strict=True
-            ):
-                for run in wants:
-                    first = run["first"]
-                    piece = data[first : first + run["starts"] + length - 1]
-                    if len(piece) >= length:
-                        found.append((run["hash"], a, b, first, piece))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in found], f.type) for i, f in enumerate(out)], schema=out
-            )
-
-    # All three meet by the first hash; the second one and the key are compared there.
-    heads = copies.select("a", F.col("b").alias("same"), "head")
-    joined = _packed(rows).join(lists, "a").join(heads, "a")
-    once = (F.col("b") == F.col("same")) & F.col("key").eqNullSafe(F.col("head"))
-    return joined.where(once).select("a", "b", "packed", "runs").mapInArrow(task, schema)
+            marks = list(zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True))
+            texts = [
+                b"" if mark in sent or sent.add(mark) else (t or "").encode()
+                for mark, t in zip(marks, part["text"].to_pylist(), strict=True)
+            ]
+            if len(sent) > SENT_TEXTS:
+                sent.clear()
+            for text, key, first, starts, _ in runs(texts, length, False):
+                some = np.flatnonzero(again.may_hold(key))
+                lows, highs = first[some].tolist(), (first + starts + length - 1)[some].tolist()
+                of = text[some].tolist()
+                columns = [
+                    key[some],
+                    [marks[i][0] for i in of],
+                    [marks[i][1] for i in of],
+                    lows,
+                    [texts[i][low:high] for i, low, high in zip(of, lows, highs, strict=True)],
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out
+                )
+
+    return rows.select("a", "b", "text").mapInArrow(task, schema)
 
 
 def repeated_spans(
@@ -317,31 +324,26 @@ def repeated_spans(
 ) -> DataFrame:
     """a, b (hash of a text), copies and spans (first, last byte) of each text with a repeat."""
     rows = _identified(docs, key, text)
-    counted = _all_runs(rows, length, counts_only=True)
+    counted = _all_runs(rows, length)
     counted = counted.groupBy("hash").agg(F.sum("places").alias("places"), F.count("*").alias("n"))
     again = staged_rows(counted.where("places > 1").select("hash", "n"), "hashes")
-    wanted = _all_runs(rows, length, counts_only=False).join(again, "hash")
-    wanted = staged_rows(wanted, "runs")
-    copies = staged_rows(
-        rows.groupBy("a", "b").agg(F.count("*").alias("copies"), F.min("key").alias("head")), "copies"
-    )
-
-    def cut(some: DataFrame) -> DataFrame:
-        # A text's runs are bounded by the text itself; equal texts sent the same runs.
-        run = F.struct("hash", "first", "starts")
-        lists = some.groupBy("a").agg(F.collect_set(run).alias("runs"))
-        return _regions(rows, copies, lists, length)
-
-    spans = _shards(cut(wanted.where(F.col("n") <= shard_runs)), length)
-    hot = wanted.where(F.col("n") > shard_runs)
-    if not hot.isEmpty():
-        strings = staged_rows(_strings(cut(hot), length), "strings")
+    copies = staged_rows(rows.groupBy("a", "b").agg(F.count("*").alias("copies")), "copies")
+    regions = _regions(rows, HashFilter(again, "hash"), length)
+
+    hot = again.where(F.col("n") > shard_runs).select("hash")
+    if hot.isEmpty():
+        spans = _shards(regions, length)
+    else:
+        regions = staged_rows(regions, "regions")
+        spans = _shards(regions.join(hot, "hash", "left_anti"), length)
+        hot_regions = regions.join(hot, "hash", "left_semi").dropDuplicates(["a", "b", "first"])
+        strings = staged_rows(_strings(hot_regions, length), "strings")
         twice = strings.groupBy("x", "y").count().where("count > 1").select("x", "y")
         ends = (F.col("first") + length).alias("last")
         spans = spans.unionByName(strings.join(twice, ["x", "y"]).select("a", "b", "first", ends))
     # Written, so that the shuffled texts and runs can go before texts are read again.
     spans = staged_rows(spans, "spans")
-    lists = spans.groupBy("a", "b").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    lists = spans.groupBy("a", "b").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     return copies.where("copies > 1").select("a", "b", "copies").join(lists, ["a", "b"], "full")
 
 
@@ -359,7 +361,8 @@ def remove_repeats(
     taken whole, hashed in blocks.
     """
     rows = _identified(docs, key, text)
-    found = repeated_spans(docs, key, text, length, shard_runs)
+    found = staged_rows(repeated_spans(docs, key, text, length, shard_runs), "repeats")
+    some = HashFilter(found.select("a"), "a")
     rest = "kept binary, n_bytes long, n_removed long, removed array<struct<first:long,last:long>>"
     schema = keyed_schema(docs, key, rest)
 
@@ -391,9 +394,25 @@ def remove_repeats(
 
         return one
 
-    joined = _packed(rows).join(found, ["a", "b"], "left")
-    joined = joined.select("key", "packed", "copies", "spans")
-    out = map_rows(joined, schema, start)
+    def start_whole():
+        def one(part):
+            part = part.filter(pa.array(~some.may_hold(part["a"].to_numpy())))
+            kept = [(t or "").encode() for t in part["text"].to_pylist()]
+            return {
+                "key": part["key"],
+                "kept": kept,
+                "n_bytes": [len(x) for x in kept],
+                "n_removed": [0] * len(kept),
+                "removed": [[] for _ in kept],
+            }
+
+        return one
+
+    # Texts that surely lose nothing stay where they are; the others meet their spans.
+    whole = map_rows(rows.select("key", "a", "text"), schema, start_whole)
+    joined = _packed(rows, some).join(found, ["a", "b"], "left")
+    cut = map_rows(joined.select("key", "packed", "copies", "spans"), schema, start)
+    out = whole.unionByName(cut)
     return out.select(F.col("key").alias(key), *out.columns[1:])
 
 
