@@ -20,7 +20,7 @@ from ratelake.llm.rows import table
 from ratelake.llm.simhash import near_duplicates
 from ratelake.llm.token_alignment import aligned_documents
 from ratelake.llm.token_counts import token_counts
-from ratelake.llm.token_store import lookup, shard_starts, stored_digests, write_store
+from ratelake.llm.token_store import lookup_rows, shard_starts, stored_digests, write_store
 from ratelake.llm.url_filter import filter_captures, host_of
 from ratelake.sources.shared import shared_folder
 
@@ -39,17 +39,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts by the index, lengths and checksums from the payload that was written."""
+    """Where each document lies comes from the index, its checksum from the payload there."""
     docs, path = table(spark, sf_dir, "documents"), shared_folder(spark, "token-store")
     write_store(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    stored, at = stored_digests(spark, path), F.struct("shard", "offset")
-    first = lookup(spark, path, docs).select(
-        F.col("doc_id").alias("key"), at.alias("first"), F.col("rows")
-    )
-    # Every stored row lies at, or after, the place that the index gives for its key.
-    held = stored.join(
-        first, stored.doc_id.eqNullSafe(first.key) & (at >= F.col("first")), "inner"
-    )
+    return indexed_digests(spark, path, docs)
+
+
+def indexed_digests(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """The contract's columns of all rows of the keys of docs."""
+    at = ["shard", "segment", "place", "n_tokens"]
+    stored = stored_digests(spark, path).select(*at, "offset", "ids_crc32")
+    held = lookup_rows(spark, path, docs).join(stored, at)
     return held.join(shard_starts(spark, path), "shard").select(
         "doc_id",
         (F.col("base") + F.col("offset")).alias("start"),

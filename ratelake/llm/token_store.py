@@ -5,14 +5,15 @@ guards it against lost tasks:
 
 - ids: one row for each segment of a shard, with the ids of whole documents one after the
   other as raw little-endian integers (16 bits if the vocabulary allows, else 32), the
-  number of ids of the shard before it, and its documents' keys and lengths. Shards follow
-  each other in ascending key order, nulls first.
-- index: one row for each part of the keys (by hash), with the part's minimal perfect hash
-  and, by slot, a 32-bit fingerprint, the shard, the offset in the shard, the ids of the
-  first row of the key and the number of its rows.
-
-A lookup hashes a key, reads one index row, takes the slot, compares the fingerprint and
-has the place of the payload.
+  number of ids and of documents of the shard before it, and its documents' keys and
+  lengths. Shards follow each other in ascending key order, nulls first.
+- index: one row for each part of the stored rows, by a hash of the key and of the row's
+  number among those of its key, with the part's minimal perfect hash and, by slot, a
+  32-bit fingerprint, the shard and segment, the place in the segment, the number of ids
+  and the number of rows of the key.
+
+A lookup hashes a key and a number, reads one index row, takes the slot, compares the
+fingerprint and has the place of the payload: which segment, and where in it.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ SEGMENT_IDS = 1 << 20
 PART_KEYS = 1 << 15
 
 _ENTRY = np.dtype(
-    [("print", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n_tokens", "<i8"), ("rows", "<i8")]
+    [("print", "<u4"), ("shard", "<i4"), ("segment", "<i4"), ("place", "<i8")]
+    + [("n_tokens", "<i8"), ("rows", "<i8")]
 )
+#: What the index tells of a stored row.
+PLACE = ("shard", "segment", "place", "n_tokens", "rows")
 
 
 def write_store(
@@ -57,8 +61,8 @@ def write_store(
     rows = keyed_text(docs, key, text).withColumn("tie", F.xxhash64("text"))
     kind = docs.schema[key].dataType.simpleString()
     schema = (
-        f"shard int, segment int, before long, keys array<{kind}>, lengths array<long>,"
-        " width int, ids binary"
+        f"shard int, segment int, before long, docs_before long, keys array<{kind}>,"
+        " lengths array<long>, width int, ids binary"
     )
 
     out = arrow_schema(schema)
@@ -68,10 +72,11 @@ def write_store(
         shard = TaskContext.get().partitionId()
         last = np.array([end_id], encode.kind).tobytes()
         width = encode.kind.itemsize
-        keys, lengths, parts, segment, before = [], [], [], 0, 0
+        keys, lengths, parts = [], [], []
+        segment, before, docs_before, held = 0, 0, 0, 0
 
         def row():
-            values = (shard, segment, before, keys, lengths, width, b"".join(parts))
+            values = (shard, segment, before, docs_before, keys, lengths, width, b"".join(parts))
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], type=f.type) for v, f in zip(values, out, strict=True)], schema=out
             )
@@ -80,54 +85,77 @@ def write_store(
             for k, t in zip(part["key"].to_pylist(), part["text"].to_pylist(), strict=True):
                 ids = encode.encode(t) + last
                 n = len(ids) // width
-                if keys and sum(lengths) + n > SEGMENT_IDS:
+                if keys and held + n > SEGMENT_IDS:
                     yield row()
-                    before, segment = before + sum(lengths), segment + 1
+                    before, docs_before = before + held, docs_before + len(keys)
+                    segment, held = segment + 1, 0
                     keys, lengths, parts = [], [], []
                 keys.append(k)
                 lengths.append(n)
                 parts.append(ids)
+                held += n
         if keys:
             yield row()
 
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
     ordered.mapInArrow(task, schema).write.parquet(f"{path}/ids")
     spark = docs.sparkSession
-    _index(spark.read.parquet(f"{path}/ids")).write.parquet(f"{path}/index")
+    _index(spark, path).write.parquet(f"{path}/index")
 
 
-def _hashes(key) -> list:
-    """Two 64-bit hashes and a fingerprint of any atomic key, null included."""
+def _hashes(key: str, nth: str) -> list:
+    """Two 64-bit hashes and a fingerprint of any atomic key, null included, and a number."""
     return [
-        F.xxhash64(key).alias("a"),
-        F.xxhash64(key, F.lit(1)).alias("b"),
-        F.hash(key, F.lit(2)).alias("print"),
+        F.xxhash64(key, nth).alias("a"),
+        F.xxhash64(key, nth, F.lit(1)).alias("b"),
+        F.hash(key, nth, F.lit(2)).alias("print"),
     ]
 
 
+def _part(key: str, nth: str, parts: int):
+    return F.pmod(F.xxhash64(key, nth, F.lit(3)), F.lit(parts)).alias("part")
+
+
 def _total(lengths: str):
     return F.aggregate(lengths, F.lit(0).cast("long"), lambda x, y: x + y)
 
 
-def _index(ids: DataFrame) -> DataFrame:
-    first = F.min(F.struct("shard", "offset", "n_tokens"))
-    # A group of equal keys is summed up before the shuffle.
-    places = _places_of(ids).groupBy("key").agg(first.alias("first"), F.count("*").alias("rows"))
-    parts = _parts(ids)
-    keyed = places.select(
-        F.pmod(F.xxhash64("key", F.lit(3)), F.lit(parts)).alias("part"),
-        *_hashes("key"),
-        "first.*",
-        "rows",
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Each stored row with its key's number of rows and its own number among them.
+
+    Rows of a key follow each other, so the number is that of rows since the key's first
+    one. Only a key's first place and its count are gathered, summed up before the shuffle;
+    the other rows of a key, however many, meet them by a join that can be split.
+    """
+    ids = spark.read.parquet(f"{path}/ids")
+    docs = ids.groupBy("shard").agg(F.sum(F.size("keys")).alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs"))
+    places = _places_of(ids).join(docs, "shard")
+    places = places.select("key", (F.col("docs") + F.col("at")).alias("at"), *PLACE[:4])
+    first = F.min(F.struct("at", *PLACE[:4])).alias("first")
+    firsts = places.groupBy("key").agg(first, F.count("*").alias("rows"))
+    several = firsts.where("rows > 1").select(
+        F.col("key").alias("same"), F.col("first.at").alias("from"), "rows"
+    )
+    others = places.join(several, F.col("key").eqNullSafe(F.col("same")))
+    others = others.withColumn("nth", F.col("at") - F.col("from")).where("nth > 0")
+    return firsts.select("key", F.lit(0).cast("long").alias("nth"), "first.*", "rows").drop("at").unionByName(
+        others.select("key", "nth", *PLACE)
     )
 
+
+def _index(spark: SparkSession, path: str) -> DataFrame:
+    parts = _parts(spark.read.parquet(f"{path}/ids"))
+    keyed = _numbered(spark, path).select(_part("key", "nth", parts), *_hashes("key", "nth"), *PLACE)
+
     def one(part: pa.Table) -> pa.Table:
         column = {n: part[n].to_numpy() for n in part.column_names}
         a, b = (column[n].astype(np.int64).view(np.uint64) for n in "ab")
         index, slots = build(a, b)
         entries = np.zeros(len(a), _ENTRY)
         entries["print"][slots] = column["print"].astype(np.int32).view(np.uint32)
-        for name in ("shard", "offset", "n_tokens", "rows"):
+        for name in PLACE:
             entries[name][slots] = column[name]
         return pa.table(
             {
@@ -145,7 +173,7 @@ def _index(ids: DataFrame) -> DataFrame:
 
 def _places_of(ids: DataFrame) -> DataFrame:
     kind = ids.schema["keys"].dataType.elementType.simpleString()
-    schema = f"key {kind}, shard int, offset long, n_tokens long"
+    schema = f"key {kind}, shard int, at long, segment int, place long, n_tokens long"
 
     out = arrow_schema(schema)
 
@@ -154,18 +182,19 @@ def _places_of(ids: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 lengths = batch["lengths"][row].values.to_numpy()
                 n = len(lengths)
-                offsets = batch["before"][row].as_py() + np.cumsum(lengths) - lengths
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["keys"][row].values,
                         pa.array(np.full(n, batch["shard"][row].as_py(), np.int32)),
-                        pa.array(offsets),
+                        pa.array(batch["docs_before"][row].as_py() + np.arange(n)),
+                        pa.array(np.full(n, batch["segment"][row].as_py(), np.int32)),
+                        pa.array(np.cumsum(lengths) - lengths),
                         pa.array(lengths),
                     ],
                     schema=out,
                 )
 
-    return ids.select("shard", "before", "keys", "lengths").mapInArrow(task, schema)
+    return ids.select("shard", "segment", "docs_before", "keys", "lengths").mapInArrow(task, schema)
 
 
 def _parts(ids: DataFrame) -> int:
@@ -174,20 +203,34 @@ def _parts(ids: DataFrame) -> int:
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Key, shard, offset, n_tokens and rows of each different key of a table.
+    """Key, shard, segment, place in it, n_tokens and rows of each different key of a table.
 
-    Keys that the store does not hold are missing from the result (but for one in four
-    billion by its fingerprint). Equal keys are looked up once.
+    The place is that of the key's first row; rows tells how many it has. Keys that the
+    store does not hold are missing from the result (but for one in four billion by its
+    fingerprint). Equal keys are looked up once.
     """
-    index = spark.read.parquet(f"{path}/index")
     asked = keys.select(F.col(f"`{key}`").alias("key")).distinct()
+    found = _looked_up(spark, path, asked.withColumn("nth", F.lit(0).cast("long")))
+    return found.drop("nth").withColumnRenamed("key", key)
+
+
+def lookup_rows(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same for every row of each key, numbered by nth from 0."""
+    asked = keys.select(F.col(f"`{key}`").alias("key")).distinct()
+    first = _looked_up(spark, path, asked.withColumn("nth", F.lit(0).cast("long")))
+    more = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows") - 1)).alias("nth")
+    others = _looked_up(spark, path, first.where("rows > 1").select("key", more))
+    return first.unionByName(others).withColumnRenamed("key", key)
+
+
+def _looked_up(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """The index entries of different pairs of a key and a number."""
+    index = spark.read.parquet(f"{path}/index")
     kind = asked.schema["key"].dataType.simpleString()
     head = index.select("parts").first()
     parts = head[0] if head else 1
-    asked = asked.select(
-        F.pmod(F.xxhash64("key", F.lit(3)), F.lit(parts)).alias("part"), "key", *_hashes("key")
-    )
-    schema = f"key {kind}, shard int, offset long, n_tokens long, rows long"
+    asked = asked.select(_part("key", "nth", parts), "key", "nth", *_hashes("key", "nth"))
+    schema = f"key {kind}, nth long, shard int, segment int, place long, n_tokens long, rows long"
     out = arrow_schema(schema)
 
     def one(want: pa.Table, have: pa.Table) -> pa.Table:
@@ -199,24 +242,26 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
         prints = want["print"].to_numpy().astype(np.int32).view(np.uint32)
         found = (slots >= 0) & (entries["print"][slots] == prints)
         at = entries[slots[found]]
+        mask = pa.array(found)
         return pa.table(
-            [want["key"].filter(pa.array(found))]
-            + [pa.array(at[n]) for n in ("shard", "offset", "n_tokens", "rows")],
+            [want["key"].filter(mask), want["nth"].filter(mask)] + [pa.array(at[n]) for n in PLACE],
             schema=out,
         )
 
-    found = asked.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(one, schema)
-    return found.select(F.col("key").alias(key), "shard", "offset", "n_tokens", "rows")
+    return asked.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(one, schema)
 
 
 def stored_digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """Key, shard, offset, n_tokens and ids_crc32 of each document, from the payload.
+    """Key, shard, segment, place in it, offset in the shard, n_tokens and ids_crc32 of each
+    document, from the payload.
 
     The checksum is of the ids as 32-bit little-endian integers, whatever their width.
     """
     ids = spark.read.parquet(f"{path}/ids")
     kind = ids.schema["keys"].dataType.elementType.simpleString()
-    schema = f"key {kind}, shard int, offset long, n_tokens long, ids_crc32 long"
+    schema = (
+        f"key {kind}, shard int, segment int, place long, offset long, n_tokens long, ids_crc32 long"
+    )
 
     out = arrow_schema(schema)
 
@@ -236,6 +281,8 @@ def stored_digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
                     [
                         batch["keys"][row].values,
                         pa.array(np.full(n, batch["shard"][row].as_py(), np.int32)),
+                        pa.array(np.full(n, batch["segment"][row].as_py(), np.int32)),
+                        pa.array(ends - lengths),
                         pa.array(batch["before"][row].as_py() + ends - lengths),
                         pa.array(lengths),
                         pa.array(sums, pa.int64()),
@@ -243,7 +290,8 @@ def stored_digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
                     schema=out,
                 )
 
-    rows = ids.select("shard", "before", "keys", "lengths", "width", "ids").mapInArrow(task, schema)
+    columns = ids.select("shard", "segment", "before", "keys", "lengths", "width", "ids")
+    rows = columns.mapInArrow(task, schema)
     return rows.select(F.col("key").alias(key), *rows.columns[1:])
 
 
@@ -258,21 +306,17 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """Key and ids (array) of the first stored row of each asked key, through the index.
 
-    Only segments that hold an asked document are taken from the payload.
+    The index names the segment, so each place meets one row of the payload.
     """
-    ids = spark.read.parquet(f"{path}/ids").select(
-        "shard", "before", "width", "ids", _total("lengths").alias("size")
-    )
+    ids = spark.read.parquet(f"{path}/ids").select("shard", "segment", "width", "ids")
     found = lookup(spark, path, keys, key).withColumnRenamed(key, "key")
-    past = F.col("offset") - F.col("before")
-    inside = (past >= 0) & (past < F.col("size"))
     kind = found.schema["key"].dataType.simpleString()
-    cut = found.join(ids, "shard").where(inside).select(
+    cut = found.join(ids, ["shard", "segment"]).select(
         "key",
         "width",
         F.substring(
             "ids",
-            (past * F.col("width") + 1).cast("int"),
+            (F.col("place") * F.col("width") + 1).cast("int"),
             (F.col("n_tokens") * F.col("width")).cast("int"),
         ).alias("ids"),
     )

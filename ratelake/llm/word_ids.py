@@ -20,8 +20,10 @@ from ratelake.llm.token_counts import byte_characters
 
 CACHED_WORDS = 900_000
 _LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
-#: A comma or full stop that belongs to a longer run of signs.
-_IN_RUN = re.compile(r"[,.] (?<=[^\w\s]..|_..)").search
+#: A comma or full stop after anything but a letter or digit that normalising leaves alone.
+#: Elsewhere the sign may join what stands before it: a run of signs, or the mark that a
+#: letter ends in once it is decomposed or made lower case.
+_JOINED = re.compile("[,.] (?<![0-9a-zA-ZÀ-ÖØ-öø-ÿ]..)").search
 
 
 class WordEncoder:
@@ -58,7 +60,7 @@ class WordEncoder:
         if not text:
             return b""
         text = text.replace("\n", " ")
-        if not _IN_RUN(text):
+        if not _JOINED(text):
             text = text.replace(", ", " , ").replace(". ", " . ")
         return b"".join(map(self.words.__getitem__, text.split(" ")))
 

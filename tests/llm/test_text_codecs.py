@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from tokenizers import Tokenizer
 from ratelake.llm.key_index import build, slots_of
 from ratelake.llm.piece_codec import MergeEncoder, encode_decode, encode_decode_digests
 from ratelake.llm.token_counts import PairMerger, token_counts
-from ratelake.llm.token_store import lookup, read_ids, shard_starts, stored_digests, write_store
+from ratelake.llm import token_store
+from ratelake.llm.queries import indexed_digests
+from ratelake.llm.token_store import lookup, lookup_rows, read_ids, shard_starts, stored_digests, write_store
 from ratelake.llm.word_ids import WordEncoder
 from ratelake.sources.shared import shared_folder
 
@@ -77,6 +80,67 @@ def test_word_ids_equal_the_library():
         assert got == library.encode(text, add_special_tokens=False).ids, text
 
 
+#: Characters that change before a sign: composed letters that NFC takes apart, letters whose
+#: lower case ends in a mark, marks, and controls that are white space to some only.
+CHANGING = [chr(c) for c in range(0x958, 0x960)] + ["İ", "\ufb2e", "\ufb1d", "ड़", "é", "ﬁ", "ß"]
+CHANGING += ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u0301", "\u0307", "½", "²", "٣", "ª", "º", "µ"]
+
+
+def test_word_ids_before_signs_equal_the_library():
+    encoder, library = WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = [f"al{c}{sign} b{sign} {c}{sign} x" for c in CHANGING + PARTS for sign in ",."]
+    texts += ["ALİ, b", "पहाड़, b. पढ़. ", ", b", ". , .", "a_, b", "a), b", "१, २. ३"]
+    rng = random.Random(4)
+    pieces = CHANGING + PARTS + [", ", ". ", ", ", ". ", "word", "Ünïcode", "9"]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(20000)]
+    for text in texts:
+        got = np.frombuffer(encoder.encode(text), encoder.kind).tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_the_result_comes_through_the_index(spark, docs):
+    """All rows of all keys are found; an index with other places gives another result."""
+    path = shared_folder(spark, "store")
+    write_store(docs, path, WORDS)
+    got = indexed_digests(spark, path, docs).collect()
+    assert len(got) == len(ROWS)
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert [s for s, _ in starts] == np.cumsum([0] + [n for _, n in starts])[:-1].tolist()
+    assert sorted(r.nth for r in lookup_rows(spark, path, docs.where("doc_id = 3")).collect()) == [0, 1, 2]
+    wrong = shared_folder(spark, "store")
+    spark.read.parquet(f"{path}/ids").write.parquet(f"{wrong}/ids")
+
+    def moved(batches):
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            entries = [np.frombuffer(x.as_py(), token_store._ENTRY).copy() for x in columns["entries"]]
+            for entry in entries:
+                entry["place"] += 1
+            columns["entries"] = pa.array([x.tobytes() for x in entries], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    index = spark.read.parquet(f"{path}/index")
+    index.mapInArrow(moved, index.schema).write.parquet(f"{wrong}/index")
+    other = indexed_digests(spark, wrong, docs).collect()
+    assert len(other) < len(got) and not {(r.doc_id, r.start) for r in got} & {
+        (r.doc_id, r.start) for r in other
+    }
+
+
+def test_many_rows_of_a_key_over_shards(spark, monkeypatch):
+    """A third of the rows share a key; each has its own place."""
+    docs = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 7, id) as doc_id", "concat('text ', id % 11) as text"
+    )
+    path = shared_folder(spark, "store")
+    write_store(docs, path, WORDS)
+    got = indexed_digests(spark, path, docs).collect()
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert len(starts) == 3000 == len(set(starts))
+    assert [s for s, _ in starts] == np.cumsum([0] + [n for _, n in starts])[:-1].tolist()
+    assert {r.rows_of_key for r in got} == {1, 1001}
+
+
 def test_store_round_trip(spark, docs):
     library = Tokenizer.from_file(WORDS)
     path = shared_folder(spark, "store")
