@@ -11,6 +11,7 @@ with most letters is the prediction.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -30,7 +31,7 @@ MOST_LANGUAGES = 512
 #: Words counted in a task before they are added to the buckets.
 COUNTED_WORDS = 300_000
 #: Words whose scores, and n-grams whose buckets, a worker remembers.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 500_000
 CACHED_GRAMS = 200_000
 #: Texts that are labelled in step.
 LABELLED_ROWS = 4096
@@ -65,7 +66,9 @@ SCRIPT_STARTS = (
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 _STARTS = [start for start, _ in SCRIPT_STARTS]
 _SCRIPT_AT = [SCRIPTS.index(name) for _, name in SCRIPT_STARTS]
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits (½, ②, Ⅷ) are word characters to a pattern, but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def spaced(text: str | None) -> str:
@@ -292,10 +295,12 @@ class _Labeller:
 
 def language_spans(
     docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text",
-    switch: float = SWITCH,
+    switch: float = SWITCH, with_text: bool = False,
 ) -> DataFrame:
     """Key, lang_pred, score (0 to 1) and spans (first word, words, language) of each row.
 
+    with_text returns the text too, so that it need not travel in the key.
+
     lang_pred has the most letters in the text; equal counts go to the first label in
     order. score is its share of the letters times the weight of the evidence for it over
     the whole text. A null text, one without letters and a model without languages give
@@ -304,7 +309,8 @@ def language_spans(
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 128 kB a language
     spans_kind = "array<struct<first:int,words:int,lang:string>>"
-    schema = keyed_schema(docs, key, f"lang_pred string, score double, spans {spans_kind}")
+    rest = f"lang_pred string, score double, spans {spans_kind}"
+    schema = keyed_schema(docs, key, rest + (", text string" if with_text else ""))
 
     def start():
         labeller = _Labeller(shared.value, switch)
@@ -337,7 +343,8 @@ def language_spans(
                         for a, b in zip(firsts, ends, strict=True)
                     ]
                 )
-            return {"key": part["key"], "lang_pred": preds, "score": scores, "spans": spans}
+            found = {"key": part["key"], "lang_pred": preds, "score": scores, "spans": spans}
+            return found | ({"text": part["text"]} if with_text else {})
 
         return one
 

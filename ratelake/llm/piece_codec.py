@@ -8,7 +8,8 @@ next shorter one if not, and steps back when none is left. A place that has fail
 fails always, since the tokens before it are unique; a bit field remembers those places.
 
 Signs that pieces have at their start only (blanks, most punctuation) cut a text into
-parts that are encoded apart; each Python worker remembers a fixed number of them. No row needs another: no shuffle.
+parts that are encoded apart; each Python worker remembers a fixed number of them. No
+row needs another: no shuffle.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ CUT = "\x01"
 #: A run of blanks with the word after it.
 _RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Parts of texts that a worker remembers, and token pairs.
-CACHED_PARTS = 1_200_000
-CACHED_PAIRS = 1_000_000
+CACHED_PARTS = 600_000
+CACHED_PAIRS = 500_000
 #: Places whose matches are held at a time while a long word is encoded.
 BLOCK = 4096
 

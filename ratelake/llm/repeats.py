@@ -281,8 +281,11 @@ def _unpacked(packed: list[bytes]) -> list[bytes]:
     return [unpack.decompress(data) for data in packed]
 
 
-def _regions(rows: DataFrame, again: HashFilter, length: int) -> DataFrame:
-    """hash, a, b, first and bytes of the runs of each text whose hash may occur twice.
+def _regions(
+    rows: DataFrame, again: HashFilter, length: int, hot: HashFilter | None, want_hot: bool
+) -> DataFrame:
+    """hash, a, b, first and bytes of the runs of each text whose hash may occur twice, and
+    which is in ``hot`` or not.
 
     A task sends equal texts once. Texts that tasks send again only add places to regions
     that repeat anyway.
@@ -301,7 +304,10 @@ def _regions(rows: DataFrame, again: HashFilter, length: int) -> DataFrame:
             if len(sent) > SENT_TEXTS:
                 sent.clear()
             for text, key, first, starts, _ in runs(texts, length, False):
-                some = np.flatnonzero(again.may_hold(key))
+                chosen = again.may_hold(key)
+                if hot is not None:
+                    chosen &= hot.may_hold(key) == want_hot
+                some = np.flatnonzero(chosen)
                 lows, highs = first[some].tolist(), (first + starts + length - 1)[some].tolist()
                 of = text[some].tolist()
                 columns = [
@@ -328,16 +334,15 @@ def repeated_spans(
     counted = counted.groupBy("hash").agg(F.sum("places").alias("places"), F.count("*").alias("n"))
     again = staged_rows(counted.where("places > 1").select("hash", "n"), "hashes")
     copies = staged_rows(rows.groupBy("a", "b").agg(F.count("*").alias("copies")), "copies")
-    regions = _regions(rows, HashFilter(again, "hash"), length)
-
-    hot = again.where(F.col("n") > shard_runs).select("hash")
-    if hot.isEmpty():
-        spans = _shards(regions, length)
-    else:
-        regions = staged_rows(regions, "regions")
-        spans = _shards(regions.join(hot, "hash", "left_anti"), length)
-        hot_regions = regions.join(hot, "hash", "left_semi").dropDuplicates(["a", "b", "first"])
-        strings = staged_rows(_strings(hot_regions, length), "strings")
+    wanted = HashFilter(again, "hash")
+    frequent = again.where(F.col("n") > shard_runs).select("hash")
+    # Each hash goes one way, by its bit alone; both ways are exact for any hash.
+    hot = None if frequent.isEmpty() else HashFilter(frequent, "hash")
+    spans = _shards(_regions(rows, wanted, length, hot, False), length)
+    if hot is not None:
+        # Of a text that several tasks send, which has copies, every string does occur twice.
+        regions = _regions(rows, wanted, length, hot, True)
+        strings = staged_rows(_strings(regions, length), "strings")
         twice = strings.groupBy("x", "y").count().where("count > 1").select("x", "y")
         ends = (F.col("first") + length).alias("last")
         spans = spans.unionByName(strings.join(twice, ["x", "y"]).select("a", "b", "first", ends))
@@ -349,7 +354,7 @@ def repeated_spans(
 
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
-    shard_runs: int = SHARD_RUNS,
+    shard_runs: int = SHARD_RUNS, whole_characters: bool = False,
 ) -> DataFrame:
     """Key, kept (the bytes left), n_bytes, n_removed and removed (spans) of each row.
 
@@ -358,7 +363,8 @@ def remove_repeats(
     texts. A null text is empty and keeps a null-free empty value; a row with a repeated
     key is a text of its own; equal texts of at least that length lose all their bytes;
     an empty table gives no rows; other columns are not read. Texts of any length are
-    taken whole, hashed in blocks.
+    taken whole, hashed in blocks. whole_characters widens each cut to the characters that
+    it would split, so that what is left is text.
     """
     rows = _identified(docs, key, text)
     found = staged_rows(repeated_spans(docs, key, text, length, shard_runs), "repeats")
@@ -377,6 +383,8 @@ def remove_repeats(
                     cuts = [(0, len(data))]
                 else:
                     cuts = _joined([(x["first"], x["last"]) for x in found or ()])
+                if whole_characters:
+                    cuts = _joined([_widened(data, low, high) for low, high in cuts])
                 sizes.append(len(data))
                 gone.append(sum(high - low for low, high in cuts))
                 spans.append([{"first": low, "last": high} for low, high in cuts])
@@ -416,6 +424,15 @@ def remove_repeats(
     return out.select(F.col("key").alias(key), *out.columns[1:])
 
 
+def _widened(data: bytes, low: int, high: int) -> tuple[int, int]:
+    """A span of UTF-8 bytes that begins and ends between characters."""
+    while low > 0 and data[low] & 0xC0 == 0x80:
+        low -= 1
+    while high < len(data) and data[high] & 0xC0 == 0x80:
+        high += 1
+    return low, high
+
+
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of what the spans cover; touching ones are one."""
     out: list[tuple[int, int]] = []

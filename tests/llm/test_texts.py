@@ -356,5 +356,44 @@ def test_pipeline_on_odd_rows(spark):
         assert kept.count() == (2 if frame is docs else 0)
 
 
+def test_stages_on_clashing_names_and_maps(spark):
+    """Columns named as the stages' own, a map, and equal rows with other columns apart."""
+    words = "the garden of the king and the house by the river"
+    docs = spark.sql(f"""
+        select cast(id as bigint) as doc_id, text, 'en' as lang, source,
+          map('k', source) as extra, 'a' as __mark, 'b' as __tie, 'c' as mark, 'd' as row
+        from values (1, '{words} one', 'z'), (1, '{words} one', 'a'), (2, 'another text \ufffd of it', 's'),
+          (3, '{"é" * 150} ends', 's'), (4, 'é{"é" * 150} ends otherwise', 's') as t(id, text, source)""")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.staged_rows(stage(spark, kept, SF), name)
+        assert kept.columns == docs.columns, name
+    rows = {r.doc_id: r for r in kept.collect()}
+    # Of rows with equal id and text the one whose other columns come first stays.
+    assert kept.where("doc_id = 1").count() == 1 and rows[1].source == "a"
+    assert rows[1].extra == {"k": "a"} and rows[1]["__mark"] == "a"
+    assert rows[2].text == "another text \ufffd of it"
+
+
+def test_a_text_in_three_languages_stays(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    parts = {
+        lang: docs.where(f"lang = '{lang}' and length(text) > 3000").orderBy("doc_id").first().text
+        for lang in ("en", "fr", "de")
+    }
+    mixed = " ".join(text[:1000] for text in parts.values())
+    row = docs.limit(1).selectExpr("-5L as doc_id", f"'{mixed}' as text", "lang", "source", "n_chars")
+    out = corpus_pipeline.identify_language(spark, docs.unionByName(row), SF)
+    assert out.where("doc_id = -5").count() == 1
+
+
+def test_numbers_are_no_letters(spark):
+    model = learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = ["½ ²", "①②", "Ⅷ", "12", "½ a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language_spans(docs, model).collect()}
+    assert [found[i] == "und" for i in range(5)] == [True, True, True, True, False]
+
+
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registered()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registered()) == list(range(1, 14))
