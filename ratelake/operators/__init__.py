@@ -4,6 +4,12 @@ from ratelake.operators.anomalies import flag_anomalies
 from ratelake.operators.changes import delete_gate, detect_changes, has_deletes
 from ratelake.operators.clean import clean_rates, drop_report, in_range, valid_days
 from ratelake.operators.coverage import coverage_gaps, coverage_report, coverage_summary
+from ratelake.operators.digests import (
+    detect_changes_by_digest,
+    differing_cells,
+    month_digests,
+    stored_digests,
+)
 from ratelake.operators.events import to_events
 from ratelake.operators.merge import live_rows, merge_changes
 from ratelake.operators.metrics import rolling_metrics
@@ -25,6 +31,8 @@ __all__ = [
     "currency_dimension",
     "delete_gate",
     "detect_changes",
+    "detect_changes_by_digest",
+    "differing_cells",
     "dimension",
     "drop_report",
     "fact_rates",
@@ -34,8 +42,10 @@ __all__ = [
     "in_range",
     "live_rows",
     "merge_changes",
+    "month_digests",
     "monthly_summary",
     "rolling_metrics",
+    "stored_digests",
     "to_events",
     "valid_days",
 ]

@@ -26,6 +26,12 @@ from ratelake.operators import (
     to_events,
     valid_days,
 )
+from ratelake.operators.digests import (
+    CELL,
+    detect_changes_by_digest,
+    differing_cells,
+    stored_digests,
+)
 from ratelake.operators.metrics import LONG_FRAME, calendar_month, chunk_tails, last_of
 from ratelake.schemas import CHANGES, DELETE, KEYS, PAIR, RATES
 from ratelake.sources.documents import (
@@ -39,6 +45,7 @@ from ratelake.sources.documents import (
 from ratelake.sources.event_files import write_events
 from ratelake.sources.shared import staged, staged_at
 from ratelake.sources.tables import (
+    DIGESTS,
     Month,
     in_months,
     keep_scope,
@@ -54,8 +61,6 @@ from ratelake.sources.tables import (
     with_month,
 )
 
-#: What an increment computes: a month of a pair.
-CELL = (*PAIR, "year", "month")
 #: Touched pairs up to which their names are given to the scans.
 MOST_PAIRS = 1000
 
@@ -65,7 +70,8 @@ class Tables:
     """Names of the stored tables.
 
     ``tails`` holds, for each pair and month, the rows before it that its first frames
-    reach back to, so that one month of one pair can be computed from itself.
+    reach back to, so that one month of one pair can be computed from itself. ``digests``
+    holds those of the base table's months, once a batch has asked for them.
     """
 
     base: str
@@ -74,10 +80,12 @@ class Tables:
     anomalies: str
     quality: str
     tails: str = ""
+    digests: str = ""
 
     def __post_init__(self):
-        if not self.tails:
-            object.__setattr__(self, "tails", f"{self.enriched}_tails")
+        for name, default in (("tails", self.enriched), ("digests", self.base)):
+            if not getattr(self, name):
+                object.__setattr__(self, name, f"{default}_{name}")
 
     @classmethod
     def in_database(cls, database: str) -> Tables:
@@ -127,6 +135,7 @@ def run_batch(
     transactions: DataFrame | None = None,
     customers: DataFrame | None = None,
     events_path: str | None = None,
+    compare: str = "rows",
 ) -> Batch:
     """Bring the tables up to date with the documents of one date range.
 
@@ -148,6 +157,10 @@ def run_batch(
     whole, and anomalies are appended. A set of tables keeps to one scope; another one
     is refused.
 
+    ``compare="rows"`` compares every row of the range with the stored one. ``"digests"``
+    keeps digests of each pair's months beside the base table and reads only months that
+    differ, at the risk of a collision of two 64-bit hash sums.
+
     A batch that fails half way leaves notes on the base table. The next one, also one
     without changes, brings the derived tables up to date and publishes the quality rows
     and events that were left out. One writer at a time: the notes are not locked.
@@ -161,6 +174,8 @@ def run_batch(
         raise ValueError(f"scope must be 'history' or 'changes', not {scope!r}")
     if on_reject not in ("refuse", "skip"):
         raise ValueError(f"on_reject must be 'refuse' or 'skip', not {on_reject!r}")
+    if compare not in ("rows", "digests"):
+        raise ValueError(f"compare must be 'rows' or 'digests', not {compare!r}")
     spark = documents.sparkSession
     exists = spark.catalog.tableExists(tables.base)
     if exists:
@@ -182,7 +197,11 @@ def run_batch(
         # Nothing came in at all. That is no reason to delete what is stored.
         return Batch("no_documents", rejects=rejects)
     stored = spark.table(tables.base) if exists else None
-    found = detect_changes(incoming, stored, lo=lo, hi=hi, run_ts=run_ts, tombstones=tombstones)
+    options = {"lo": lo, "hi": hi, "run_ts": run_ts, "tombstones": tombstones}
+    if exists and compare == "digests" and spark.catalog.tableExists(tables.digests):
+        found = _differing(spark, tables, incoming, options)
+    else:
+        found = detect_changes(incoming, stored, **options)
     if damaged:
         found = _without_doubtful_deletes(found, rejects)
     # The plan of the changes reads the table that the merge rewrites.
@@ -210,7 +229,14 @@ def run_batch(
         if events_path is not None:
             left.setdefault("events", []).append(changes_path)
         note_unpublished(spark, tables.base, left)
+    keeps_digests = compare == "digests" or spark.catalog.tableExists(tables.digests)
+    if keeps_digests:
+        # Until the digests follow, these months are compared row by row.
+        doubt = {*months, *pending_months(spark, tables.base, DIGESTS)}
+        note_pending(spark, tables.base, doubt, DIGESTS)
     load(changes, tables.base, "merge_cdc", revive=tombstones == "strict")
+    if keeps_digests:
+        _refresh_digests(spark, tables, changes, sorted(doubt))
     if deletes and on_delete == "stop":
         return Batch("base_only", changes, has_deletes=True, rejects=rejects)
 
@@ -235,6 +261,34 @@ def run_batch(
     )
 
 
+def _differing(spark: SparkSession, tables: Tables, incoming: DataFrame, options: dict) -> DataFrame:
+    """The changes, from the months of pairs whose digests differ."""
+    lo, hi = options["lo"], options["hi"]
+    doubt = pending_months(spark, tables.base, DIGESTS)
+    new = with_month(incoming)
+    cells = differing_cells(
+        new, spark.table(tables.digests), lo, hi, options["tombstones"], in_doubt=doubt
+    )
+    cells = staged(cells, "differing")
+    return detect_changes_by_digest(new, spark.table(tables.base), cells, months_of(cells), **options)
+
+
+def _refresh_digests(
+    spark: SparkSession, tables: Tables, changes: DataFrame, months: list[Month]
+) -> None:
+    """Bring the digests of the changed months up to date, and of those left in doubt."""
+    base = spark.table(tables.base)
+    if not spark.catalog.tableExists(tables.digests):
+        load(stored_digests(base), tables.digests, "append")
+    else:
+        left = pending_months(spark, tables.base, DIGESTS)
+        cells = changes.select(*CELL).unionByName(in_months(base, left).select(*CELL)).distinct()
+        cells = staged(cells, "touched")
+        rows = in_months(base, months).join(cells, [*CELL], "left_semi")
+        _replace_cells(stored_digests(rows), tables.digests, cells, months)
+    note_pending(spark, tables.base, [], DIGESTS)
+
+
 def _without_doubtful_deletes(changes: DataFrame, rejects: DataFrame) -> DataFrame:
     """The changes without DELETEs of keys that the rejected input may have held."""
     if not rejects.filter(F.col("problem") == UNREADABLE).isEmpty():

@@ -333,6 +333,15 @@ def statements() -> dict[str, str]:
           from ticks group by "date", base, target""",
         "cdc_changes": "with" + _changes() + _CHANGE_VIEW,
         "cdc_changes_in_range": "with" + _changes(within=_IN_LO_HI) + _CHANGE_VIEW,
+        "cdc_changes_by_digest": "with" + _changes(within=_IN_LO_HI) + _CHANGE_VIEW,
+        "month_digests": "with"
+        + _snapshots(tombstones=True)
+        + """, kinds as (
+          select base, target, "date", false as live from stored union all
+          select base, target, "date", true from stored where operation_type <> 'DELETE')
+        select base, target, substr("date", 1, 4)::int as "year",
+          substr("date", 6, 2)::int as "month", live, count(*) as n
+        from kinds group by all""",
         "cdc_initial_load": with_rates
         + f""" select "date", base, target, base_amount, round(rate, 6) as rate,
           sha256(rate::decimal(18,6)::varchar) as row_hash, 'INSERT' as operation_type,

@@ -15,6 +15,8 @@ from ratelake.operators import (
     coverage_summary,
     delete_gate,
     detect_changes,
+    detect_changes_by_digest,
+    differing_cells,
     dimension,
     drop_report,
     fact_rates,
@@ -25,6 +27,7 @@ from ratelake.operators import (
     merge_changes,
     monthly_summary,
     rolling_metrics,
+    stored_digests,
     to_events,
 )
 from ratelake.plans.batch import Batch, Tables, run_batch
@@ -56,7 +59,7 @@ from ratelake.sources.documents import (
 )
 from ratelake.sources.event_files import write_events
 from ratelake.sources.shared import shared_folder, staged
-from ratelake.sources.tables import load
+from ratelake.sources.tables import load, months_of, with_month
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -224,6 +227,31 @@ def query_cdc_changes_in_range(spark, sf_dir):
     return _change_view(_changes(spark, sf_dir, lo=LO, hi=HI))
 
 
+@query("cdc_changes_by_digest")
+def query_cdc_changes_by_digest(spark, sf_dir):
+    """What comes in differs from what is stored within the second range only; of the rest
+    the digests are equal, so only the range's months are read and joined."""
+    old, new = old_snapshot(spark, sf_dir), new_snapshot(spark, sf_dir)
+    inside = F.col("date").between(LO, HI)
+    incoming = with_month(old.filter(~inside).unionByName(new.filter(inside)))
+    name = f"{_database(spark, 'digests')}.rates"
+    stored, _ = load(stored_rows(old), name)
+    digests = staged(stored_digests(stored, decimal_text), "digests")
+    span = {"lo": FIRST_DAY, "hi": LAST_DAY, "as_text": decimal_text}
+    cells = staged(differing_cells(incoming, digests, **span), "differing")
+    changes = detect_changes_by_digest(
+        incoming, stored, cells, months_of(cells), run_ts=SECOND_RUN, **span
+    )
+    return _change_view(changes)
+
+
+@query("month_digests")
+def query_month_digests(spark, sf_dir):
+    """How many rows each digest covers, with tombstones and without; no row is in two."""
+    stored = with_month(stored_rows(old_snapshot(spark, sf_dir), with_tombstones=True))
+    return stored_digests(stored).select(*PAIR, "year", "month", "live", "n")
+
+
 @query("cdc_initial_load")
 def query_cdc_initial_load(spark, sf_dir):
     return _change_view(_first_load(spark, sf_dir))

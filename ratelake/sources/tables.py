@@ -25,7 +25,7 @@ from ratelake.sources.shared import folders_older_than, remove_folder, staged
 
 PARTITIONS = ("year", "month")
 MODES = ("append", "merge_cdc", "overwrite_partitions")
-_PENDING = "ratelake.pending_months"
+DERIVED, DIGESTS = "months", "digests"
 _SCOPE = "ratelake.scope"
 _UNPUBLISHED = "ratelake.unpublished"
 #: Folder of a table in which new versions of its months are written; no scan lists it.
@@ -123,8 +123,11 @@ def drop_months(spark: SparkSession, table: str, months: Iterable[Month]) -> Non
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(gone)}")
 
 
-def note_pending(spark: SparkSession, table: str, months: Iterable[Month]) -> None:
-    """Note on a table the months that other tables have yet to follow.
+def note_pending(
+    spark: SparkSession, table: str, months: Iterable[Month], of: str = DERIVED
+) -> None:
+    """Note on a table the months that other tables have yet to follow: the DERIVED ones,
+    or its DIGESTS.
 
     Runs of months are noted by their ends, as metastores limit a property's length.
     """
@@ -134,7 +137,7 @@ def note_pending(spark: SparkSession, table: str, months: Iterable[Month]) -> No
             runs[-1][1] = number
         else:
             runs.append([number, number])
-    _note(spark, table, _PENDING, ",".join(f"{first}:{last}" for first, last in runs))
+    _note(spark, table, f"ratelake.pending_{of}", ",".join(f"{first}:{last}" for first, last in runs))
 
 
 def _note(spark: SparkSession, table: str, key: str, text: str) -> None:
@@ -165,9 +168,9 @@ def unpublished(spark: SparkSession, table: str) -> dict[str, list[str]]:
     return json.loads(_noted(spark, table, _UNPUBLISHED) or "{}")
 
 
-def pending_months(spark: SparkSession, table: str) -> list[Month]:
+def pending_months(spark: SparkSession, table: str, of: str = DERIVED) -> list[Month]:
     """The months noted by :func:`note_pending`."""
-    text = _noted(spark, table, _PENDING)
+    text = _noted(spark, table, f"ratelake.pending_{of}")
     runs = [[int(end) for end in run.split(":")] for run in text.split(",") if run]
     numbers = [number for first, last in runs for number in range(first, last + 1)]
     return [(number // 12, number % 12 + 1) for number in numbers]
