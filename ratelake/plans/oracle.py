@@ -421,6 +421,16 @@ def statements() -> dict[str, str]:
         + " select base, target,"
         + _REPORT_VIEW
         + " where is_missing",
+        "coverage_from_bitmaps": with_rates + "," + _calendar() + " select" + _REPORT_VIEW,
+        "coverage_from_bitmaps_by_pair": with_rates
+        + ","
+        + _calendar("base, target,")
+        + " select base, target,"
+        + _REPORT_VIEW,
+        "days_covered": with_rates
+        + """ select base, target, count(distinct "date") as days from rates group by all""",
+        "monthly_summary_merged": both_batches + _LIVE + _monthly("live"),
+        "monthly_summary_of_inserts": with_rates + _monthly("rates"),
         "newest_dq_rows": with_rates
         + ","
         + _calendar()

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ratelake.operators import (
     clean_rates,
     convert_transactions,
+    coverage_from_bitmaps,
     coverage_gaps,
     coverage_report,
     coverage_summary,
+    day_bitmaps,
+    days_covered,
     delete_gate,
     detect_changes,
     detect_changes_by_digest,
@@ -24,11 +27,16 @@ from ratelake.operators import (
     flag_anomalies,
     in_range,
     live_rows,
+    merge_bitmaps,
     merge_changes,
+    merge_moments,
+    monthly_moments,
     monthly_summary,
     rolling_metrics,
     stored_digests,
+    summary_of,
     to_events,
+    updated_moments,
 )
 from ratelake.plans.batch import Batch, Tables, run_batch
 from ratelake.plans.order_rates import (
@@ -407,6 +415,27 @@ def query_monthly_summary(spark, sf_dir):
     return _summary_view(monthly_summary(rates(spark, sf_dir)))
 
 
+@query("monthly_summary_merged")
+def query_monthly_summary_merged(spark, sf_dir):
+    """The summary after a batch of inserts, updates and deletes, from stored states."""
+    stored = stored_rows(old_snapshot(spark, sf_dir))
+    states = staged(monthly_moments(stored), "moments")
+    changes = staged(with_month(_changes(spark, sf_dir, lo=LO, hi=HI)), "changes")
+    live = with_month(live_rows(merge_changes(stored, changes)))
+    return _summary_view(summary_of(updated_moments(states, changes, live)))
+
+
+@query("monthly_summary_of_inserts")
+def query_monthly_summary_of_inserts(spark, sf_dir):
+    """Two batches of inserts: their states are merged, no stored row is read."""
+    late = F.col("priority") == "1-URGENT"
+    first, second = (
+        staged(monthly_moments(rates(spark, sf_dir).filter(part)), "moments")
+        for part in (~late, late)
+    )
+    return _summary_view(summary_of(merge_moments(first, second)))
+
+
 @query("monthly_summary_sorted")
 def query_monthly_summary_sorted(spark, sf_dir):
     """The reading order: year, month, currency."""
@@ -460,6 +489,32 @@ def query_coverage_gaps(spark, sf_dir):
     return _report_view(coverage_gaps(rates(spark, sf_dir), by=PAIR), *PAIR)
 
 
+def _bitmaps_of_two_batches(spark, sf_dir) -> DataFrame:
+    """The days of both snapshots, each stored as a batch left them, then merged."""
+    first, second = (
+        staged(day_bitmaps(snapshot(spark, sf_dir)), "bitmaps")
+        for snapshot in (old_snapshot, new_snapshot)
+    )
+    return staged(merge_bitmaps(first, second), "bitmaps")
+
+
+@query("coverage_from_bitmaps")
+def query_coverage_from_bitmaps(spark, sf_dir):
+    """The report over all history from merged bitmaps of days, for all pairs together."""
+    return _report_view(coverage_from_bitmaps(_bitmaps_of_two_batches(spark, sf_dir)))
+
+
+@query("coverage_from_bitmaps_by_pair")
+def query_coverage_from_bitmaps_by_pair(spark, sf_dir):
+    report = coverage_from_bitmaps(_bitmaps_of_two_batches(spark, sf_dir), by=PAIR)
+    return _report_view(report, *PAIR)
+
+
+@query("days_covered")
+def query_days_covered(spark, sf_dir):
+    return days_covered(_bitmaps_of_two_batches(spark, sf_dir))
+
+
 @query("newest_dq_rows")
 def query_newest_dq_rows(spark, sf_dir):
     report = coverage_report(rates(spark, sf_dir))
