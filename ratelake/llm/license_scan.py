@@ -2,8 +2,8 @@
 
 Words that occur once in a stretch of text and once in a template are anchors; the longest
 increasing subsequence of their places is kept, equal words next to anchors join them, and
-the gaps between are aligned the same way. The matched share of the template's words is
-its coverage.
+the gaps between are aligned the same way. A gap without such words takes the longest
+common subsequence. The matched share of the template's words is its coverage.
 
 A stretch of text is aligned only if it holds enough of the template's words, counted with
 their multiplicity, to reach the coverage asked for; that loses nothing and passes over
@@ -30,6 +30,8 @@ from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, slices
 LEAST_COVERAGE = 0.8
 #: A copy may hold other words in between: its stretch is at most so many times as long.
 STRETCH = 1.5
+#: Places that a copy may begin at, by the matches that put it there, looked at each time.
+SHIFTS = 3
 MOST_TEMPLATE_WORDS = 1_000_000
 
 #: The standard set: notices, file headers and texts of public licences, and the words of
@@ -89,6 +91,7 @@ def patience(text, template) -> list[tuple[int, int]]:
         )
         kept = [shared[i] for i in _increasing([x for _, x in shared])]
         if not kept:
+            found += _longest_common(text[a:b], template[c:d], a, c)
             continue
         at, ct, low = a, c, below
         for i, x in kept:
@@ -99,6 +102,31 @@ def patience(text, template) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _longest_common(ours, theirs, a: int, c: int) -> list[tuple[int, int]]:
+    """The places (from a and c on) of a longest common subsequence of a gap that has no
+    anchor: a bit for each word of ours, a row for each of theirs, read backwards."""
+    mask: dict = {}
+    for x, w in enumerate(ours):
+        mask[w] = mask.get(w, 0) | 1 << x
+    full = row = (1 << len(ours)) - 1
+    rows = []
+    for w in theirs:
+        hit = row & mask.get(w, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    pairs, x, i = [], len(ours), len(theirs)
+    while x and i:
+        if rows[i - 1] >> (x - 1) & 1:
+            x -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (x - 1) & 1:
+            x -= 1
+            pairs.append((a + x, c + i))
+    return pairs
+
+
 class _Templates:
     def __init__(self, texts: dict[str, str], telling: dict[str, list[str]], least: float):
         self.names = sorted(texts)
@@ -220,8 +248,8 @@ class _Templates:
                 enough = len(pairs) >= least and telling <= {j for _, j in pairs}
                 value = (enough, 3 * len(pairs) - over, first - last)
                 if best is None or value > most:
-                    shift, _ = Counter(i - j for i, j in pairs).most_common(1)[0]
-                    starts += [at + shift, at + first]
+                    shifts = Counter(i - j for i, j in pairs).most_common(SHIFTS)
+                    starts += [*(at + shift for shift, _ in shifts), at + first]
                     best, most = (len(pairs), at + first, at + last), value
         return best if best is not None and most[0] else None
 

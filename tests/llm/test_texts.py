@@ -13,7 +13,7 @@ import corpus_pipeline
 from ratelake.llm import quality_rules
 from ratelake.llm.decontamination import GAP, MATCH, MISMATCH, _count_words, align, contaminated, words_of
 from ratelake.llm.language_id import _Labeller, LanguageModel, in_holdout, language_spans, learn
-from ratelake.llm.license_scan import TELLING, TEMPLATES, patience, scan_licenses
+from ratelake.llm.license_scan import TELLING, TEMPLATES, _longest_common, _Templates, patience, scan_licenses
 from ratelake.llm.quality_rules import log_tail, quality_verdicts
 from ratelake.llm.queries import registered
 from ratelake.llm.url_filter import filter_captures
@@ -244,6 +244,41 @@ def test_patience_pairs_increase_and_match():
     assert patience("xxabcxx", "abc") == [(2, 0), (3, 1), (4, 2)]
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("words", [8, 12, 40])
+def test_exact_copies_are_never_lost(words):
+    """Copies of templates over few words, surrounded by their own words."""
+    rng = random.Random(words)
+    names = [f"w{i}" for i in range(words)]
+    scan = "w2 w7 w1 w10 w10 w4 w10 w5 w1 w5 w4 w7"
+    assert _Templates({"t": "w1 w10 w10 w4 w10 w5 w1 w5 w4"}, {}, 0.8).scan(scan)[0][1] == 1.0
+    for _ in range(1500):
+        template = [rng.choice(names) for _ in range(rng.randint(4, 40))]
+        before, after = ([rng.choice(names) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        (row,) = _Templates({"t": " ".join(template)}, {}, 0.8).scan(" ".join(before + template + after)) or [None]
+        assert row is not None and row[1] == 1.0, (template, before, after)
+
+
+def test_gaps_without_anchors_take_the_longest_common_subsequence():
+    rng = random.Random(9)
+    for _ in range(2000):
+        a = [rng.choice("xyz") for _ in range(rng.randint(0, 14))]
+        b = [rng.choice("xyz") for _ in range(rng.randint(0, 14))]
+        pairs = sorted(_longest_common(a, b, 5, 7))
+        assert all(a[x - 5] == b[i - 7] for x, i in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) == longest_common(a, b)
+
+
 def test_licences_in_any_row(spark):
     mit, whole = TEMPLATES["MIT-notice"], TEMPLATES["MIT-permission"]
     edited = whole.replace("free of charge, ", "").replace("Software", "Program", 2)
