@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits for each hash, and the most bits (32 MB), which larger tables share.
-BITS_EACH = 16
+BITS_EACH = 32
 MOST_BITS = 1 << 28
+#: A hash sets two bits: one by its low bits, one by the bits above these.
+_SECOND = 28
 
 
 class HashFilter:
@@ -25,10 +27,12 @@ class HashFilter:
         while bits < min(count * BITS_EACH, most_bits):
             bits *= 2
         self.mask = bits // 64 - 1
-        # The low bits: of hashes that are the least of several, the high ones are skewed.
-        word = F.shiftrightunsigned(F.col(column), 6).bitwiseAND(F.lit(self.mask)).alias("word")
-        bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
-        found = hashes.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+        # Not the highest bits: those of hashes that are the least of several are skewed.
+        both = F.array(F.col(column), F.shiftrightunsigned(F.col(column), _SECOND))
+        each = hashes.select(F.explode(both).alias("hash"))
+        word = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(self.mask)).alias("word")
+        bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
+        found = each.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
         words = np.zeros(self.mask + 1, np.int64)
         words[found["word"].to_numpy()] = found["bits"].to_numpy()
         self.words = hashes.sparkSession.sparkContext.broadcast(words.tobytes())
@@ -36,5 +40,8 @@ class HashFilter:
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         words = np.frombuffer(self.words.value, np.uint64)
         wide = hashes.view(np.uint64)
+        return self._set(words, wide) & self._set(words, wide >> np.uint64(_SECOND))
+
+    def _set(self, words: np.ndarray, wide: np.ndarray) -> np.ndarray:
         found = words[(wide >> np.uint64(6)).astype(np.int64) & self.mask]
         return (found >> (wide & np.uint64(63))) & np.uint64(1) == 1

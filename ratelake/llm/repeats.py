@@ -70,6 +70,10 @@ def _piece_hashes(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return whole
 
 
+def _pieces_of(data: bytes) -> np.ndarray:
+    return _piece_hashes(np.frombuffer(data, np.uint8), PIECE).view(np.int64)
+
+
 def _least(values: np.ndarray, size: int) -> np.ndarray:
     """The least of the size values from each place on."""
     width = 1
@@ -208,10 +212,16 @@ def _shards(regions: DataFrame, length: int) -> DataFrame:
         size, last = 0, None
 
         def close():
-            """The regions of one hash are complete: equal ones alone need no sorting."""
+            """The regions of one hash are complete: equal ones alone need no sorting, and
+            a single one none if its hash occurs once in it."""
             nonlocal size
-            if len(own) == 1 and len(next(iter(own.values()))) > 1:
-                alone.update(own)
+            if len(own) == 1:
+                ((data, places),) = own.items()
+                if len(places) > 1:
+                    alone.update(own)
+                elif np.count_nonzero(_pieces_of(data) == last) > 1:
+                    shard.update(own)
+                    size += len(data)
             else:
                 shard.update(own)
                 size += sum(map(len, own))

@@ -528,12 +528,17 @@ class PairTable:
             self.buckets[bucket] = (bytes(index), held, np.frombuffer(counts, "<i8"), bits)
 
     def look_up(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each pair, and whether it is its second id's highest."""
+        """The count of each pair, and whether it is its second id's highest; 0 and False
+        for a pair that the table does not hold, as the stored pair at its slot tells."""
         distinct, back = np.unique(pairs, return_inverse=True)
         counts, best = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
         for bucket, at in _by_bucket(distinct, self.mask):
+            if bucket not in self.buckets:
+                continue
             index, held, stored, bits = self.buckets[bucket]
-            slots = _verified(index, held, distinct[at])
+            slots = slots_of(index, *_hashes(distinct[at]))
+            known = (slots >= 0) & (held[slots] == distinct[at])
+            at, slots = at[known], slots[known]
             counts[at], best[at] = stored[slots], bits[slots]
         return counts[back], best[back]
 
@@ -551,7 +556,7 @@ class _Kept:
         self.clear()
 
     def clear(self):
-        self.numbers = np.zeros((0, 6), np.int64)
+        self.numbers = np.zeros((0, 7), np.int64)
         self.groups: list[str] = []
         self.links: list[np.ndarray] = []
 
@@ -560,9 +565,11 @@ class _Kept:
         columns = [a.tokens_a, a.tokens_b, a.groups, a.links]
         if self.pairs is not None:
             counts, best = self.pairs.look_up(a.pairs)
-            columns += [_sums(best.astype(np.int64), ends), _sums(counts, ends)]
+            # Words of texts without tokens are not in the table; no other text may miss any.
+            values = (best.astype(np.int64), counts, (counts == 0).astype(np.int64))
+            columns += [_sums(x, ends) for x in values]
         else:
-            columns += [np.zeros(len(ends), np.int64)] * 2
+            columns += [np.zeros(len(ends), np.int64)] * 3
             self.links += np.split(a.pairs, ends[:-1])
         self.numbers = np.concatenate([self.numbers, np.stack(columns, axis=1)])
         self.groups += a.texts
@@ -579,7 +586,9 @@ _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _described(kept: _Kept, documents: list[np.ndarray], whole: bool) -> dict[str, list]:
     """The columns of a slice's documents."""
-    numbers = np.array([kept.numbers[words].sum(axis=0) for words in documents]).reshape(-1, 6)
+    numbers = np.array([kept.numbers[words].sum(axis=0) for words in documents]).reshape(-1, 7)
+    if numbers[:, 6].any():
+        raise KeyError("a pair is not in the index")
     texts = [";".join([kept.groups[i] for i in words.tolist()]) for words in documents]
     columns = {name: numbers[:, i].tolist() for i, name in enumerate(_NUMBERS)}
     columns["groups_sha256"] = [sha256(t.encode()).hexdigest() if t else "" for t in texts]
@@ -713,6 +722,8 @@ def _looked_up_there(rows, pairs, paths, schema, whole, tasks_of_leaf) -> DataFr
                 if of != (r["bucket"], r["leaf"]):
                     raise AssertionError("each bucket's index comes before its pairs")
                 counts, best = table.look_up(np.frombuffer(r["linked"], v_kind))
+                if not counts.all():
+                    raise KeyError("a pair is not in the index")
                 times, places = np.frombuffer(r["times"], "<i8"), np.frombuffer(r["rows"], "<u4")
                 numbers, start = np.unique(places, return_index=True)
                 columns = {
