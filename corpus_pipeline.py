@@ -17,6 +17,7 @@ from ratelake.llm.piece_codec import encode_decode_digests
 from ratelake.llm.repeats import remove_repeats
 from ratelake.llm.rows import staged_rows, table
 from ratelake.llm.simhash import near_duplicates
+from ratelake.sources.shared import remove_folders, tracking
 
 #: Share of a document's letters, weighed with the evidence, below which it is rejected. Half
 #: the share counts if the prevailing language is not that of the evidence as a whole, so a
@@ -127,8 +128,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each on what the one before it wrote."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table, each on what the one before it wrote.
+
+    A stage's folders are removed once the next one is written; the last one's stays.
+    """
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = staged_rows(stage(spark, docs, sf_dir), name)
+        with tracking() as folders:
+            docs = staged_rows(stage(spark, docs, sf_dir), name)
+        # The stage's result is the last folder that it named.
+        remove_folders(spark, done + folders[:-1])
+        done = folders[-1:]
     return docs

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import reduce
 from operator import and_
@@ -43,7 +43,7 @@ from ratelake.sources.documents import (
     rejected,
 )
 from ratelake.sources.event_files import write_events
-from ratelake.sources.shared import staged, staged_at
+from ratelake.sources.shared import remove_folders, staged, staged_at, tracking
 from ratelake.sources.tables import (
     DIGESTS,
     Month,
@@ -108,7 +108,8 @@ class Batch:
     ``status``: "rejected" (the input has values or documents that cannot be used; no
     table was touched), "no_documents" (nothing came in), "no_changes", "base_only"
     (stopped at a DELETE) or "complete". ``rejects`` holds what cannot be used.
-    ``rates`` and ``report`` cover the batch's date range.
+    ``rates`` and ``report`` cover the batch's date range. ``folders``: the staged folders
+    that these DataFrames read; :func:`release` removes them.
     """
 
     status: str
@@ -117,6 +118,7 @@ class Batch:
     rates: DataFrame | None = None
     report: DataFrame | None = None
     rejects: DataFrame | None = None
+    folders: tuple[str, ...] = ()
 
 
 def run_batch(
@@ -167,7 +169,69 @@ def run_batch(
 
     The driver handles one small result, the changed months: at most twelve rows for
     each calendar year between ``lo`` and ``hi``.
+
+    Staged folders that neither the result nor a note needs are removed at the end; what a
+    failed batch leaves is for ``sweep_shared``.
     """
+    spark = documents.sparkSession
+    with tracking() as folders:
+        batch = _run_batch(
+            documents,
+            tables,
+            lo,
+            hi,
+            run_ts=run_ts,
+            on_delete=on_delete,
+            tombstones=tombstones,
+            scope=scope,
+            on_reject=on_reject,
+            tie_break=tie_break,
+            base=base,
+            transactions=transactions,
+            customers=customers,
+            events_path=events_path,
+            compare=compare,
+        )
+    mine = [path for path in folders if _batch_of(path).rsplit("-", 1)[0] in _READ_BY_RESULT]
+    remove_folders(spark, folders, keep=[*mine, *_noted_folders(spark, tables)])
+    return replace(batch, folders=tuple(mine))
+
+
+#: Staged folders that the DataFrames of a result read.
+_READ_BY_RESULT = ("flattened", "changes")
+
+
+def release(spark: SparkSession, tables: Tables, batch: Batch) -> None:
+    """Remove the staged folders of a batch whose DataFrames are not needed any more, but
+    for those that still are to be published."""
+    remove_folders(spark, batch.folders, keep=_noted_folders(spark, tables))
+
+
+def _noted_folders(spark: SparkSession, tables: Tables) -> list[str]:
+    """The staged folders that the next batch publishes from."""
+    if not spark.catalog.tableExists(tables.base):
+        return []
+    return [path for paths in unpublished(spark, tables.base).values() for path in paths]
+
+
+def _run_batch(
+    documents: DataFrame,
+    tables: Tables,
+    lo: str,
+    hi: str,
+    *,
+    run_ts: datetime | str | None,
+    on_delete: str,
+    tombstones: str,
+    scope: str,
+    on_reject: str,
+    tie_break: Sequence[str] | None,
+    base: str,
+    transactions: DataFrame | None,
+    customers: DataFrame | None,
+    events_path: str | None,
+    compare: str,
+) -> Batch:
     if on_delete not in ("stop", "continue"):
         raise ValueError(f"on_delete must be 'stop' or 'continue', not {on_delete!r}")
     if scope not in ("history", "changes"):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +19,61 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     Without that setting, a local session gets a temporary folder; on a cluster a
     machine's own folder would be lost with the machine, so there it is an error.
     """
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for folders in _TRACKED:
+        folders.append(path)
+    return path
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all shared folders are in."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_folder()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+#: The lists that are being kept of new folders.
+_TRACKED: list[list[str]] = []
+#: The name of a folder of :func:`shared_folder`; nothing else is ever swept.
+_OURS = re.compile(r"[\w-]+-[0-9a-f]{32}$")
+
+
+@contextmanager
+def tracking() -> Iterator[list[str]]:
+    """Keeps a list of the shared folders named while it lasts."""
+    folders: list[str] = []
+    _TRACKED.append(folders)
+    try:
+        yield folders
+    finally:
+        _TRACKED[:] = [one for one in _TRACKED if one is not folders]
+
+
+def remove_folders(spark: SparkSession, folders: Iterable[str], keep: Iterable[str] = ()) -> None:
+    """Remove shared folders, but for those to keep."""
+    kept = set(keep)
+    for path in folders:
+        if path not in kept:
+            remove_folder(spark, path)
+
+
+def sweep_shared(spark: SparkSession, hours: float = 72.0, keep: Iterable[str] = ()) -> list[str]:
+    """Remove shared folders that were last changed more than ``hours`` ago, as a crash
+    leaves them; returns them. Those to ``keep`` stay (what notes name), and so does every
+    folder with another kind of name. A job that is running has touched its folders since:
+    choose ``hours`` above the longest job.
+    """
+    kept = {path.rstrip("/").rsplit("/", 1)[-1] for path in keep}
+    gone = []
+    for path in folders_older_than(spark, shared_root(spark), hours):
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        if _OURS.match(name) and name not in kept:
+            remove_folder(spark, path)
+            gone.append(path)
+    return gone
 
 
 @cache

@@ -14,11 +14,11 @@ from ratelake.operators import (
     rolling_metrics,
 )
 from ratelake.operators.metrics import calendar_month, chunk_tails
-from ratelake.plans.batch import CELL, Tables, _by_month, affected_cells, rebuild, run_batch
+from ratelake.plans.batch import CELL, Tables, _by_month, affected_cells, rebuild, release, run_batch
 from ratelake.schemas import CHANGES, CUSTOMERS, RATES, TRANSACTIONS
 from ratelake.sources.documents import parse_documents, read_documents
-from ratelake.sources.shared import shared_folder, staged
-from ratelake.sources.tables import load, pending_months, with_month
+from ratelake.sources.shared import shared_folder, staged, sweep_shared
+from ratelake.sources.tables import load, pending_months, unpublished, with_month
 
 RUNS = [f"2026-06-{day:02d} 00:00:00" for day in range(1, 29)]
 
@@ -360,6 +360,40 @@ def scanned_rows(df, column):
     return total
 
 
+def test_staged_folders_have_an_end(spark, tables, tmp_path, monkeypatch):
+    """A batch leaves what its result reads and what notes name; release leaves the latter."""
+    monkeypatch.setattr("ratelake.sources.shared.shared_root", lambda _: str(tmp_path / "shared"))
+    span, events = ("2026-05-01", "2026-05-31"), str(tmp_path / "events")
+    rates = {("2026-05-06", "MXN"): 17.0, ("2026-05-08", "MXN"): 18.0}
+
+    def kinds():
+        return sorted(path.name.rsplit("-", 1)[0] for path in (tmp_path / "shared").iterdir())
+
+    batch = run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[0], events_path=events)
+    assert kinds() == ["changes", "flattened"] and batch.changes.count() == 2
+    release(spark, tables, batch)
+    assert kinds() == []
+    rates["2026-05-06", "MXN"] = 19.0
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("ratelake.plans.batch.rolling_metrics", fail)
+        with pytest.raises(RuntimeError):
+            run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[1], events_path=events)
+    noted = [path for paths in unpublished(spark, tables.base).values() for path in paths]
+    left = len(kinds())
+    assert len(noted) == 2 and left > 2
+    assert sweep_shared(spark, hours=1, keep=noted) == []
+    (tmp_path / "shared" / "of-another").mkdir()
+    assert len(sweep_shared(spark, hours=0, keep=noted)) == left - 2
+    assert kinds() == ["changes", "incoming", "of"]
+    release(spark, tables, run_batch(documents(spark, rates), tables, *span, run_ts=RUNS[2], events_path=events))
+    assert spark.read.json(events).count() == 3
+    same_as_full_recompute(spark, tables)
+
+
 def test_a_set_of_tables_keeps_its_scope(spark, tables):
     span = ("2026-05-01", "2026-06-30")
     rates = {("2026-05-06", "MXN"): 17.0, ("2026-06-06", "MXN"): 18.0}
