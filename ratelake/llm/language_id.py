@@ -11,7 +11,6 @@ with most letters is the prediction.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -31,7 +30,7 @@ MOST_LANGUAGES = 512
 #: Words counted in a task before they are added to the buckets.
 COUNTED_WORDS = 300_000
 #: Words whose scores, and n-grams whose buckets, a worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 600_000
 CACHED_GRAMS = 200_000
 #: Texts that are labelled in step.
 LABELLED_ROWS = 4096
@@ -66,9 +65,15 @@ SCRIPT_STARTS = (
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 _STARTS = [start for start, _ in SCRIPT_STARTS]
 _SCRIPT_AT = [SCRIPTS.index(name) for _, name in SCRIPT_STARTS]
-#: Numbers that are no digits (½, ②, Ⅷ) are word characters to a pattern, but no letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(word: str) -> list[str]:
+    """The runs of letters; ½, ② and Ⅷ are word characters to a pattern, but no letters."""
+    runs = _LETTERS.findall(word)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return "".join(c if c.isalpha() else " " for c in word).split()
 
 
 def spaced(text: str | None) -> str:
@@ -125,7 +130,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
             for lang, counter in words.items():
                 sums = counts.setdefault(lang, [0] * (BUCKETS + len(SCRIPTS)))
                 for word, n in counter.items():
-                    for run in _LETTERS.findall(word):
+                    for run in letter_runs(word):
                         sums[BUCKETS + script_of(run[0])] += n
                         for bucket in grams(run):
                             sums[bucket] += n
@@ -184,7 +189,7 @@ class _Labeller:
         letters, script, size, flat = [0] * n, [0] * n, [0] * n, []
         for i, word in enumerate(words):
             self.place[word] = self.used + i
-            runs = [word] if word.isalpha() else _LETTERS.findall(word)
+            runs = [word] if word.isalpha() else letter_runs(word)
             if runs:
                 # A word is of the script of its first letter.
                 script[i] = script_of(runs[0][0])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelake.llm.hash_filter import HashFilter
-from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_rows, slices, staged_rows
+from ratelake.llm.rows import arrow_schema, give_back, keyed_schema, keyed_text, map_rows, slices, staged_rows
 from ratelake.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -246,6 +246,8 @@ def _shards(regions: DataFrame, length: int) -> DataFrame:
             yield spans(shard)
         if alone:
             yield whole(alone)
+        shard.clear(), alone.clear()
+        give_back()
 
     dealt = regions.repartition("hash").sortWithinPartitions("hash")
     return dealt.mapInArrow(task, schema)

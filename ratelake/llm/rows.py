@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -74,6 +76,16 @@ class Remembered(dict):
         return value
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: a Python worker lives on,
+    and the next operator's task in it has memories of its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame,
     schema: str | StructType,
@@ -89,6 +101,11 @@ def map_rows(
 
     def task(batches):
         one = start()
+        yield from coded(one, batches)
+        del one
+        give_back()
+
+    def coded(one, batches):
         for part in slices(batches, rows):
             columns = one(part)
             if columns is not None and len(next(iter(columns.values()))):
