@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.rows import Remembered, arrow_schema, keyed_schema, keyed_text, map_rows, slices
+from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_rows, slices
 
 #: Buckets of n-grams; the model holds languages x buckets counts.
 BUCKETS = 1 << 15
@@ -29,12 +29,14 @@ BUCKETS = 1 << 15
 MOST_LANGUAGES = 512
 #: Words counted in a task before they are added to the buckets.
 COUNTED_WORDS = 300_000
-#: Words whose scores, and n-grams whose buckets, a worker remembers.
+#: Words whose scores a task remembers.
 CACHED_WORDS = 600_000
-CACHED_GRAMS = 200_000
+#: Letters of the words whose n-grams are hashed at once.
+HASHED_LETTERS = 250_000
 #: Texts that are labelled in step.
 LABELLED_ROWS = 4096
-#: Words times languages of the mixed texts that are labelled together.
+#: Words times languages of the mixed texts that are labelled together, and n-grams times
+#: languages of the words that are scored together.
 CELLS = 8_000_000
 #: Cost of a change of language between two words, in nats, and n-gram weight: the
 #: n-grams of a word overlap, so their evidence is divided.
@@ -63,13 +65,17 @@ SCRIPT_STARTS = (
     (0xFFE0, "Other"), (0x20000, "Han"), (0x32000, "Other"),
 )
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
-_STARTS = [start for start, _ in SCRIPT_STARTS]
-_SCRIPT_AT = [SCRIPTS.index(name) for _, name in SCRIPT_STARTS]
+_STARTS = np.array([start for start, _ in SCRIPT_STARTS])
+_SCRIPT_AT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
+#: Buckets of so many zero bytes; three characters have twelve at most.
+_ZEROS = np.array([zlib.crc32(bytes(n)) % BUCKETS for n in range(13)], np.int32)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_runs(word: str) -> list[str]:
     """The runs of letters; ½, ② and Ⅷ are word characters to a pattern, but no letters."""
+    if word.isalpha():
+        return [word]
     runs = _LETTERS.findall(word)
     if all(map(str.isalpha, runs)):
         return runs
@@ -81,21 +87,59 @@ def spaced(text: str | None) -> str:
     return (text or "").lower().replace(",", " ").replace(".", " ")
 
 
-def script_of(letter: str) -> int:
-    return _SCRIPT_AT[bisect_right(_STARTS, ord(letter)) - 1]
+def bulks(words: Iterable[str]) -> Iterator[list[str]]:
+    """Cuts words into lists of HASHED_LETTERS; a longer word stays whole."""
+    some, letters = [], 0
+    for word in words:
+        some.append(word)
+        letters += len(word)
+        if letters >= HASHED_LETTERS:
+            yield some
+            some, letters = [], 0
+    if some:
+        yield some
 
 
-_bucket = Remembered(
-    lambda gram: zlib.crc32(gram.encode("utf-8", "replace")) % BUCKETS, CACHED_GRAMS
-).__getitem__
+def hashed(runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The script of each run's first letter, its number of n-grams, and the buckets of the
+    one to three character n-grams of all runs with their edges, run after run.
 
-
-def grams(word: str) -> list[int]:
-    """Buckets of the one to three character n-grams of a word with its edges."""
-    edged = f"^{word}$"
-    return [
-        _bucket(edged[i : i + n]) for n in (1, 2, 3) for i in range(len(edged) - n + 1)
-    ]
+    An n-gram's bucket is its crc32 cut to the bits of BUCKETS. crc32 of a string is that
+    of as many zeros, changed by each of its characters on its own: by how crc32 of the
+    character with zeros for what follows differs from that of zeros alone. So a few
+    numbers for each character that occurs give all n-grams at once.
+    """
+    coded = "".join([f"^{run}$" for run in runs]).encode("utf-32-le", "replace")
+    codes = np.frombuffer(coded, np.uint32)
+    size = np.fromiter(map(len, runs), np.int64, len(runs)) + 2
+    begin = np.cumsum(size) - size
+    script = _SCRIPT_AT[np.searchsorted(_STARTS, codes[begin + 1], side="right") - 1]
+    alphabet = np.flatnonzero(np.bincount(codes))
+    spelt = [chr(c).encode() for c in alphabet]
+    lengths = np.array([len(c) for c in spelt], np.int32)
+    # By the bytes that follow: two characters have eight at most.
+    alone = np.array([[zlib.crc32(c + bytes(n)) % BUCKETS for c in spelt] for n in range(9)])
+    alone = alone.astype(np.int32) ^ _ZEROS[lengths + np.arange(9)[:, None]]
+    place = np.zeros(alphabet[-1] + 1, np.int32)
+    place[alphabet] = np.arange(len(alphabet))
+    at = place[codes]
+    last, width = alone[0][at], lengths[at]
+    two = width[:-1] + width[1:]
+    middle = alone[width[1:], at[:-1]] ^ last[1:]
+    first = alone[two[1:], at[:-2]] ^ middle[1:]
+    found = (_ZEROS[width] ^ last, _ZEROS[two] ^ middle, _ZEROS[width[:-2] + two[1:]] ^ first)
+    # A run of m signs has m n-grams of one, m - 1 of two and m - 2 of three.
+    count = 3 * size - 3
+    buckets = np.empty(count.sum(), np.int32)
+    inside = np.arange(len(codes)) - np.repeat(begin, size)
+    left = np.repeat(size, size) - inside
+    to = np.repeat(np.cumsum(count) - count, size) + inside
+    for n, grams in enumerate(found):
+        fits = left[: len(grams)] > n
+        # The n-grams of n characters come after those of fewer.
+        buckets[to[: len(grams)][fits]] = grams[fits]
+        to += np.repeat(size - n, size)
+    return script, count, buckets
 
 
 def in_holdout(key: str | Column) -> Column:
@@ -123,17 +167,20 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
     out = arrow_schema(schema)
 
     def task(batches):
-        counts: dict[str, list[int]] = {}
+        counts: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
 
         def add():
             for lang, counter in words.items():
-                sums = counts.setdefault(lang, [0] * (BUCKETS + len(SCRIPTS)))
-                for word, n in counter.items():
-                    for run in letter_runs(word):
-                        sums[BUCKETS + script_of(run[0])] += n
-                        for bucket in grams(run):
-                            sums[bucket] += n
+                sums = counts.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
+                for some in bulks(counter):
+                    lists = [letter_runs(word) for word in some]
+                    runs = [run for runs in lists for run in runs]
+                    if runs:
+                        script, count, buckets = hashed(runs)
+                        times = np.repeat([counter[word] for word in some], list(map(len, lists)))
+                        np.add.at(sums, BUCKETS + script, times)
+                        np.add.at(sums, buckets, np.repeat(times, count))
             words.clear()
 
         for part in slices(batches):
@@ -142,8 +189,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
             if sum(map(len, words.values())) > COUNTED_WORDS:
                 add()
         add()
-        for lang, held in counts.items():
-            sums = np.array(held, np.int64)
+        for lang, sums in counts.items():
             (at,) = np.nonzero(sums)
             columns = [pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(sums[at])]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
@@ -166,6 +212,19 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
     return LanguageModel(languages, logs.astype(np.float32), shares >= SCRIPT_SHARE)
 
 
+class _Places(dict):
+    """A place for each word, in the order in which they come; new ones are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class _Labeller:
     """Scores words and labels the words of many texts at once."""
 
@@ -175,50 +234,63 @@ class _Labeller:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places()
         self.rows = np.zeros((1024, len(self.model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int64)
         self.used = 0
 
     def _add(self, words: list[str]) -> None:
-        """Scores words that are not known yet, all at once."""
+        """Scores the words that have come to the places after those in use."""
         n = len(words)
         while self.used + n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        letters, script, size, flat = [0] * n, [0] * n, [0] * n, []
-        for i, word in enumerate(words):
-            self.place[word] = self.used + i
-            runs = [word] if word.isalpha() else letter_runs(word)
-            if runs:
-                # A word is of the script of its first letter.
-                script[i] = script_of(runs[0][0])
-                letters[i] = sum(map(len, runs))
-                before = len(flat)
-                for run in runs:
-                    flat += grams(run)
-                size[i] = len(flat) - before
-        count = np.array(size)
-        (known,) = np.nonzero(count)
-        if len(known) and len(self.model.languages):
-            begin = np.cumsum(count[known]) - count[known]
-            score = WEIGHT * np.add.reduceat(self.by_bucket[flat], begin, axis=0)
-            may = self.model.scripts.T[np.array(script)[known]]
-            # Outside the script's languages a word is as bad as many of its n-grams; a
-            # script that no language has tells nothing.
-            least = np.where(may, score, np.inf).min(axis=1, keepdims=True) - 20
-            score = np.where(may, score, least)
-            score[~may.any(axis=1)] = 0
-            self.rows[self.used + known] = score - score.max(axis=1, keepdims=True)
-        self.letters[self.used : self.used + n] = letters
-        self.used += n
+        for some in bulks(words):
+            self._score(some)
+            self.used += len(some)
+
+    def _score(self, words: list[str]) -> None:
+        lists = [letter_runs(word) for word in words]
+        known = [i for i, runs in enumerate(lists) if runs]
+        if not known:
+            return
+        parts = np.array([len(lists[i]) for i in known])
+        begin = np.cumsum(parts) - parts
+        runs = [run for runs in lists for run in runs]
+        at = self.used + np.array(known)
+        self.letters[at] = np.add.reduceat(list(map(len, runs)), begin)
+        if not self.model.languages:
+            return
+        script, count, buckets = hashed(runs)
+        count = np.add.reduceat(count, begin)
+        ends = np.cumsum(count)
+        score = np.empty((len(known), len(self.model.languages)), np.float32)
+        low, most = 0, max(1, CELLS // len(self.model.languages))
+        while low < len(known):
+            # As many words as have so many n-grams, one at least.
+            start = ends[low] - count[low]
+            high = max(low + 1, np.searchsorted(ends, start + most, side="right"))
+            part = self.by_bucket[buckets[start : ends[high - 1]]]
+            np.add.reduceat(part, ends[low:high] - count[low:high] - start, axis=0, out=score[low:high])
+            low = high
+        score *= np.float32(WEIGHT)
+        # A word is of the script of its first letter.
+        may = self.model.scripts.T[script[begin]]
+        # Outside the script's languages a word is as bad as many of its n-grams; a
+        # script that no language has tells nothing.
+        least = np.where(may, score, np.inf).min(axis=1, keepdims=True) - 20
+        score = np.where(may, score, least)
+        score[~may.any(axis=1)] = 0
+        self.rows[at] = score - score.max(axis=1, keepdims=True)
 
     def words(self, texts: list[str | None]) -> list[np.ndarray]:
         """The words of each text, by their rows."""
-        place = self.place
-        lists = [spaced(t).split() for t in texts]
-        self._add([w for w in set().union(*lists) if w not in place])
-        return [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in lists]
+        place = self.place.__getitem__
+        split = (spaced(t).split() for t in texts)
+        found = [np.fromiter(map(place, words), np.int64, len(words)) for words in split]
+        self._add(self.place.new)
+        self.place.new = []
+        return found
 
     def labels(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The best language of each word of each text."""

@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ratelake.llm import quality_rules
 from ratelake.llm.decontamination import GAP, MATCH, MISMATCH, _count_words, align, contaminated, words_of
-from ratelake.llm.language_id import _Labeller, LanguageModel, in_holdout, language_spans, learn
+from ratelake.llm.language_id import (
+    BUCKETS, SCRIPTS, _Labeller, LanguageModel, hashed, in_holdout, language_spans, learn,
+)
 from ratelake.llm.license_scan import TELLING, TEMPLATES, _longest_common, _Templates, patience, scan_licenses
 from ratelake.llm.quality_rules import log_tail, quality_verdicts
 from ratelake.llm.queries import registered
@@ -85,6 +89,55 @@ def test_language_of_any_row(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def plain_grams(run):
+    edged = f"^{run}$"
+    cut = [edged[i : i + n] for n in (1, 2, 3) for i in range(len(edged) - n + 1)]
+    return [zlib.crc32(gram.encode("utf-8", "replace")) % BUCKETS for gram in cut]
+
+
+def test_buckets_equal_plain():
+    rng = random.Random(3)
+    runs = ["a", "дом", "漢字", "𝒜bc𝒜", "ﬁé", "x\ud800y"]
+    runs += ["".join(rng.choices("abcéßжя字𝒜", k=rng.randint(1, 9))) for _ in range(300)]
+    script, count, buckets = hashed(runs)
+    expected = [plain_grams(run) for run in runs]
+    assert buckets.tolist() == sum(expected, [])
+    assert count.tolist() == list(map(len, expected))
+    assert [SCRIPTS[i] for i in script[:4]] == ["Latin", "Cyrillic", "Han", "Other"]
+
+
+def test_new_words_cost_no_hash_for_each_gram(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(3000)]
+    calls, crc32 = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda *a: calls.append(1) or crc32(*a))
+    scores = np.random.default_rng(5).random((2, BUCKETS)).astype(np.float32)
+    labeller = _Labeller(LanguageModel(["a", "b"], scores, np.ones((2, len(SCRIPTS)), bool)), 8.0)
+    (found,) = labeller.words([" ".join(words)])
+    # The words have more than ten thousand different n-grams.
+    assert len(calls) < 2000
+    monkeypatch.undo()
+    for word, row in zip(words[:50], labeller.rows[found[:50]], strict=True):
+        plain = 0.4 * scores[:, plain_grams(word)].sum(axis=1)
+        assert np.allclose(row, plain - plain.max(), atol=1e-3)
+
+
+def test_scoring_is_bounded_for_many_languages():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=20)) for _ in range(4000)]
+    n = 300
+    model = LanguageModel(
+        [f"{i:03}" for i in range(n)], np.zeros((n, BUCKETS), np.float32), np.ones((n, len(SCRIPTS)), bool)
+    )
+    labeller = _Labeller(model, 8.0)
+    tracemalloc.start()
+    labeller.words([" ".join(words)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All n-grams at once would take 4000 x 63 x 300 x 4 bytes.
+    assert peak < 120e6
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = language_spans(docs, learn(docs.where(~in_holdout("doc_id"))))
