@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, slices
+from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_batches, slices
 
 #: Items of fewer words match nothing.
 SHORTEST = 4
@@ -224,7 +224,7 @@ def _count_words(rows: DataFrame) -> int:
         n = sum(len(words_of(t)) for part in slices(batches) for t in part["text"].to_pylist())
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return rows.select("text").mapInArrow(task, "n long").agg(F.sum("n")).first()[0] or 0
+    return map_batches(rows.select("text"), task, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _search(rows: DataFrame, block: _Block, schema: StructType) -> DataFrame:
@@ -256,4 +256,4 @@ def _search(rows: DataFrame, block: _Block, schema: StructType) -> DataFrame:
                 [pa.array([x[i] for x in found], f.type) for i, f in enumerate(out)], schema=out
             )
 
-    return rows.mapInArrow(search, schema)
+    return map_batches(rows, search, schema)

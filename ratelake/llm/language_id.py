@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_rows, slices
+from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_batches, map_rows, slices
 
 #: Buckets of n-grams; the model holds languages x buckets counts.
 BUCKETS = 1 << 15
@@ -195,7 +195,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> Langu
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     rows = labelled.select(F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").alias("text"))
-    counted = rows.where("label is not null and text is not null").mapInArrow(task, schema)
+    counted = map_batches(rows.where("label is not null and text is not null"), task, schema)
     sums = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     # At most languages x (buckets + scripts) rows reach the driver, however many texts.
     most = MOST_LANGUAGES * (BUCKETS + len(SCRIPTS))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import string
+import struct
 from functools import lru_cache
 from hashlib import sha256
 
@@ -25,15 +26,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelake.llm.rows import Remembered, keyed_schema, keyed_text, map_rows
+from ratelake.llm.rows import Recent, kept_by, keyed_schema, keyed_text, map_rows
 
 BLANK = "▁"
 #: Cuts a text before each sign that no piece has but at its start.
 CUT = "\x01"
 #: A run of blanks with the word after it.
-_RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_RUNS = re.compile(" *[^ ]+| +")
 #: Parts of texts that a worker remembers, and token pairs.
-CACHED_PARTS = 600_000
+CACHED_PARTS = 400_000
 CACHED_PAIRS = 500_000
 #: Places whose matches are held at a time while a long word is encoded.
 BLOCK = 4096
@@ -63,8 +64,8 @@ class MergeEncoder:
         self.prefix = self._blank_added()
         self.pairs: dict[int, bool] = {}
         inner = set().union(*(p[1:] for p in self.id)) - {BLANK}
-        self.openers = [c for c in [*string.punctuation, "\n", "\t", BLANK] if c not in inner]
-        self.parts = Remembered(self._ids, cached)
+        self.openers = [c for c in [*string.punctuation, "\n", "\t", " "] if c not in inner]
+        self.parts = Recent(self._ids, cached)
 
     def _blank_added(self) -> bool:
         """Whether a text gets a blank in front; other changes of the text are refused."""
@@ -143,23 +144,25 @@ class MergeEncoder:
                 at += 1
         return [token for _, _, token in taken]
 
-    def _ids(self, word: str) -> bytes:
+    def _ids(self, part: str) -> bytes:
+        """Ids of a part of a text, whose blanks are plain ones: a memory of it is smaller."""
         ids: list[int] = []
-        for token in self.tokens(word):
+        for token in self.tokens(part.replace(" ", BLANK)):
             if token >= 0:
                 ids.append(token)
             else:
                 ids += (self.byte[b] for b in chr(-1 - token).encode())
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, little-endian, 32 bits each; null counts as empty."""
         if not text:
             return b""
-        whole = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
+        # The library tells blanks and their sign in a text apart no more than we do.
+        whole = (" " if self.prefix else "") + text.replace(BLANK, " ")
         if not self.words_apart:
             return self._ids(whole)
-        if BLANK * 2 in whole or CUT in whole:
+        if "  " in whole or CUT in whole:
             parts = _RUNS.findall(whole)
         else:
             for sign in self.openers:
@@ -172,9 +175,10 @@ class MergeEncoder:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
 
+@kept_by(__name__)
 @lru_cache(maxsize=2)
 def encoder(path: str) -> MergeEncoder:
-    """One for each Python worker, kept between its tasks."""
+    """One for each Python worker, kept between its tasks until another operator's."""
     return MergeEncoder(path)
 
 

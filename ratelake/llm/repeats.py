@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelake.llm.hash_filter import HashFilter
-from ratelake.llm.rows import arrow_schema, give_back, keyed_schema, keyed_text, map_rows, slices, staged_rows
+from ratelake.llm.rows import (
+    arrow_schema, keyed_schema, keyed_text, map_batches, map_rows, slices, staged_rows,
+)
 from ratelake.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -164,7 +166,7 @@ def _all_runs(rows: DataFrame, length: int) -> DataFrame:
             for _, key, _, _, places in runs(texts, length):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(places)], schema=out)
 
-    return rows.select("text").mapInArrow(task, schema)
+    return map_batches(rows.select("text"), task, schema)
 
 
 def _shards(regions: DataFrame, length: int) -> DataFrame:
@@ -246,11 +248,9 @@ def _shards(regions: DataFrame, length: int) -> DataFrame:
             yield spans(shard)
         if alone:
             yield whole(alone)
-        shard.clear(), alone.clear()
-        give_back()
 
     dealt = regions.repartition("hash").sortWithinPartitions("hash")
-    return dealt.mapInArrow(task, schema)
+    return map_batches(dealt, task, schema)
 
 
 def _strings(regions: DataFrame, length: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _strings(regions: DataFrame, length: int) -> DataFrame:
                 columns += [np.full(n, a), np.full(n, b), first + np.arange(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
 
-    return regions.mapInArrow(task, schema)
+    return map_batches(regions, task, schema)
 
 
 def _packed(rows: DataFrame, some: HashFilter) -> DataFrame:
@@ -285,7 +285,7 @@ def _packed(rows: DataFrame, some: HashFilter) -> DataFrame:
             columns = [part["key"], part["a"], part["b"], pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return rows.select("key", "a", "b", "text").mapInArrow(task, schema)
+    return map_batches(rows.select("key", "a", "b", "text"), task, schema)
 
 
 def _unpacked(packed: list[bytes]) -> list[bytes]:
@@ -333,7 +333,7 @@ def _regions(
                     [pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out
                 )
 
-    return rows.select("a", "b", "text").mapInArrow(task, schema)
+    return map_batches(rows.select("a", "b", "text"), task, schema)
 
 
 def repeated_spans(

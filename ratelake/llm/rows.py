@@ -76,6 +76,50 @@ class Remembered(dict):
         return value
 
 
+class Recent(Remembered):
+    """The same in two halves: a full one takes the place of the other, which goes with all
+    that was not asked for again, so what is frequent stays."""
+
+    def __init__(self, function, most: int):
+        super().__init__(function, most)
+        self.before: dict = {}
+
+    def __missing__(self, word: str):
+        value = self.before.get(word)
+        if value is None:
+            value = self.function(word)
+        if len(word) <= CACHED_LENGTH:
+            if 2 * len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
+#: What a Python worker keeps between tasks, each with the module that it serves.
+_KEPT: list[tuple[str, Callable]] = []
+
+
+def kept_by(module: str) -> Callable:
+    """Marks a cached function: tasks of other modules drop what it keeps."""
+
+    def mark(cached):
+        _KEPT.append((module, cached))
+        return cached
+
+    return mark
+
+
+def drop_others(module: str) -> None:
+    """Drops what other modules' tasks left in this worker: one operator's memories at a
+    time, however many operators a session runs."""
+    held = [c for m, c in _KEPT if m != module and c.cache_info().currsize]
+    for cached in held:
+        cached.cache_clear()
+    if held:
+        give_back()
+
+
 def give_back() -> None:
     """Returns freed memory to the system at the end of a task: a Python worker lives on,
     and the next operator's task in it has memories of its own."""
@@ -100,10 +144,7 @@ def map_rows(
     kind = arrow_schema(schema)
 
     def task(batches):
-        one = start()
-        yield from coded(one, batches)
-        del one
-        give_back()
+        yield from coded(start(), batches)
 
     def coded(one, batches):
         for part in slices(batches, rows):
@@ -118,4 +159,21 @@ def map_rows(
                     schema=kind,
                 )
 
-    return df.mapInArrow(task, schema)
+    return map_batches(df, task, schema, start.__module__)
+
+
+def map_batches(
+    df: DataFrame,
+    task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str | StructType,
+    module: str | None = None,
+) -> DataFrame:
+    """mapInArrow; memory that a task has freed goes back to the system when it ends."""
+    module = module or task.__module__
+
+    def whole(batches):
+        drop_others(module)
+        yield from task(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)

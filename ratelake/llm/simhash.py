@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelake.llm.components import components
-from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_rows, staged_rows
+from ratelake.llm.rows import arrow_schema, keyed_schema, keyed_text, map_batches, map_rows, staged_rows
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Nodes of a group beyond which it is cut again; nodes that a task indexes at a time.
@@ -236,7 +236,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group_nodes: int = GROUP_N
             yield flush(np.concatenate(held))
 
     dealt = ready.repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.select("mask", "value", "fp").mapInArrow(task, schema)
+    return map_batches(dealt.select("mask", "value", "fp"), task, schema)
 
 
 def _cuts(mask: int, parts: int) -> list[int]:

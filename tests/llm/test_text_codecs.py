@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ratelake.llm.key_index import build, slots_of
-from ratelake.llm.piece_codec import MergeEncoder, encode_decode, encode_decode_digests
+from ratelake.llm.piece_codec import MergeEncoder, encode_decode, encode_decode_digests, encoder
+from ratelake.llm.rows import Recent, map_batches
 from ratelake.llm.token_counts import PairMerger, token_counts
 from ratelake.llm import token_store
 from ratelake.llm.queries import indexed_digests
@@ -191,6 +192,38 @@ def test_pieces_equal_the_library():
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text)
 
 
+def test_blanks_and_their_sign_encode_alike():
+    codec = MergeEncoder(PIECES)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in ("a▁b c", "▁a", " ▁ a", "a  ▁", "▁▁", "é ▁\x01 b", "a▁▁b  c"):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text), text
+    # What is remembered is plain: a sign of a blank would double the size of each part.
+    assert all(part.isascii() for part in codec.parts if "é" not in part)
+
+
+def test_memory_keeps_what_is_frequent_and_stays_bounded():
+    asked = []
+    memory = Recent(lambda w: asked.append(w) or w.upper(), 20)
+    for i in range(300):
+        assert memory[f"w{i}"] == f"W{i}" and memory["often"] == "OFTEN"
+        assert len(memory) + len(memory.before) <= 20
+    assert asked.count("often") == 1 and len(asked) == 301
+
+
+def test_a_worker_keeps_one_operators_memories(spark, docs):
+    """A pipeline's stages run in the same workers, one after the other."""
+
+    def held(batches):
+        n = encoder.cache_info().currsize
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(b.num_rows * n for b in batches)])})
+
+    encode_decode_digests(docs, PIECES).count()
+    rows = spark.range(0, 100, 1, 8)
+    own = map_batches(rows, held, "n long", "ratelake.llm.piece_codec").collect()
+    assert sum(r.n for r in own) > 0
+    assert sum(r.n for r in map_batches(rows, held, "n long").collect()) == 0
+
+
 def test_codec_of_any_row(docs):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     whole = {(r.doc_id, r.decoded): r.ids for r in encode_decode(docs, PIECES).collect()}
